@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, near_dedup
+from . import decontam, near_dedup, packing, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,9 +21,19 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components(_read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(_read(spark, sf_dir, "documents")))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_read(spark, sf_dir, "documents"), n_shards=40)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_near_dedup": op3_near_dedup,
+    "op4_packing": op4_packing,
+    "op8_sharding": op8_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
