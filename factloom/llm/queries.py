@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, near_dedup, packing, sharding
+from . import decontam, near_dedup, packing, sharding, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,14 +29,20 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_near_dedup": op3_near_dedup,
     "op4_packing": op4_packing,
+    "op5_warc": op5_warc,
     "op8_sharding": op8_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontam.ORACLE_SQL,
     "op3_near_dedup": near_dedup.ORACLE_SQL,
+    "op5_warc": warc.ORACLE_SQL,
 }
