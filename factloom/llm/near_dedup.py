@@ -5,9 +5,9 @@
 2. Banded candidates: in every bucket each member is compared with the bucket's smallest document, so a bucket of n
    members makes n - 1 pairs.  Signatures are compared in batches; after each batch a pair is dropped once the
    posterior probability that its similarity reaches the threshold is below ``miss``.
-3. Survivors are verified on their full sets, the likeliest partner of each document first.  What is in one component
+3. Survivors are verified on their full sets, the likeliest partner of each document first; what is in one component
    by then needs no more links.  In buckets that still hold several components, the pairs across components go
-   through the same test (sketch, batches, full sets), so no candidate link between components is lost.
+   through the same test, those of large buckets by way of their rarest shingles.  No link between components is lost.
 4. Components by minimum label with pointer jumping, with a checkpoint each round.
 
 At the default 40 bands of 5 rows a pair at similarity 0.8 shares no bucket with probability 1.3e-7.
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import wordarrays as wa
 from .common import cut, list_array, per_batch, require
@@ -188,6 +189,57 @@ def label_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _across(docs, members, labels, small, id_col, text_col, shingle, percent, sketch_ok, few=16, rare=32) -> DataFrame:
+    """Pairs (a, b) of one bucket but of different components, neither of them the bucket's hub, that may reach ``percent``.
+
+    Buckets of at most ``few`` members are joined with themselves.  For the members of larger ones, shingles are counted
+    among these members, and ordered by that count.  Two sets that reach the threshold share one of their first
+    n - ceil(n * percent / 100) + 1 shingles.  Either that is one which at most ``rare`` members have: those are joined
+    by shingle.  Or they share frequent shingles only, which bounds their intersection by the fewer of these: such pairs
+    are joined by bucket under that bound.  Large groups of loosely related texts so make few pairs.
+    """
+    placed = members.where("members > 2").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "key", "left_semi")
+
+    placed = cut(mixed(placed).join(small, "rep").select("key", "rep", "comp", "n", F.col("n").alias("most"), "s0", "s1", "members"))
+    owners = placed.where(F.col("members") > few).select("rep", "comp", "n", "s0", "s1").distinct()
+
+    def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(batch.column(1), shingle)
+        ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([*sets, np.zeros(0, _U)]).view(np.int64))], names=["rep", "key"])
+
+    ids = owners.select(F.col("rep").alias("id"))
+    grams = cut(_texts_of(docs, ids, id_col, text_col).join(ids, "id", "left_semi").mapInArrow(per_batch(explode), "rep long, key long"))
+    counted = grams.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"))
+    own = counted.where("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    seldom = cut(grams.join(counted.where(F.col("c").between(2, rare)).select("key", "c"), "key"))
+    owners = owners.join(own, "rep", "left").join(seldom.groupBy("rep").agg(F.count(F.lit(1)).alias("others")), "rep", "left")
+    owners = owners.withColumn("own", F.coalesce("own", F.lit(0))).withColumn("others", F.coalesce("others", F.lit(0)))
+    owners = cut(owners.withColumn("prefix", F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
+
+    order = Window.partitionBy("rep").orderBy("c", "key")
+    first = seldom.join(owners.where("own < prefix"), "rep").withColumn("rank", F.row_number().over(order)).where("rank + own <= prefix")
+    common = owners.where("own + others <= prefix").select("rep", (F.col("n") - F.col("own") - F.col("others")).alias("most"))
+    large = placed.where(F.col("members") > few).drop("most").join(common, "rep")
+    fewest = large.groupBy("key").agg(F.min("n").alias("fewest"))
+    enough = 100 * F.col("most") >= percent * (F.col("n") + F.greatest("fewest", "most") - F.col("most"))
+    large = large.join(fewest, "key").where(enough)
+
+    def joined(rows: DataFrame) -> DataFrame:
+        x = rows.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("s0").alias("p0"), F.col("s1").alias("p1"))
+        y = rows.select(F.col("key").alias("key2"), F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("s0").alias("q0"), F.col("s1").alias("q1"))
+        inter = F.least("ma", "mb")
+        may = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * inter >= percent * (F.col("na") + F.col("nb") - inter)) & sketch_ok("p", "q")
+        return x.join(y, (F.col("key") == F.col("key2")) & may).select("a", "b")
+
+    columns = ["key", "rep", "comp", "n", "most", "s0", "s1"]
+    by_gram = mixed(first.withColumn("most", F.col("n")).select(columns))
+    return joined(placed.where(F.col("members") <= few).select(columns)).union(joined(by_gram)).union(joined(mixed(large.select(columns)))).distinct()
+
+
 def components(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5, percent=80, miss=1e-7) -> DataFrame:
     """One row per document: id_col, n_shingles, component_id, kept."""
     require(docs, id_col, text_col)
@@ -213,19 +265,16 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5, per
     labels = label_components(links)
 
     comp_of = lambda df, end: df.join(labels.select(F.col("id").alias(end), F.col("comp").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    open_stars = comp_of(comp_of(tested, "a"), "b").where("ca <> cb").select("a", "b")
-    placed = members.where("members > 2").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    small = reps.select("rep", "n", "s0", "s1")
-    rest = cut(placed.join(mixed, "key", "left_semi").join(small, "rep").select("key", "rep", "comp", "n", "s0", "s1"))
-    x = rest.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("s0").alias("p0"), F.col("s1").alias("p1"))
-    y = rest.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("s0").alias("q0"), F.col("s1").alias("q1"))
-    cross = x.join(y, (x["key"] == y["key"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & size_ok(F.col("na"), F.col("nb")) & sketch_ok("p", "q")).select("a", "b").distinct()
-    cross = _bayes(cross.join(left, "a").join(right, "b"), threshold, miss).select("a", "b")
-    late = cut(open_stars.union(cross).distinct())
+    open_stars = cut(comp_of(comp_of(tested, "a"), "b").where("ca <> cb").select("a", "b"))
+    links = cut(links.union(_verify(open_stars, texts, shingle, percent)))
+    labels = label_components(links)
+
+    cross = _across(docs, members, labels, reps.select("rep", "n", "s0", "s1"), id_col, text_col, shingle, percent, sketch_ok)
+    late = cut(_bayes(cross.join(left, "a").join(right, "b"), threshold, miss).select("a", "b"))
     ends = late.select(F.col("a").alias("id")).union(late.select("b")).distinct()
     more = cut(_verify(late, _texts_of(docs, ends, id_col, text_col), shingle, percent))
-    labels = label_components(links.union(more))
+    if more.limit(1).count():
+        labels = label_components(links.union(more))
 
     by_digest = reps.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
     return all_rows.select("id", "n", "digest").join(by_digest, "digest", "left").select(
