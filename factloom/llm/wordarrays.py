@@ -89,8 +89,15 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words_of(column: pa.Array, table: np.ndarray) -> Words:
-    """Tokenise a column; working memory beyond the words themselves is a few MB, whatever the length of a text."""
+_LETTER = np.array([97 <= b <= 122 for b in range(256)])
+_SIGN = np.array([33 <= b < 127 and b != 39 and not chr(b).isalnum() for b in range(256)])
+
+
+def words_of(column: pa.Array, table: np.ndarray, split_signs: bool = False) -> Words:
+    """Tokenise a column; working memory beyond the words themselves is a few MB, whatever the length of a text.
+
+    With ``split_signs`` a word also ends between an ASCII letter and an ASCII sign other than the apostrophe.
+    """
     data, bounds = column_bytes(column)
     hashes, starts, ends = [], [], []
     at, size = 0, len(data)
@@ -115,6 +122,9 @@ def words_of(column: pa.Array, table: np.ndarray) -> Words:
         rows = rows[(rows > 0) & (rows < stop - at)]
         first[rows] = inside[rows]
         last[rows - 1] = inside[rows - 1]
+        if split_signs:
+            edge = np.flatnonzero(_SIGN[folded[1:]] & _LETTER[folded[:-1]])
+            first[edge + 1] = last[edge] = True
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
         up, down = _power_tables(stop - at + 1)
         sums = np.zeros(stop - at + 1, dtype=_U)
