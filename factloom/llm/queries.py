@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, near_dedup, packing, sharding, warc
+from . import decontam, fingerprint, near_dedup, packing, sharding, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,11 +37,16 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_near_dedup": op3_near_dedup,
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,
+    "op6_toxicity": op6_toxicity,
     "op8_sharding": op8_sharding,
     "op9_fingerprints": op9_fingerprints,
 }
