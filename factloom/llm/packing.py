@@ -6,8 +6,9 @@ into the open window with the least room that still takes them; a segment tree o
 Windows left with more than ``max_slack`` free places are closed at the end of a block: the emptiest are cut to fill
 the others, and what then remains is cut into sequences whose lengths are powers of two, which need no padding.
 
-Words (runs between ASCII white space) are tokenised once and kept in a bounded table; this equals tokenising the
-whole text as long as the vocabulary's pre-tokenizer never joins across white space, as with ``word_bpe_49k.json``.
+Each distinct segment is tokenised once and kept in a bounded table.  Segments end at ASCII white space and between an
+ASCII letter and a sign, where the pre-tokenizer of ``word_bpe_49k.json`` splits too, so the ids are those of whole
+texts; texts that spell one of its special tokens are tokenised whole.
 
 Defined results: a null or empty text is the end token alone; rows that repeat an id are packed as documents of their
 own; an empty table gives no rows; other columns are ignored.
@@ -17,36 +18,81 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import wordarrays as wa
 from .common import require
 
 _tables: dict[str, WordTable] = {}
+_SPECIAL = "oftext|>"
 
 
 class WordTable:
-    """Little-endian 32-bit ids of words, each tokenised once while the table has room."""
+    """Token ids of text segments, each tokenised once while the table has room for it."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-
-    def ids(self, text: str) -> bytes:
-        words = text.encode("utf-8", "surrogatepass").split()
-        parts = list(map(self.known.get, words))
-        if None in parts:
-            if len(self.known) > self.most:
-                self.known = {}
-            new = list({w for w in words if w not in self.known})
-            made = {w: pa.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, pa.uint32()) for w in new}
-            self.known.update((w, a.buffers()[1].to_pybytes()[: 4 * len(a)] if len(a) else b"") for w, a in made.items())
-            parts = [self.known[w] for w in words]
-        return b"".join(parts)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.rows: dict[int, int] = {}
+        self.parts: list[np.ndarray] = []
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, keys: list[int], segments: list[str]) -> None:
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, made), np.int64, len(made))
+        new = np.fromiter(chain.from_iterable(made), np.uint32, int(lengths.sum()))
+        self.rows.update(zip(keys, range(len(self.ends) - 1, len(self.ends) - 1 + len(keys)), strict=True))
+        self.flat = np.concatenate([self.flat, new])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+
+    def encode(self, column: pa.Array, block_bytes: int = 3 << 20) -> Iterator[np.ndarray]:
+        """Ids of each text; the same as of whole texts, as segments end where the pre-tokenizer splits anyway."""
+        _, bounds = wa.column_bytes(column)
+        at, n = 0, len(column)
+        while at < n:
+            stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + block_bytes, side="right")) - 1)
+            yield from self._encode(column.slice(at, stop - at))
+            at = stop
+
+    def _encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        words = wa.words_of(column, wa.SPACED, split_signs=True)
+        special = set(np.flatnonzero(pc.match_substring(column, _SPECIAL, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)))
+        unique, at, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+        if len(self.rows) > self.most:
+            self._clear()
+        known = list(map(self.rows.get, unique.tolist()))
+        missing = [i for i, k in enumerate(known) if k is None]
+        if missing:
+            where = at[missing]
+            keys = unique[missing].tolist()
+            self._learn(keys, [wa.SPACED[words.data[s:e]].tobytes().decode("utf-8", "replace") for s, e in zip(words.starts[where], words.ends[where], strict=True)])
+            for i, k in zip(missing, keys, strict=True):
+                known[i] = self.rows[k]
+        row = np.asarray(known, dtype=np.int64)[inverse] if len(known) else np.zeros(0, np.int64)
+        start, length = self.ends[row], self.ends[row + 1] - self.ends[row]
+        step, n = 256, len(words.first) - 1
+        for lo in range(0, n, step):
+            hi = min(n, lo + step)
+            a, b = words.first[lo], words.first[hi]
+            size = length[a:b]
+            upto = np.concatenate([[0], np.cumsum(size)])
+            ids = self.flat[np.repeat(start[a:b] - upto[:-1], size) + np.arange(upto[-1])]
+            for i in range(lo, hi):
+                if i in special:
+                    yield np.array(self.tokenizer.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32)
+                else:
+                    yield ids[upto[words.first[i] - a] : upto[words.first[i + 1] - a]]
 
 
 def _table(path: str | None) -> WordTable:
@@ -199,8 +245,8 @@ def pack(docs: DataFrame, id_col="doc_id", text_col="text", tokenizer_path: str
             held = 0
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                made = table.ids(text.as_py() or "") + end
+            for key, found in zip(batch.column(0).to_pylist(), table.encode(batch.column(1)), strict=True):
+                made = found.astype("<u4").tobytes() + end
                 ids.append(key)
                 tokens.append(made)
                 held += len(made) // 4
