@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, near_dedup, packing, sharding, toxicity, warc
+from . import decontam, fingerprint, html_density, near_dedup, packing, sharding, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract_pages(_read(spark, sf_dir, "pages"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -42,6 +46,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_density": op1_html_density,
     "op2_decontamination": op2_decontamination,
     "op3_near_dedup": op3_near_dedup,
     "op4_packing": op4_packing,
