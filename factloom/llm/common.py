@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,6 +48,30 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table]) -> Call
     return run
 
 
+def blocks(batch: pa.RecordBatch, column: str, block_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows of a batch with about ``block_bytes`` in ``column`` each; an empty batch is one slice."""
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    at = 0
+    while True:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block_bytes, side="right"))) if len(ends) else 0
+        yield batch.slice(at, stop - at)
+        at = stop
+        if at >= batch.num_rows:
+            return
+
+
+def per_block(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, block_bytes: int = 4 << 20) -> Callable[[Iterator], Iterator]:
+    """Lift a function of a record batch to mapInArrow, a bounded number of bytes of text at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, column, block_bytes):
+                yield fn(block)
+
+    return run
+
+
 def list_array(values: pa.Array, offsets) -> pa.Array:
     """A list column from its flat values and n + 1 offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordarrays as wa
-from .common import cut, per_batch, require
+from .common import blocks, cut, per_block, require
 
 _U = np.uint64
 WORD_PARTS, PREFIX_PARTS = 4, 3
@@ -205,7 +205,7 @@ def _count_features(docs: DataFrame, id_col: str, text_col: str, labels, only: i
             total.clear()
 
         ids, classes = labels.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole, "text")):
             key = batch.column(0).fill_null(-1).to_numpy()
             at = np.minimum(np.searchsorted(ids, key), max(len(ids) - 1, 0))
             mine = (ids[at] == key) & (classes[at] == only) if len(ids) else np.zeros(len(key), bool)
@@ -286,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
 
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1 << 40))
     chosen = (fold_of(id_col, folds) != 0) & (chance < int((1 << 40) * rate))
-    seen_rows = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), chosen.alias("drawn")).mapInArrow(per_batch(run), "votes int, label int, x binary"))
+    seen_rows = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), chosen.alias("drawn")).mapInArrow(per_block(run, "text"), "votes int, label int, x binary"))
     counts = seen_rows.groupBy("votes").agg(*(F.count_if(F.col("label") == k).alias(f"n{k + 1}") for k in (-1, 0, 1))).orderBy("votes").toArrow()
     patterns = counts.column("votes").to_numpy().astype(np.int64)
     model = fit_label_model(patterns, *(counts.column(f"n{k}").to_numpy().astype(float) for k in range(3))) if len(patterns) else {"posterior": np.zeros(0)}
@@ -313,7 +313,7 @@ def _scored(docs: DataFrame, model: dict, text_col: str, name: str) -> DataFrame
         score = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -500, 500)))
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(per_batch(run), StructType(list(docs.schema.fields)).add(name, DoubleType()))
+    return docs.mapInArrow(per_block(run, text_col), StructType(list(docs.schema.fields)).add(name, DoubleType()))
 
 
 def scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", folds=5, **options) -> DataFrame:
