@@ -159,7 +159,7 @@ def report(docs: DataFrame, bench: DataFrame, id_col="doc_id", **options) -> Dat
 def clean(docs: DataFrame, bench: DataFrame, text_col="text", drop_share=0.5, **options) -> DataFrame:
     """Documents without their hit spans; those with at least ``drop_share`` of their words hit go.
 
-    Other columns stay.  The cut text has one space in place of each span; untouched texts stay byte for byte.
+    Other columns stay; n_chars, if it is there, is set anew where the text changed.  The cut text has one space in place of each span; untouched texts stay byte for byte.
     """
     found = annotate(docs, bench, text_col=text_col, **options)
     schema = docs.schema
@@ -168,7 +168,7 @@ def clean(docs: DataFrame, bench: DataFrame, text_col="text", drop_share=0.5, **
         words, hit = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_dc_words", "_dc_hit"))
         batch = batch.filter(pa.array((hit == 0) | (hit < drop_share * words)))
         get = lambda c: batch.column(batch.schema.get_field_index(c))
-        texts = get(text_col)
+        texts, chars = get(text_col), get("n_chars") if "n_chars" in schema.names else None
         touched = np.flatnonzero(pc.list_value_length(get("_dc_start")).to_numpy(zero_copy_only=False) > 0)
         if len(touched):
             values = texts.to_pylist()
@@ -179,7 +179,13 @@ def clean(docs: DataFrame, bench: DataFrame, text_col="text", drop_share=0.5, **
                     at = e
                 values[i] = b" ".join([*out, raw[at:]]).decode("utf-8", "replace").strip()
             texts = pa.array(values, texts.type)
-        return pa.RecordBatch.from_arrays([texts if c == text_col else get(c) for c in schema.names], names=schema.names)
+            if chars is not None:
+                lengths = get("n_chars").to_pylist()
+                for i in touched:
+                    lengths[i] = len(values[i])
+                chars = pa.array(lengths, chars.type)
+        made = {text_col: texts, "n_chars": chars}
+        return pa.RecordBatch.from_arrays([made.get(c) if made.get(c) is not None else get(c) for c in schema.names], names=schema.names)
 
     return found.mapInArrow(per_batch(run), schema)
 

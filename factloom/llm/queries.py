@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, html_density, near_dedup, packing, sharding, toxicity, warc
+from . import decontam, fingerprint, html_density, line_dedup, near_dedup, packing, sharding, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_read(spark, sf_dir, "documents")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_read(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"), n_shards=40)
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
+    "op7_line_dedup": op7_line_dedup,
     "op8_sharding": op8_sharding,
     "op9_fingerprints": op9_fingerprints,
 }
@@ -60,4 +65,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontam.ORACLE_SQL,
     "op3_near_dedup": near_dedup.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
+    "op7_line_dedup": line_dedup.ORACLE_SQL,
 }
