@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import schema as S
 
@@ -54,7 +55,7 @@ def norm_key(s: Column) -> Column:
     return F.regexp_replace(casefold(F.coalesce(s, F.lit(""))), NON_WORD, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
 

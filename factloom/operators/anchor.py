@@ -11,11 +11,13 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 
 CDATA = "<text><![CDATA["
+SPAN = StructType().add("start", IntegerType()).add("end", IntegerType())
 
 
 def find(text: Column, quote: Column) -> Column:
@@ -60,7 +62,7 @@ def _pattern(quote: str) -> str:
     return r"\s+".join(re.escape(w) for w in quote.split())
 
 
-@F.pandas_udf("start int, end int")
+@F.pandas_udf(SPAN)
 def drifted(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
     """First occurrence of a quote whose white space may differ; nulls where there is none."""
     out = []
@@ -174,7 +176,7 @@ def alnum_locate(text: str, quote: str | None, least: int = 12) -> tuple[int, in
     return (place[at], place[at + len(wanted) - 1] + 1) if at >= 0 else None
 
 
-@F.pandas_udf("start int, end int")
+@F.pandas_udf(SPAN)
 def alnum_located(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
     found = [alnum_locate(t or "", q) or (None, None) for t, q in zip(text, quote, strict=True)]
     return pd.DataFrame(found, columns=["start", "end"], dtype="Int32")

@@ -99,7 +99,7 @@ def truncate(docs: DataFrame, most: int) -> DataFrame:
     """
     fits = lambda m: m["end"].isNull() | (m["end"] <= most)
     stays = lambda e: (F.size(e["mentions"]) > 0) | e["had"]
-    flagged = F.transform("entities", lambda e: F.struct(*(e[f].alias(f) for f in ("id", "name", "type", "aliases")), F.filter(e["mentions"], fits).alias("mentions"), ~F.exists(e["mentions"], lambda m: m["start"].isNotNull()).alias("had")))
+    flagged = F.transform("entities", lambda e: F.struct(*(e[f].alias(f) for f in ("id", "name", "type", "aliases")), F.filter(e["mentions"], fits).alias("mentions"), (~F.exists(e["mentions"], lambda m: m["start"].isNotNull())).alias("had")))
     rows = docs.withColumn("text", F.substring("text", 1, most)).withColumn("entities", F.filter(flagged, stays))
     ids = F.transform("entities", lambda e: e["id"])
     rows = rows.withColumn("relations", F.filter("relations", lambda r: F.array_contains(ids, r["source"]) & F.array_contains(ids, r["target"])))
