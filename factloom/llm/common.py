@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,6 +36,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` followed by handing free memory back, as Spark keeps Python workers alive for later tasks."""
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return body
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table]) -> Callable[[Iterator], Iterator]:
     """Lift a function of one record batch to mapInArrow."""
 
@@ -45,7 +59,7 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table]) -> Call
             else:
                 yield out
 
-    return run
+    return lean(run)
 
 
 def blocks(batch: pa.RecordBatch, column: str, block_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -69,7 +83,7 @@ def per_block(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, block
             for block in blocks(batch, column, block_bytes):
                 yield fn(block)
 
-    return run
+    return lean(run)
 
 
 def list_array(values: pa.Array, offsets) -> pa.Array:
