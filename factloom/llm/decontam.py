@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import wordarrays as wa
-from .common import cut, list_array, per_batch, require
+from .common import cut, list_array, per_block, require
 
 
 def _item_index(rows: list[Row], n: int) -> dict:
@@ -91,8 +91,11 @@ def _spans(words: wa.Words, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 _SCHEMA = "_dc_words long, _dc_start array<long>, _dc_end array<long>, _dc_items array<long>"
 
 
-def _annotate(df: DataFrame, index, text_col: str, first: bool) -> DataFrame:
-    """Adds, or with another block's index widens, the byte spans and items of each row."""
+def _annotate(df: DataFrame, index, text_col: str, first: bool, finish=None) -> DataFrame:
+    """Adds, or with another block's index widens, the byte spans and items of each row.
+
+    ``finish`` is a function of the resulting batch and the schema it leads to, so that one Python worker does both.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = wa.words_of(batch.column(batch.schema.get_field_index(text_col)), wa.ALNUM)
@@ -115,16 +118,17 @@ def _annotate(df: DataFrame, index, text_col: str, first: bool) -> DataFrame:
             "_dc_hit": pa.array(np.add.reduceat(np.append(hit, False).astype(np.int64), words.first[:-1]) * (np.diff(words.first) > 0), pa.int64()),
         }
         names = [c for c in batch.schema.names if not c.startswith("_dc_")]
-        return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *made.values()], names=[*names, *made])
+        out = pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *made.values()], names=[*names, *made])
+        return finish[0](out) if finish else out
 
     kept = [f for f in df.schema.fields if not f.name.startswith("_dc_")]
     from pyspark.sql.types import LongType, StructType, _parse_datatype_string
 
-    schema = StructType(kept + _parse_datatype_string(_SCHEMA).fields).add("_dc_hit", LongType())
-    return df.mapInArrow(per_batch(run), schema)
+    schema = finish[1] if finish else StructType(kept + _parse_datatype_string(_SCHEMA).fields).add("_dc_hit", LongType())
+    return df.mapInArrow(per_block(run, text_col), schema)
 
 
-def annotate(docs: DataFrame, bench: DataFrame, text_col="text", item_col="item_id", item_text_col="text", n=10, block_bytes=32 << 20) -> DataFrame:
+def annotate(docs: DataFrame, bench: DataFrame, text_col="text", item_col="item_id", item_text_col="text", n=10, block_bytes=32 << 20, finish=None) -> DataFrame:
     """``docs`` with _dc_words, _dc_hit, _dc_items and the byte spans _dc_start, _dc_end of runs of hit words."""
     require(docs, text_col)
     require(bench, item_col, item_text_col)
@@ -135,7 +139,7 @@ def annotate(docs: DataFrame, bench: DataFrame, text_col="text", item_col="item_
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
         index = spark.sparkContext.broadcast(_item_index(part.collect(), n))
-        docs = _annotate(docs, index, text_col, b == 0)
+        docs = _annotate(docs, index, text_col, b == 0, finish if b == blocks - 1 else None)
         if b < blocks - 1:
             docs = cut(docs)
     return docs
@@ -161,7 +165,6 @@ def clean(docs: DataFrame, bench: DataFrame, text_col="text", drop_share=0.5, **
 
     Other columns stay; n_chars, if it is there, is set anew where the text changed.  The cut text has one space in place of each span; untouched texts stay byte for byte.
     """
-    found = annotate(docs, bench, text_col=text_col, **options)
     schema = docs.schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -187,7 +190,7 @@ def clean(docs: DataFrame, bench: DataFrame, text_col="text", drop_share=0.5, **
         made = {text_col: texts, "n_chars": chars}
         return pa.RecordBatch.from_arrays([made.get(c) if made.get(c) is not None else get(c) for c in schema.names], names=schema.names)
 
-    return found.mapInArrow(per_batch(run), schema)
+    return annotate(docs, bench, text_col=text_col, finish=(run, schema), **options)
 
 
 def no_items_digest() -> str:

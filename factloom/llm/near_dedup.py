@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import wordarrays as wa
-from .common import cut, list_array, per_batch, require
+from .common import cut, list_array, per_batch, per_block, require
 
 BANDS, ROWS, SKETCH = 40, 5, 128
 _U = np.uint64
@@ -100,7 +100,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Da
         )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        per_batch(run), "id long, n long, digest binary, sig binary, bands array<long>, s0 long, s1 long"
+        per_block(run, "text"), "id long, n long, digest binary, sig binary, bands array<long>, s0 long, s1 long"
     )
 
 
@@ -148,7 +148,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
         return batch.select([0, 1]).filter(pa.array(keep))
 
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(per_batch(run), "a long, b long")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(per_block(run, "ta", 2 << 20), "a long, b long")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, most_bits: int = 1 << 27) -> DataFrame:
@@ -212,7 +212,7 @@ def _across(docs, members, labels, small, id_col, text_col, shingle, percent, sk
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([*sets, np.zeros(0, _U)]).view(np.int64))], names=["rep", "key"])
 
     ids = owners.select(F.col("rep").alias("id"))
-    grams = cut(_texts_of(docs, ids, id_col, text_col).join(ids, "id", "left_semi").mapInArrow(per_batch(explode), "rep long, key long"))
+    grams = cut(_texts_of(docs, ids, id_col, text_col).join(ids, "id", "left_semi").mapInArrow(per_block(explode, "text"), "rep long, key long"))
     counted = grams.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"))
     own = counted.where("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
     seldom = cut(grams.join(counted.where(F.col("c").between(2, rare)).select("key", "c"), "key"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordarrays as wa
-from .common import require
+from .common import lean, require
 
 _tables: dict[str, WordTable] = {}
 _SPECIAL = "oftext|>"
@@ -37,24 +37,35 @@ _SPECIAL = "oftext|>"
 class WordTable:
     """Token ids of text segments, each tokenised once while the table has room for it."""
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self._clear()
 
     def _clear(self) -> None:
-        self.rows: dict[int, int] = {}
-        self.parts: list[np.ndarray] = []
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, keys: list[int], segments: list[str]) -> None:
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, made), np.int64, len(made))
-        new = np.fromiter(chain.from_iterable(made), np.uint32, int(lengths.sum()))
-        self.rows.update(zip(keys, range(len(self.ends) - 1, len(self.ends) - 1 + len(keys)), strict=True))
-        self.flat = np.concatenate([self.flat, new])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+    def _learn(self, keys: np.ndarray, segments: list[str]) -> None:
+        """``keys`` are sorted."""
+        flat, ends = [self.flat], [self.ends]
+        for at in range(0, len(segments), 8192):
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(segments[at : at + 8192], add_special_tokens=False)]
+            lengths = np.fromiter(map(len, made), np.int64, len(made))
+            flat.append(np.fromiter(chain.from_iterable(made), np.uint32, int(lengths.sum())))
+            ends.append(ends[-1][-1] + np.cumsum(lengths))
+        place = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, place, keys)
+        self.rows = np.insert(self.rows, place, np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(keys), dtype=np.int32))
+        self.flat, self.ends = np.concatenate(flat), np.concatenate(ends)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key; -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.rows[at], -1).astype(np.int64)
 
     def encode(self, column: pa.Array, block_bytes: int = 3 << 20) -> Iterator[np.ndarray]:
         """Ids of each text; the same as of whole texts, as segments end where the pre-tokenizer splits anyway."""
@@ -71,15 +82,13 @@ class WordTable:
         unique, at, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
         if len(self.rows) > self.most:
             self._clear()
-        known = list(map(self.rows.get, unique.tolist()))
-        missing = [i for i, k in enumerate(known) if k is None]
-        if missing:
+        known = self._find(unique)
+        missing = np.flatnonzero(known < 0)
+        if len(missing):
             where = at[missing]
-            keys = unique[missing].tolist()
-            self._learn(keys, [wa.SPACED[words.data[s:e]].tobytes().decode("utf-8", "replace") for s, e in zip(words.starts[where], words.ends[where], strict=True)])
-            for i, k in zip(missing, keys, strict=True):
-                known[i] = self.rows[k]
-        row = np.asarray(known, dtype=np.int64)[inverse] if len(known) else np.zeros(0, np.int64)
+            self._learn(unique[missing], [wa.SPACED[words.data[s:e]].tobytes().decode("utf-8", "replace") for s, e in zip(words.starts[where], words.ends[where], strict=True)])
+            known = self._find(unique)
+        row = known[inverse]
         start, length = self.ends[row], self.ends[row + 1] - self.ends[row]
         step, n = 256, len(words.first) - 1
         for lo in range(0, n, step):
@@ -254,7 +263,7 @@ def pack(docs: DataFrame, id_col="doc_id", text_col="text", tokenizer_path: str
                     yield from flush()
         yield from flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def _batch(cols: list[list]) -> pa.RecordBatch:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordarrays as wa
-from .common import blocks, cut, per_block, require
+from .common import blocks, cut, lean, per_block, require
 
 _U = np.uint64
 WORD_PARTS, PREFIX_PARTS = 4, 3
@@ -230,7 +230,7 @@ def _count_features(docs: DataFrame, id_col: str, text_col: str, labels, only: i
                 yield from emit()
         yield from emit()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "f long, kind int, c long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "f long, kind int, c long")
     return rows.groupBy("f", "kind").agg(F.sum("c").alias("c"))
 
 

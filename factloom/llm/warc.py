@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import require, shared_path
+from .common import lean, require, shared_path
 
 BREAK = "\r\n"
 RECORDS = (
@@ -179,7 +179,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield out(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(lean(run), schema)
 
 
 def assemble(records: DataFrame) -> DataFrame:
