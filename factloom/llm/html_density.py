@@ -121,7 +121,7 @@ def parse(source: str) -> Node:
                     while depth_out.pop() != tag:
                         pass
                     continue
-                if tag not in ("article", "main", "body", "html") or not _open(node, tag):
+                if tag == "p" or tag not in ENDS_P | KEEPS or not _open(node, tag):
                     continue
                 depth_out.clear()  # what is left out was never closed and ends with its parent
             if tag in INLINE:
