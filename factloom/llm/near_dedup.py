@@ -8,7 +8,8 @@
 3. Survivors are verified on their full sets, the likeliest partner of each document first; what is in one component
    by then needs no more links.  In buckets that still hold several components, the pairs across components go
    through the same test, those of large buckets by way of their rarest shingles.  No link between components is lost.
-4. Components by minimum label with pointer jumping, with a checkpoint each round.
+4. Components: bounded tasks reduce their links to forests; more than one are contracted round by round,
+   with a checkpoint each.
 
 At the default 40 bands of 5 rows a pair at similarity 0.8 shares no bucket with probability 1.3e-7.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import wordarrays as wa
-from .common import cut, list_array, per_batch, per_block, require
+from .common import cut, lean, list_array, per_batch, per_block, require
 
 BANDS, ROWS, SKETCH = 40, 5, 128
 _U = np.uint64
@@ -174,19 +176,47 @@ def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, most_
     return texts.withColumn("bit", bit).mapInArrow(per_batch(run), "id long, text string")
 
 
-def label_components(edges: DataFrame) -> DataFrame:
-    """(id, comp) of every end of (a, b): comp is the smallest id reachable."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("comp").alias("m")).withColumnRenamed("a", "id")
-        step = labels.join(near, "id").select("id", F.least("comp", "m").alias("m"), F.col("comp").alias("was"))
-        jump = labels.select(F.col("id").alias("m"), F.col("comp").alias("far"))
-        step = cut(step.join(jump, "m").select("id", F.least("m", "far").alias("comp"), "was"))
-        changed = step.where("comp <> was").limit(1).count()
-        labels = step.select("id", "comp")
-        if not changed:
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(vertex, smallest vertex joined to it) by the edges of one partition."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    ids = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["id", "comp"])
+
+
+def label_components(edges: DataFrame, edges_per_task: int = 2_000_000) -> DataFrame:
+    """(id, comp) of every end of (a, b): comp is the smallest id reachable.
+
+    Tasks of at most about ``edges_per_task`` edges each reduce theirs to a forest; where that is more than one task, the
+    forests are contracted round by round.
+    """
+    edges = cut(edges.select("a", "b"))
+    tasks = math.ceil(edges.count() / edges_per_task)
+    forest = cut(edges.coalesce(max(1, tasks)).mapInArrow(lean(_forest), "id long, comp long"))
+    if tasks <= 1:
+        return forest
+    labels = cut(forest.groupBy("id").agg(F.min("comp").alias("comp")))
+    links = forest.select(F.col("id").alias("a"), F.col("comp").alias("b"))
+    while True:  # hook every label to the smallest label next to it, follow that twice, and go on between labels
+        at = lambda end: labels.select(F.col("id").alias(end), F.col("comp").alias(f"{end}2"))
+        links = cut(links.join(at("a"), "a").join(at("b"), "b").where("a2 <> b2").select(F.greatest("a2", "b2").alias("a"), F.least("a2", "b2").alias("b")).distinct())
+        if not links.limit(1).count():
             return labels
+        both = links.union(links.select("b", "a"))
+        hook = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        twice = hook.join(hook.select(F.col("a").alias("m"), F.col("m").alias("far")), "m").select("a", F.least("m", "far").alias("m"))
+        labels = cut(labels.join(twice.withColumnRenamed("a", "comp"), "comp", "left").select("id", F.coalesce("m", "comp").alias("comp")))
 
 
 def _across(docs, members, labels, small, id_col, text_col, shingle, percent, sketch_ok, few=16, rare=32) -> DataFrame:

@@ -74,6 +74,19 @@ def test_near_dedup_empty_and_repeated_rows(spark):
     assert near_dedup.components(df.limit(0)).count() == 0
 
 
+def test_components_from_many_tasks(spark):
+    rng = np.random.default_rng(9)
+    chain = list(rng.permutation(200))
+    edges = [(int(a), int(b)) for i, (a, b) in enumerate(zip(chain[:-1], chain[1:], strict=True)) if i % 50 != 49]
+    want = {}
+    for i in range(0, 200, 50):
+        want.update((int(v), int(min(chain[i : i + 50]))) for v in chain[i : i + 50])
+    df = spark.createDataFrame(edges, "a long, b long").repartition(9)
+    for per in (10, 60, 1000):
+        assert {r.id: r.comp for r in near_dedup.label_components(df, per).collect()} == want
+    assert near_dedup.label_components(df.limit(0)).count() == 0
+
+
 def test_least_matches_is_monotone_and_safe():
     found = [near_dedup.least_matches(n, 0.8, 1e-7) for n in (40, 80, 120, 160, 200)]
     assert found == sorted(found) and 0 < found[0] < 0.8 * 40
