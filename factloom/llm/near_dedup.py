@@ -154,15 +154,15 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, most_bits: int = 1 << 27) -> DataFrame:
-    """(id, text) of at least the documents in ``ids``, and few others.
+    """(id, text) of at least the documents in ``ids``, and few others; an id may repeat.
 
-    A bitmap of one hash, of 16 bits an id, is broadcast while it has at most ``most_bits``; beyond that all texts go on.
+    A bitmap of one hash, of 16 bits an id, is broadcast while it has at most ``most_bits``; beyond that texts are joined.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     count = ids.count()
     bits = 1 << max(10, (16 * count).bit_length())
     if bits > most_bits:
-        return texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
+        return texts.join(ids, "id", "left_semi")
     bit = F.pmod(F.xxhash64("id"), F.lit(bits))
     words = ids.select(F.shiftright(bit, 6).alias("w"), bit.bitwiseAND(F.lit(63)).cast("int").alias("k")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("m")).toArrow()
     bitmap = np.zeros(bits // 64, dtype=np.int64)
@@ -212,11 +212,17 @@ def label_components(edges: DataFrame, edges_per_task: int = 2_000_000) -> DataF
         at = lambda end: labels.select(F.col("id").alias(end), F.col("comp").alias(f"{end}2"))
         links = cut(links.join(at("a"), "a").join(at("b"), "b").where("a2 <> b2").select(F.greatest("a2", "b2").alias("a"), F.least("a2", "b2").alias("b")).distinct())
         if not links.limit(1).count():
-            return labels
+            break
         both = links.union(links.select("b", "a"))
         hook = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         twice = hook.join(hook.select(F.col("a").alias("m"), F.col("m").alias("far")), "m").select("a", F.least("m", "far").alias("m"))
         labels = cut(labels.join(twice.withColumnRenamed("a", "comp"), "comp", "left").select("id", F.coalesce("m", "comp").alias("comp")))
+    while True:  # labels may still point to vertices that have a smaller label themselves
+        far = labels.select(F.col("id").alias("comp"), F.col("comp").alias("far"))
+        step = cut(labels.join(far, "comp").select("id", F.col("far").alias("comp"), F.col("comp").alias("was")))
+        labels = step.select("id", "comp")
+        if not step.where("comp <> was").limit(1).count():
+            return labels
 
 
 def _across(docs, members, labels, small, id_col, text_col, shingle, percent, sketch_ok, few=16, rare=32) -> DataFrame:
@@ -289,8 +295,7 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5, per
     stars = members.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     tested = cut(_bayes(stars.join(left, "a").join(right, "b").where(size_ok(F.col("na"), F.col("nb")) & sketch_ok("p", "q")), threshold, miss))
     best = tested.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
-    ends = tested.select(F.col("a").alias("id")).union(tested.select("b")).distinct()
-    texts = _texts_of(docs, ends, id_col, text_col)
+    texts = cut(_texts_of(docs, tested.select(F.explode(F.array("a", "b")).alias("id")), id_col, text_col))
     links = cut(_verify(best, texts, shingle, percent))
     labels = label_components(links)
 
@@ -301,8 +306,7 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5, per
 
     cross = _across(docs, members, labels, reps.select("rep", "n", "s0", "s1"), id_col, text_col, shingle, percent, sketch_ok)
     late = cut(_bayes(cross.join(left, "a").join(right, "b"), threshold, miss).select("a", "b"))
-    ends = late.select(F.col("a").alias("id")).union(late.select("b")).distinct()
-    more = cut(_verify(late, _texts_of(docs, ends, id_col, text_col), shingle, percent))
+    more = cut(_verify(late, _texts_of(docs, late.select(F.explode(F.array("a", "b")).alias("id")), id_col, text_col), shingle, percent))
     if more.limit(1).count():
         labels = label_components(links.union(more))
 

@@ -82,7 +82,7 @@ def test_components_from_many_tasks(spark):
     for i in range(0, 200, 50):
         want.update((int(v), int(min(chain[i : i + 50]))) for v in chain[i : i + 50])
     df = spark.createDataFrame(edges, "a long, b long").repartition(9)
-    for per in (10, 60, 1000):
+    for per in (10, 40, 60, 1000):
         assert {r.id: r.comp for r in near_dedup.label_components(df, per).collect()} == want
     assert near_dedup.label_components(df.limit(0)).count() == 0
 
