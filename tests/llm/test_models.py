@@ -93,6 +93,13 @@ def test_base_scores_against_brute_force(spark):
             assert got[i].train_tokens == total and got[i].held_out == (zlib.crc32(str(i).encode()) % 10 == 0) and got[i].score < 0
 
 
+def test_repeated_ids_are_scored_each(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (2, "a"), (3, "b c d")], "doc_id long, text string")
+    for most in (100, 1):
+        got = sorted((r.doc_id, r.n_tokens, round(r.base_score, 9)) for r in lm_score.scores(docs, warm_tokens=100, rounds=1, most_words=most).collect())
+        assert [x[:2] for x in got] == [(1, 2), (1, 3), (1, 3), (2, 2), (3, 4)] and got[1] == got[2]
+
+
 def test_language_model_beats_unigrams_on_held_out_text(spark):
     rng = np.random.default_rng(2)
     chains = [[f"{p}{i}" for i in range(30)] for p in ("x", "y", "z")]
