@@ -14,8 +14,9 @@ training on a share of every partition's documents, after which the parameters a
 deals a batch's documents to slots and runs them window by window with the state carried over, so a document's
 likelihood covers its whole text.
 
-The word table is broadcast while it has at most ``most_words`` words.  Beyond that the network sees the rarer ones as
-unseen, and the base comes from a join of documents' words with the counts.
+The word table is broadcast while it has at most ``most_words`` words.  Beyond that a join of documents' rarer words with
+the counts supplies their codes and counts, and documents are coded once for training and scoring; the codes, shares and
+base are the same on both ways.
 
 Defined results: a null text is empty and is its end token alone; without training documents every token has base
 probability one; rows that repeat an id are scored each; an empty table gives no rows; other columns are ignored.
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -150,15 +151,24 @@ def word_counts(train: DataFrame, centres: np.ndarray) -> DataFrame:
     return total.select("h", "c", (F.array_position(counts, F.array_max(counts)) - 1).cast("byte").alias("topic"))
 
 
+def tail_codes(topics: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Codes of words outside the head."""
+    bins = np.maximum(np.searchsorted(BINS, counts, side="right") - 1, 0)
+    return (HEAD + topics.astype(np.int16) * len(BINS) + bins).astype(np.int16)
+
+
 class Vocabulary:
-    """Counts and codes of words, sorted by hash."""
+    """Counts and codes of words, sorted by hash.
+
+    A table of some words has at least the head words and the end; ``tails`` are then the counts of all words by tail class.
+    """
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, topics: np.ndarray, total: int, distinct: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, topics: np.ndarray, total: int, distinct: int, tails: np.ndarray | None = None):
         self.total, self.distinct = total, distinct
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         self.counts = counts[order].astype(np.int32 if not len(counts) or counts.max() < 1 << 31 else np.int64)
-        topics = topics[order].astype(np.int16)
+        self.codes = tail_codes(topics[order], self.counts)
         del order
         end = np.searchsorted(self.hashes, _U(END_HASH))
         end = int(end) if end < len(self.hashes) and self.hashes[end] == _U(END_HASH) else None
@@ -166,12 +176,15 @@ class Vocabulary:
         near = np.flatnonzero(self.counts >= np.partition(self.counts, -kept)[-kept]) if kept else np.zeros(0, np.int64)
         near = near[near != end] if end is not None else near
         head = near[np.lexsort((self.hashes[near], -self.counts[near].astype(np.int64)))[:HEAD]]
-        bins = (np.searchsorted(BINS, self.counts, side="right") - 1).astype(np.int16)
-        self.codes = (HEAD + topics * len(BINS) + np.maximum(bins, 0)).astype(np.int16)
+        apart = np.append(head, end) if end is not None else head
+        if tails is not None:
+            tails = tails - np.bincount(self.codes[apart] - HEAD, weights=self.counts[apart], minlength=TAILS)
         self.codes[head] = np.arange(len(head))
         if end is not None:
             self.codes[end] = END
         self.code_counts = np.bincount(self.codes, weights=self.counts, minlength=CODES)
+        if tails is not None:
+            self.code_counts[HEAD:END] = tails
         self.class_totals = self.code_counts[HEAD:END]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,6 +206,13 @@ class Vocabulary:
         return out
 
 
+def _measures(vocab: Vocabulary, counts: np.ndarray, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base score, sum of shares, known tokens) of each document."""
+    floor = math.log10(vocab.total + 0.1 * (vocab.distinct + 1))
+    sums = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)
+    return sums(np.log10(counts + 0.1) - floor), sums(vocab.share(counts, codes)), sums((counts > 0).astype(np.int64)).astype(np.int64)
+
+
 # --- the network -----------------------------------------------------------------------------------------------------
 
 
@@ -388,36 +408,78 @@ def train(p: dict[str, np.ndarray], codes: np.ndarray, first: np.ndarray, rate:
 # --- on the corpus ---------------------------------------------------------------------------------------------------
 
 
+def _bytes_of(codes: np.ndarray, first: np.ndarray) -> pa.Array:
+    return pa.array([codes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+
+
 def _coded(rows: DataFrame, vocabulary) -> DataFrame:
-    """(codes) of each document, 16-bit."""
+    """(uid, codes) of each document, 16-bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in blocks(whole, "text")):
             hashes, first = tokens_of(batch.column(1))
-            codes = vocabulary.value.find(hashes)[1]
-            yield pa.RecordBatch.from_arrays([pa.array([codes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), _bytes_of(vocabulary.value.find(hashes)[1], first)], names=["uid", "codes"])
+
+    return rows.mapInArrow(lean(run), "uid long, codes binary")
 
-    return rows.mapInArrow(lean(run), "codes binary")
+
+def _coded_by_join(rows: DataFrame, counts: DataFrame, vocabulary) -> DataFrame:
+    """(id, uid, codes, n_tokens, n_known, base_score, shares) of each document where the table has only some of the words."""
+
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in blocks(whole, "text")):
+            hashes, first = tokens_of(batch.column(1))
+            at = np.flatnonzero(vocabulary.value.find(hashes)[1] == UNSEEN)
+            h, r = hashes[at], np.repeat(np.arange(len(first) - 1), np.diff(first))[at]
+            order = np.lexsort((h, r))
+            h, r = h[order], r[order]
+            start = np.flatnonzero(np.append([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1]))) if len(h) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(r[start])), pa.array(h[start].view(np.int64))], names=["uid", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in blocks(whole, "text")):
+            hashes, first = tokens_of(batch.column(1))
+            c, code = vocabulary.value.find(hashes)
+            h, count, topic = (x.to_numpy(zero_copy_only=False) for x in batch.column(3).flatten().flatten())
+            h, at = np.unique(h.view(_U), return_index=True)
+            if len(h):
+                spot = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
+                found = (code == UNSEEN) & (h[spot] == hashes)
+                c[found] = count[at][spot[found]]
+                code[found] = tail_codes(topic[at], count[at])[spot[found]]
+            base, shares, known = _measures(vocabulary.value, c, code, first)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), _bytes_of(code, first), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(shares)],
+                names=["id", "uid", "codes", "n_tokens", "n_known", "base_score", "shares"],
+            )
+
+    rare = rows.mapInArrow(lean(beyond), "uid long, h long").join(counts, "h").groupBy("uid").agg(F.collect_set(F.struct("h", "c", "topic")).alias("rare"))
+    both = rows.join(rare, "uid", "left").select("id", "text", "uid", "rare")
+    return both.mapInArrow(lean(run), "id long, uid long, codes binary, n_tokens long, n_known long, base_score double, shares double")
 
 
 def _join(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), dtype=np.int16), np.concatenate([[0], np.cumsum([len(x) // 2 for x in parts])]).astype(np.int64)
 
 
-def fit(train_rows: DataFrame, vocabulary, total: int, warm_tokens: int, share: float, rounds: int) -> dict[str, np.ndarray]:
-    """Parameters after a start on the driver and ``rounds`` of averaged local training."""
+def fit(coded: Callable[[Column], DataFrame], vocabulary, total: int, warm_tokens: int, share: float, rounds: int) -> dict[str, np.ndarray]:
+    """Parameters after a start on the driver and ``rounds`` of averaged local training.
+
+    ``coded`` gives (uid, codes) of the training documents for which a condition on id holds.
+    """
     p = new_parameters(vocabulary.value.code_counts)
     if not total:
         return p
-    start = [r[0] for r in _coded(train_rows.where(_chance(21, warm_tokens / total)), vocabulary).collect()]
+    sample = coded(_chance(21, warm_tokens / total))
+    start = [bytes(r["codes"]) for r in sorted(sample.collect(), key=lambda r: r["uid"])]
     if start:
-        codes, first = _join([bytes(x) for x in start])
+        codes, first = _join(start)
         passes = max(1, min(12, math.ceil(2 * warm_tokens / max(len(codes), 1))))
         moments = None
         for k in range(passes):
             moments = train(p, codes, first, 0.01 * (1 - 0.8 * k / passes), moments=moments)
     for k in range(rounds):
-        shared = train_rows.sparkSession.sparkContext.broadcast(flatten(p))
+        shared = sample.sparkSession.sparkContext.broadcast(flatten(p))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             mine, moments, seen = unflatten(shared.value), None, 0
@@ -443,7 +505,7 @@ def fit(train_rows: DataFrame, vocabulary, total: int, warm_tokens: int, share:
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([flatten(mine).tolist()], pa.list_(pa.float32())), pa.array([seen], pa.int64())], names=["p", "n"])
 
-        local = _coded(train_rows.where(_chance(31 + k, share)), vocabulary).mapInArrow(lean(run), "p array<float>, n long")
+        local = coded(_chance(31 + k, share)).select("codes").mapInArrow(lean(run), "p array<float>, n long")
         mean = local.select("n", F.posexplode("p").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x").cast("double") * F.col("n")) / F.sum("n")).alias("x")).toArrow()
         if mean.num_rows:
             flat = np.zeros(mean.num_rows, _F)
@@ -469,16 +531,15 @@ def scores(docs: DataFrame, id_col="doc_id", text_col="text", folds=10, topic_do
     counts = cut(word_counts(train_rows, centres))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     whole = distinct <= most_words
-    seen = counts if whole else counts.where(F.col("c") >= _least_count(counts, most_words))
-    table = seen.toArrow()
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(table.column("h").to_numpy().view(_U), table.column("c").to_numpy(), table.column("topic").to_numpy(), total, distinct))
-    del table
+    vocabulary = spark.sparkContext.broadcast(_vocabulary(counts, most_words, total, distinct))
+    every = None if whole else cut(_coded_by_join(rows, counts, vocabulary))
+    training = is_training("id", folds)
+    coded = (lambda keep: _coded(train_rows.where(keep), vocabulary)) if whole else (lambda keep: every.where(training & keep).select("uid", "codes"))
     share = max(share, min(1.0, 500_000 / max(total, 1)))
-    network = spark.sparkContext.broadcast(flatten(fit(train_rows, vocabulary, total, warm_tokens, share, rounds)))
+    network = spark.sparkContext.broadcast(flatten(fit(coded, vocabulary, total, warm_tokens, share, rounds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, p = vocabulary.value, unflatten(network.value)
-        floor = math.log10(vocab.total + 0.1 * (vocab.distinct + 1))
         for batch in (pool for whole_batch in batches for pool in blocks(whole_batch, "text", pool_bytes)):
             codes, bases, shares, known, lengths = [], [], [], [], []
             for part in blocks(batch, "text", 2 << 20):
@@ -486,19 +547,24 @@ def scores(docs: DataFrame, id_col="doc_id", text_col="text", folds=10, topic_do
                 c, code = vocab.find(hashes)
                 codes.append(code)
                 lengths.append(np.diff(first))
-                sums = lambda x, first=first: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)
-                bases.append(sums(np.log10(c + 0.1) - floor))
-                shares.append(sums(vocab.share(c, code)))
-                known.append(sums((c > 0).astype(np.int64)).astype(np.int64))
+                for held, x in zip((bases, shares, known), _measures(vocab, c, code, first), strict=True):
+                    held.append(x)
             flat, size = np.concatenate(codes), np.concatenate(lengths)
             first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
             model = np.add.reduceat(log_likelihoods(p, flat, first), first[:-1], dtype=np.float64) if len(flat) else np.zeros(len(size))
             score = (model + np.concatenate(shares)) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(np.concatenate(known)), pa.array(np.concatenate(bases)), pa.array(score)], names=["id", "uid", "n_tokens", "n_known", "base_score", "score"])
-
-    out = rows.mapInArrow(lean(run), "id long, uid long, n_tokens long, n_known long, base_score double, score double")
-    if not whole:
-        out = rows_with_joined_base(rows, out, counts, total, distinct)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(np.concatenate(known)), pa.array(np.concatenate(bases)), pa.array(score)], names=["id", "n_tokens", "n_known", "base_score", "score"])
+
+    def run_coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = unflatten(network.value)
+        for batch in (pool for whole_batch in batches for pool in blocks(whole_batch, "codes", pool_bytes // 3)):
+            flat, first = _join(batch.column(1).to_pylist())
+            model = np.add.reduceat(log_likelihoods(p, flat, first), first[:-1], dtype=np.float64) if len(flat) else np.zeros(batch.num_rows)
+            score = (model + batch.column(5).to_numpy()) / math.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:5], pa.array(score)], names=["id", "n_tokens", "n_known", "base_score", "score"])
+
+    schema = "id long, n_tokens long, n_known long, base_score double, score double"
+    out = rows.mapInArrow(lean(run), schema) if whole else every.select("id", "codes", "n_tokens", "n_known", "base_score", "shares").mapInArrow(lean(run_coded), schema)
     return out.select(
         F.col("id").alias(id_col), (~is_training("id", folds)).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
     )
@@ -516,21 +582,18 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
-def rows_with_joined_base(rows: DataFrame, scored: DataFrame, counts: DataFrame, total: int, distinct: int) -> DataFrame:
-    """``scored`` with n_known and base_score from a join of documents' words with all counts."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in blocks(whole, "text")):
-            hashes, first = tokens_of(batch.column(1))
-            row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            order = np.lexsort((hashes, row))
-            h, r = hashes[order], row[order]
-            start = np.flatnonzero(np.append([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1]))) if len(h) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(r[start])), pa.array(h[start].view(np.int64)), pa.array(np.diff(np.append(start, len(h))))], names=["uid", "h", "n"])
-
-    each = rows.dropDuplicates(["uid"]).mapInArrow(lean(words), "uid long, h long, n long").join(counts.select("h", "c"), "h", "left")
-    floor = math.log10(total + 0.1 * (distinct + 1))
-    base = each.groupBy("uid").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - floor)).alias("base_score")
-    )
-    return scored.drop("n_known", "base_score").join(base, "uid")
+def _vocabulary(counts: DataFrame, most_words: int, total: int, distinct: int) -> Vocabulary:
+    """All words, or the most frequent ones with the head words and the end."""
+    arrays = lambda t: (t.column("h").to_numpy().view(_U), t.column("c").to_numpy(), t.column("topic").to_numpy())
+    if distinct <= most_words:
+        return Vocabulary(*arrays(counts.toArrow()), total, distinct)
+    seen = counts.where(F.col("c") >= _least_count(counts, most_words))
+    end = int(np.array(END_HASH, _U).view(np.int64))
+    head = counts.orderBy(F.desc("c"), F.col("h").bitwiseXOR(F.lit(-(1 << 63)))).limit(HEAD + 1)
+    h, c, topic = (np.concatenate(x) for x in zip(*(arrays(x.toArrow()) for x in (seen, head, counts.where(F.col("h") == end))), strict=True))
+    h, at = np.unique(h, return_index=True)
+    tails = np.zeros(TAILS)
+    least = sum((F.col("c") >= b).cast("int") for b in BINS[1:])
+    for r in counts.groupBy((F.col("topic").cast("int") * len(BINS) + least).alias("k")).agg(F.sum("c").alias("n")).collect():
+        tails[r["k"]] = r["n"]
+    return Vocabulary(h, c[at], topic[at], total, distinct, tails)

@@ -100,6 +100,13 @@ def test_repeated_ids_are_scored_each(spark):
         assert [x[:2] for x in got] == [(1, 2), (1, 3), (1, 3), (2, 2), (3, 4)] and got[1] == got[2]
 
 
+def test_scores_do_not_depend_on_the_size_of_the_word_table(spark):
+    rows = [(i, f"{t} rare{i} rare{i % 50} other{i % 7}") for i, t, _ in _corpus(300, 4)] + [(900, None), (900, None), (901, "never seen"), (902, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in lm_score.scores(docs, warm_tokens=3_000, rounds=0, most_words=most).collect()) for most in (16_000_000, 60, 1)]
+    assert len(got[0]) == len(rows) and got[0] == got[1] == got[2]
+
+
 def test_language_model_beats_unigrams_on_held_out_text(spark):
     rng = np.random.default_rng(2)
     chains = [[f"{p}{i}" for i in range(30)] for p in ("x", "y", "z")]
