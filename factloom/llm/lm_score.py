@@ -5,12 +5,13 @@ training documents (crc32(id as text) mod ``folds`` is not 0) and come from one
 
 The output softmax is factored by class.  The ``HEAD`` most frequent words form classes whose members the network tells
 apart by a second softmax.  All other words are classed by topic (that in which they occur most; topics are k-means
-centroids of hashed word counts of a bounded sample) and by frequency; inside such a class a word has its share of the
+centroids of hashed word counts of all training documents, seeded on a sample) and by frequency; inside such a class a word has its share of the
 class's count.  The class of words seen once keeps half of its mass for unseen words, which count as one type, as they do
 in the unigram base.  So the probabilities of all known words, the end and the unseen type sum to one.
 
 Training is truncated backpropagation through time: first on a bounded sample on the driver, then in ``rounds`` of local
-training on a share of every partition's documents, after which the parameters are averaged by token counts.  Scoring
+training, after each of which the parameters are averaged by token counts.  Each training document is in one round, so
+the rounds together pass over all of them.  Scoring
 deals a batch's documents to slots and runs them window by window with the state carried over, so a document's
 likelihood covers its whole text.
 
@@ -95,11 +96,38 @@ def _centroids(x: np.ndarray, rounds: int = 20) -> np.ndarray:
     return c.astype(_F)
 
 
+def _topics(train_rows: DataFrame, seeds: np.ndarray) -> np.ndarray:
+    """``seeds`` moved to the mean direction of all training documents next to each."""
+    shared = train_rows.sparkSession.sparkContext.broadcast(seeds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((TOPICS, BUCKETS))
+        for batch in (part for whole in batches for part in blocks(whole, "text")):
+            x = _profiles(*tokens_of(batch.column(1)))
+            at = np.argmax(x @ shared.value.T, axis=1)
+            for k in range(TOPICS):
+                sums[k] += x[at == k].sum(axis=0)
+        if sums.any():
+            i = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(sums.ravel()[i])], names=["i", "x"])
+
+    sums = np.zeros(TOPICS * BUCKETS)
+    found = train_rows.select("id", "text").mapInArrow(lean(run), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    sums[found.column("i").to_numpy()] = found.column("x").to_numpy()
+    sums = sums.reshape(TOPICS, BUCKETS)
+    norm = np.linalg.norm(sums, axis=1, keepdims=True)
+    return np.where(norm > 0, sums / np.maximum(norm, 1e-6), seeds).astype(_F)
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.withColumn("uid", F.xxhash64("id", "text"))
 
 
+def _in_round(k: int, rounds: int) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(31)), F.lit(rounds)) == k
+
+
 def _chance(seed: int, rate: float) -> Column:
     return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, rate))
 
@@ -462,8 +490,8 @@ def _join(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), dtype=np.int16), np.concatenate([[0], np.cumsum([len(x) // 2 for x in parts])]).astype(np.int64)
 
 
-def fit(coded: Callable[[Column], DataFrame], vocabulary, total: int, warm_tokens: int, share: float, rounds: int) -> dict[str, np.ndarray]:
-    """Parameters after a start on the driver and ``rounds`` of averaged local training.
+def fit(coded: Callable[[Column], DataFrame], vocabulary, total: int, warm_tokens: int, rounds: int) -> dict[str, np.ndarray]:
+    """Parameters after a start on the driver and ``rounds`` of averaged local training over all documents.
 
     ``coded`` gives (uid, codes) of the training documents for which a condition on id holds.
     """
@@ -488,7 +516,7 @@ def fit(coded: Callable[[Column], DataFrame], vocabulary, total: int, warm_token
             def step() -> None:
                 nonlocal moments, seen
                 codes, first = _join(held)
-                moments = train(mine, codes, first, 0.002, moments=moments)
+                moments = train(mine, codes, first, 0.002, slots=256, moments=moments)
                 seen += len(codes)
                 held.clear()
 
@@ -505,7 +533,7 @@ def fit(coded: Callable[[Column], DataFrame], vocabulary, total: int, warm_token
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([flatten(mine).tolist()], pa.list_(pa.float32())), pa.array([seen], pa.int64())], names=["p", "n"])
 
-        local = coded(_chance(31 + k, share)).select("codes").mapInArrow(lean(run), "p array<float>, n long")
+        local = coded(_in_round(k, rounds)).select("codes").mapInArrow(lean(run), "p array<float>, n long")
         mean = local.select("n", F.posexplode("p").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x").cast("double") * F.col("n")) / F.sum("n")).alias("x")).toArrow()
         if mean.num_rows:
             flat = np.zeros(mean.num_rows, _F)
@@ -514,7 +542,7 @@ def fit(coded: Callable[[Column], DataFrame], vocabulary, total: int, warm_token
     return p
 
 
-def scores(docs: DataFrame, id_col="doc_id", text_col="text", folds=10, topic_docs=4_000, warm_tokens=1_000_000, share=0.03, rounds=2, most_words=16_000_000, pool_bytes=16 << 20) -> DataFrame:
+def scores(docs: DataFrame, id_col="doc_id", text_col="text", folds=10, topic_docs=4_000, warm_tokens=1_000_000, rounds=2, most_words=16_000_000, pool_bytes=16 << 20) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10)."""
     require(docs, id_col, text_col)
     spark = docs.sparkSession
@@ -527,7 +555,7 @@ def scores(docs: DataFrame, id_col="doc_id", text_col="text", folds=10, topic_do
 
     count = train_rows.count()
     sample = train_rows.where(_chance(7, topic_docs / max(count, 1))).mapInArrow(lean(profile), "x binary").limit(2 * topic_docs).collect()
-    centres = _centroids(np.array([np.frombuffer(r[0], dtype=_F) for r in sample]))
+    centres = _topics(train_rows, _centroids(np.array([np.frombuffer(r[0], dtype=_F) for r in sample])))
     counts = cut(word_counts(train_rows, centres))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     whole = distinct <= most_words
@@ -535,8 +563,7 @@ def scores(docs: DataFrame, id_col="doc_id", text_col="text", folds=10, topic_do
     every = None if whole else cut(_coded_by_join(rows, counts, vocabulary))
     training = is_training("id", folds)
     coded = (lambda keep: _coded(train_rows.where(keep), vocabulary)) if whole else (lambda keep: every.where(training & keep).select("uid", "codes"))
-    share = max(share, min(1.0, 500_000 / max(total, 1)))
-    network = spark.sparkContext.broadcast(flatten(fit(coded, vocabulary, total, warm_tokens, share, rounds)))
+    network = spark.sparkContext.broadcast(flatten(fit(coded, vocabulary, total, warm_tokens, rounds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, p = vocabulary.value, unflatten(network.value)

@@ -107,6 +107,39 @@ def test_scores_do_not_depend_on_the_size_of_the_word_table(spark):
     assert len(got[0]) == len(rows) and got[0] == got[1] == got[2]
 
 
+def test_every_training_document_is_trained_on(spark, monkeypatch):
+    real = lm_score.fit
+
+    def spy(coded, vocabulary, total, warm_tokens, *rest):
+        def seen(keep):
+            rows = coded(keep)
+            asked.append({r.uid for r in rows.collect()})
+            return rows
+
+        return real(seen, vocabulary, total, warm_tokens, *rest)
+
+    monkeypatch.setattr(lm_score, "fit", spy)
+    docs = spark.createDataFrame([(i, f"{t} " * 400) for i, t, _ in _corpus(200, 5)], "doc_id long, text string").repartition(3)
+    want = {r.uid for r in lm_score._rows(docs, "doc_id", "text").where(lm_score.is_training("id", 10)).collect()}
+    for most in (16_000_000, 20):
+        asked = []
+        lm_score.scores(docs, warm_tokens=1_000, most_words=most)
+        assert set().union(*asked[1:]) == want and sum(map(len, asked[1:])) == len(want)
+
+
+def test_topics_come_from_all_training_documents(spark):
+    seeds = np.eye(lm_score.TOPICS, lm_score.BUCKETS, dtype=np.float32)
+    docs = spark.createDataFrame([(i, t, 0) for i, t, _ in _corpus(90, 6)], "id long, text string, uid long").repartition(3)
+    import pyarrow as pa
+
+    x = lm_score._profiles(*lm_score.tokens_of(pa.array([r.text for r in docs.collect()])))
+    at = np.argmax(x @ seeds.T, axis=1)
+    got = lm_score._topics(docs, seeds)
+    for k in range(lm_score.TOPICS):
+        want = x[at == k].sum(axis=0) / np.linalg.norm(x[at == k].sum(axis=0)) if (at == k).any() else seeds[k]
+        assert np.allclose(got[k], want, atol=1e-5)
+
+
 def test_language_model_beats_unigrams_on_held_out_text(spark):
     rng = np.random.default_rng(2)
     chains = [[f"{p}{i}" for i in range(30)] for p in ("x", "y", "z")]
