@@ -10,7 +10,9 @@ content too.
 
 Elements that are never article text (scripts, styles, forms, navigation, asides, footers, page headers, hidden ones, and
 those whose class, id or role names an advert, a menu, a notice, a comment section and the like) are left out of the tree,
-so they neither add to densities nor to the text.  Lists and paragraphs of which nearly all characters are links are
+so they neither add to densities nor to the text.  A form, or an element marked by class, id or role, stays with those around it
+where it holds more text outside links, not counting that of marked ones inside it, than any other and than four times all that is
+in none.  Lists and paragraphs of which nearly all characters are links are
 dropped from content.
 
 Text of a block has its white space turned into single spaces; blocks are joined by one space in page order.
@@ -46,7 +48,8 @@ ENDS = {
 ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
-LEFT_OUT = frozenset("nav aside footer form button select input dialog canvas audio video object embed menu head datalist fieldset".split())
+LEFT_OUT = frozenset("nav aside footer button select input dialog canvas audio video object embed menu head datalist".split())
+FORMS = frozenset("form fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of a class or id that mark an element as something other than the article.
 MARKS = frozenset(
@@ -56,6 +59,8 @@ MARKS = frozenset(
     signup login toolbar pagination pager skip tags tagcloud toc disclaimer copyright paywall outbrain taboola discussion replies reply feedback""".split()
 )
 KEEPS = frozenset("article main body html".split())
+#: A marked element holds the main part if it has more than so many times the text that is in no marked element.
+LONE = 4
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -72,11 +77,12 @@ class Node:
         self.content, self.best, self.best_node = False, -1.0, self
 
 
-def _excluded(tag: str, attributes: str, parent: Node | None) -> bool:
+def _excluded(tag: str, attributes: str, parent: Node | None) -> int:
+    """1 for an element that is never article text, 2 for one that is only marked as such, else 0."""
     if tag in KEEPS:
-        return False
+        return 0
     if tag in LEFT_OUT or tag in RAW:
-        return True
+        return 1
     if tag == "header":
         node = parent
         while node:
@@ -84,23 +90,26 @@ def _excluded(tag: str, attributes: str, parent: Node | None) -> bool:
                 break
             node = node.parent
         else:
-            return True
+            return 1
+    kind = 2 if tag in FORMS else 0
     if not attributes or attributes == "/":
-        return False
+        return kind
     for m in _ATTR.finditer(attributes):
         name = m[1].lower()
         value = (m[2] or "").strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and not MARKS.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+            return 1
+        if (name == "role" and value in ROLES) or (name in ("class", "id") and not MARKS.isdisjoint(_WORD.findall(value))):
+            kind = 2
+    return kind
+
 
+def parse(source: str, spared: frozenset[int] = frozenset(), marked: dict[Node, int] | None = None) -> Node:
+    """The tree; texts are strings among the children.
 
-def parse(source: str) -> Node:
-    """The tree; texts are strings among the children."""
+    Marked elements are left out but those that begin at one of ``spared``.  With ``marked``, which gets the beginning of
+    each, they all stay, and formatting elements are nodes.
+    """
     root = node = Node("html", None)
     depth_out: list[str] = []  # open elements inside one that is left out
     at, size = 0, len(source)
@@ -125,6 +134,11 @@ def parse(source: str) -> Node:
                     continue
                 depth_out.clear()  # what is left out was never closed and ends with its parent
             if tag in INLINE:
+                if marked is not None:
+                    up = node
+                    while up.tag in INLINE and up.tag != tag:
+                        up = up.parent
+                    node = up.parent if up.tag == tag else node
                 continue
             up = node
             while up.parent and up.tag != tag:
@@ -148,16 +162,19 @@ def parse(source: str) -> Node:
             node = _close(node, *ENDS[tag])
         if tag == "html" or (tag == "body" and _open(node, "body")):
             continue
-        if _excluded(tag, m[3], node):
+        kind = _excluded(tag, m[3], node)
+        if kind == 1 or (kind == 2 and marked is None and m.start() not in spared):
             if tag not in VOID and not closed:
                 depth_out.append(tag)
             continue
-        if tag in INLINE or tag == "br":  # formatting is no node: it would dilute the densities of what it formats
+        if (tag in INLINE and (marked is None or tag in VOID)) or tag == "br":  # formatting is no node: it would dilute the densities of what it formats
             if tag == "br":
                 node.children.append("\n")
             continue
         child = Node(tag, node)
         node.children.append(child)
+        if marked is not None and kind == 2:
+            marked[child] = m.start()
         if tag not in VOID and not closed:
             node = child
     return root
@@ -283,11 +300,40 @@ def text_of(body: Node) -> str:
     return " ".join(blocks)
 
 
+def spare(source: str) -> frozenset[int]:
+    """Where the marked elements begin that hold the page's main part."""
+    marked: dict[Node, int] = {}
+    root = parse(source, marked=marked)
+    if not marked:
+        return frozenset()
+    sizes: dict[Node | None, int] = {None: 0}
+    stack: list[tuple[Node, Node | None]] = [(root, None)]
+    while stack:
+        node, inside = stack.pop()
+        if node.tag == "a":
+            continue
+        inside = node if node in marked else inside
+        for c in node.children:
+            if isinstance(c, str):
+                sizes[inside] = sizes.get(inside, 0) + len("".join(c.split()))
+            else:
+                stack.append((c, inside))
+    node = max(sizes, key=lambda n: sizes[n])
+    found = set()
+    if sizes[node] <= LONE * sizes[None]:  # comments can be longer than what they are about
+        return frozenset()
+    while node:
+        if node in marked:
+            found.add(marked[node])
+        node = node.parent
+    return frozenset(found)
+
+
 def extract(source: str | None) -> str:
     """Main text of a page."""
     if not source:
         return ""
-    root = parse(source)
+    root = parse(source, spare(source))
     body = next((n for n in _order(root) if n.tag == "body"), root)
     measure(body)
     select(body)

@@ -49,6 +49,23 @@ def test_main_text(source):
     assert html_density.extract(source) == PAGES[source]
 
 
+def test_html_marked_wrapper_of_the_article_stays():
+    article = "<p>" + "A long sentence of the article itself. " * 12 + "</p>"
+    text = " ".join(("A long sentence of the article itself. " * 12).split())
+    note = '<div class="cookie-notice">We use cookies.</div>'
+    comments = '<div id="comments">' + '<div class="comment">Nice one, thanks for it.</div>' * 40 + "</div>"
+    for page in (
+        f'<body><div class="site has-sidebar">{article}{note}</div></body>',
+        f'<body><div id="content" class="no-comments">{article}</div></body>',
+        f'<body><form action="/"><div class="with-menu">{article}</div>{note}</form></body>',
+        f'<body><span class="ad-free"><span>{article}</span></span></body>',
+        f'<body><div class="has-sidebar">{article}{comments}</div></body>',
+    ):
+        assert html_density.extract(page) == text
+    for beside in (note, comments, "<form>Search here</form>", '<div hidden class="popup">' + article * 3 + "</div>"):
+        assert html_density.extract(f"<body><div>{article}</div>{beside}</body>") == text
+
+
 def test_deep_page_needs_no_recursion():
     assert html_density.extract("<div>" * 5000 + "text" + "</div>" * 5000) == "text"
 
