@@ -15,7 +15,8 @@ At the default 40 bands of 5 rows a pair at similarity 0.8 shares no bucket with
 
 Defined results: texts without words (null, empty) have 0 shingles and stay alone; a text with fewer words than a
 shingle has one shingle, its whole sequence; equal texts are one component; an empty table gives no rows; rows that
-repeat a document id share its component; other columns are ignored by ``components`` and passed through by ``keep``.
+repeat a document id share its component in ``components``, while ``keep`` tells rows of other texts apart and leaves one of
+equal ones, but all without words; other columns are ignored by ``components`` and passed through by ``keep``.
 """
 
 from __future__ import annotations
@@ -330,9 +331,23 @@ def _most_mismatches(threshold: float, miss: float = 1e-8) -> int:
 
 
 def keep(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
-    """The documents of which each component keeps one: that with the smallest id.  All columns stay."""
-    gone = components(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """The rows of which each component keeps one: that with the smallest id, then a row tie-break.  All columns stay.
+
+    Components are those of pairs of id and text, by hash, so ids may repeat with equal or other texts.
+    """
+    rows = docs.withColumn("_uid", F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 1))
+    found = components(rows.select("_uid", text_col), "_uid", text_col, **options).where("n_shingles > 0")
+    found = cut(found.groupBy("_uid").agg(F.first("component_id").alias("comp"), F.count(F.lit(1)).alias("times")))
+    linked = found.join(found.where("_uid <> comp").select("comp").distinct(), "comp").select("comp", "_uid")
+    with_id = linked.join(rows.select("_uid", F.col(id_col).alias("_id")), "_uid")
+    winner = with_id.groupBy("comp").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_uid"))["_uid"].alias("best"))
+    gone = linked.join(winner, "comp").where("_uid <> best").select("_uid")
+    kept = rows.join(gone, "_uid", "left_anti")
+    repeated = found.where("times > 1").select("_uid")
+    if repeated.limit(1).count():
+        one = kept.join(repeated, "_uid", "left_semi").groupBy("_uid").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+        kept = kept.join(repeated, "_uid", "left_anti").select(*docs.columns).union(one.select("row.*"))
+    return kept.select(*docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -68,6 +68,15 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.components(df, shingle=4).collect()) == _near(docs)
 
 
+def test_near_dedup_keeps_one_row_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
+    rows = [(1, a, "x"), (1, a, "y"), (2, a + " more", "x"), (2, b, "x"), (3, c, "x"), (3, c, "x"), (4, None, "x"), (4, None, "x"), (5, b, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = near_dedup.keep(df, shingle=4)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, (r.text or "")[:1]) for r in kept.collect()) == [(1, "a"), (2, "b"), (3, "c"), (4, ""), (4, "")]
+
+
 def test_near_dedup_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e")], "doc_id long, text string")
     assert sorted(r.component_id for r in near_dedup.components(df).collect()) == [1, 1, 1]
