@@ -49,9 +49,12 @@ def test_main_text(source):
     assert html_density.extract(source) == PAGES[source]
 
 
-def test_html_marked_wrapper_of_the_article_stays():
-    article = "<p>" + "A long sentence of the article itself. " * 12 + "</p>"
-    text = " ".join(("A long sentence of the article itself. " * 12).split())
+ARTICLE = "A long sentence of the article itself. " * 12
+PLAIN = " ".join(ARTICLE.split())
+
+
+def test_html_names_do_not_decide_alone():
+    article = f"<p>{ARTICLE}</p>"
     note = '<div class="cookie-notice">We use cookies.</div>'
     comments = '<div id="comments">' + '<div class="comment">Nice one, thanks for it.</div>' * 40 + "</div>"
     for page in (
@@ -60,10 +63,108 @@ def test_html_marked_wrapper_of_the_article_stays():
         f'<body><form action="/"><div class="with-menu">{article}</div>{note}</form></body>',
         f'<body><span class="ad-free"><span>{article}</span></span></body>',
         f'<body><div class="has-sidebar">{article}{comments}</div></body>',
+        f'<body><div class="sidebar">{article}</div><div>short</div></body>',
+        f'<body><div class="comments ad">{article}</div></body>',
     ):
-        assert html_density.extract(page) == text
+        assert html_density.extract(page) == PLAIN, page
     for beside in (note, comments, "<form>Search here</form>", '<div hidden class="popup">' + article * 3 + "</div>"):
-        assert html_density.extract(f"<body><div>{article}</div>{beside}</body>") == text
+        assert html_density.extract(f"<body><div>{article}</div>{beside}</body>") == PLAIN
+
+
+def test_html_article_is_kept_whole():
+    page = """<body><nav><a href="/">Home</a></nav><article><div class="article-header"><h1>The title</h1></div><p class="share-price">Share price 12.3</p>
+      <p>Some plain words here.</p><ul><li><a href="1">one</a><li><a href="2">two</a></ul><p>End.</p></article><div>Buy now</div></body>"""
+    assert html_density.extract(page) == "The title Share price 12.3 Some plain words here. one two End."
+    assert html_density.extract(page.replace("article>", "div>").replace("Some plain", ARTICLE)).startswith("The title Share price")
+    nested = f"<body><main><h1>T</h1><article><p>{ARTICLE}</p><article><p>{ARTICLE * 2}</p></article></article></main></body>"
+    assert html_density.extract(nested) == f"T {PLAIN}"
+
+
+def test_html_density_rejects_what_no_name_marks(monkeypatch):
+    page = f"""<body><div><a href="1">Home</a><a href="2">About us</a></div><h1>Title</h1><div><p>{ARTICLE}</p><p>short</p></div>
+      <div>Cookies are used here, accept.</div><div><p>Buy this.</p><a href="3">now</a></div></body>"""
+    assert html_density.extract(page) == f"Title {PLAIN} short"
+    monkeypatch.setattr(html_density, "select", lambda nodes: setattr(nodes[0], "content", True))
+    assert html_density.extract(page) == f"Home About us Title {PLAIN} short Cookies are used here, accept. Buy this. now".replace("Home About", "HomeAbout")
+
+
+def _articles(name):
+    import duckdb
+
+    import html as h
+
+    out = []
+    for (source,) in duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet' where html is not null").fetchall():
+        inner = re.sub("<footer>.*", "", re.search("<article>(.*?)(</article>|$)", source, re.S)[1], flags=re.S)
+        inner = re.sub("<[^>]*>", "", re.sub("</?(p|h1|br)[^>]*>", " ", inner))
+        out.append((source.replace("<article>", f"<{name}>").replace("</article>", f"</{name}>"), " ".join(h.unescape(inner).split())))
+    return out
+
+
+@pytest.mark.parametrize(("name", "least"), [("article", 250), ("div", 249)])
+def test_density_alone_finds_articles_and_its_lack_none(monkeypatch, name, least):
+    """Without names of classes, and then without selection."""
+    monkeypatch.setattr(html_density, "_named", lambda value: 0)
+    pages = _articles(name)
+    assert sum(html_density.extract(p) == t for p, t in pages) >= least and len(pages) == 250
+    monkeypatch.setattr(html_density, "select", lambda nodes: setattr(nodes[0], "content", True))
+    assert sum(html_density.extract(p) == t for p, t in pages) == 0
+
+
+def _shape(node):
+    """(C, T, LC, LT) of a subtree by recursion."""
+    c = t = lc = lt = 0
+    for x in node.children:
+        if isinstance(x, str):
+            c += len(re.sub(r"\s", "", x))
+        else:
+            got = _shape(x)
+            c, t, lc, lt = c + got[0], t + got[1] + 1, lc + got[2], lt + got[3] + (x.tag == "a")
+    return c, t, c if node.tag == "a" else lc, lt
+
+
+def test_densities_and_the_core_against_brute_force():
+    import math
+
+    rng = np.random.default_rng(1)
+
+    def tree(depth):
+        kids = [tree(depth - 1) if rng.random() < 0.7 and depth else "w" * int(rng.integers(1, 60)) for _ in range(rng.integers(1, 4))]
+        name = str(rng.choice(["div", "section", "a", "td"]))
+        return f"<{name}>{''.join(kids)}</{name}>"
+
+    for _ in range(60):
+        nodes = html_density.count(html_density.parse(f"<x>{tree(3)}{tree(3)}</x>"))
+        body = nodes[0]
+        core = html_density.measure(nodes)
+        bc, _, blc, _ = _shape(body)
+        density, least, total = {}, {}, {}
+        for n in nodes:
+            c, t, lc, lt = _shape(n)
+            base = math.log(c / max(c - lc, 1) * lc + blc / bc * c + math.e) if c else 1
+            density[n] = c / max(t, 1) * math.log(max(1, c / max(lc, 1) * max(t, 1) / max(lt, 1))) / max(1, math.log(base)) if c else 0
+            path = [n]
+            while path[-1] is not body:
+                path.append(path[-1].parent)
+            least[n] = min(density[x] for x in path)
+        for n in nodes:
+            own = len("".join(c for c in n.children if isinstance(c, str)))
+            base = math.log((own / 1 * own if n.tag == "a" else 0) + blc / bc * own + math.e)
+            mine = own * math.log(max(1, own / max(own if n.tag == "a" else 1, 1))) / max(1, math.log(base)) if own else 0
+            parts = [density[c] for c in n.children if not isinstance(c, str)] + ([mine] if own or not n.nodes() else [])
+            total[n] = sum(x for x in parts if x >= least[n])
+            assert abs(n.density - density[n]) < 1e-6 * (1 + density[n]) and abs(n.least - least[n]) < 1e-6 * (1 + least[n]) and abs(n.total - total[n]) < 1e-6 * (1 + total[n])
+        assert abs(core.total - max(total.values())) < 1e-6 * (1 + core.total)
+
+
+def test_damaged_and_long_pages():
+    rng = np.random.default_rng(2)
+    bits = ["<div>", "</div>", "<p>", "</p>", "<article>", "</article>", "<a href='x'>", "</a>", "<h1>", "<ul><li>", "</ul>", "<nav>", "</nav>", "<form>", "text ", "more words ", "&lt;", "<", ">", "<br>", "<!--", "-->", "<div class='ad'>", "<body>", "</body>", "<table><tr><td>", "</table>", "<span>"]
+    for _ in range(400):
+        got = html_density.extract("".join(rng.choice(bits, rng.integers(0, 40))))
+        assert got == " ".join(got.split())
+    words = "word " * 60
+    assert html_density.extract(f"<article>{f'<p>{words}</p>' * 3000}</article>") == " ".join((words * 3000).split())
 
 
 def test_deep_page_needs_no_recursion():
@@ -75,6 +176,8 @@ def test_extract_pages_nulls_extras_and_empty(spark):
     rows = sorted((r.page_id, r.url, r.text, r.n_chars) for r in html_density.extract_pages(df).collect() if r.url) + sorted((r.page_id, r.text, r.n_chars) for r in html_density.extract_pages(df).collect() if not r.url)
     assert rows == [(1, "u", "", 0), (2, "a", 1), (2, "a", 1)]
     assert html_density.extract_pages(df.limit(0)).count() == 0
+    clash = spark.createDataFrame([(3, "u", "<p>b</p>", 1, "i")], "page_id long, url string, html string, n_chars int, id string")
+    assert [tuple(r) for r in html_density.extract_pages(clash).collect()] == [(3, "u", "b", 1)]
 
 
 def _brute(docs, items, n=10):
