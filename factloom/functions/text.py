@@ -103,7 +103,7 @@ def has_legal_form(s: Column) -> Column:
 def norm_type(label: Column, extra: dict[str, str] | None = None) -> Column:
     """Ontology type of a free-form label; the card's own map first, "other" if unknown."""
     key = strip(fold(label))
-    table = {word: t for t, words in S.TYPE_SYNONYMS.items() for word in words} | (extra or {})
+    table = S.TYPE_SYNONYMS | (extra or {})
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key), F.lit("other"))
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import files, loaders
+from ..sources.shared import shared_path
 from ..streaming import ingest
 from . import inputs as I
 
@@ -25,14 +23,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="factloom-")
-    return f"{base.rstrip('/')}/factloom/{name}-{uuid.uuid4().hex}"
-
-
 @query("a12_native_gold", "SELECT cast(doc_id as varchar) AS doc_id, text, CAST(1 AS BIGINT) AS entities FROM documents")
 def a12(spark, d) -> DataFrame:
-    path = _folder(spark, "gold")
+    path = shared_path(spark, "gold")
     ents = F.array(F.struct(F.lit("e").alias("id"), F.lit("n").alias("name"), F.lit("other").alias("type"), F.array().cast("array<string>").alias("aliases"), F.array(F.struct(F.lit("m").alias("text"), F.lit(0).alias("start"), F.lit(1).alias("end"))).alias("mentions")))
     I.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", ents.alias("entities")).write.json(path)
     return loaders.load(spark, "native", path).select("doc_id", "text", F.size("entities").cast("bigint").alias("entities"))
@@ -40,7 +33,7 @@ def a12(spark, d) -> DataFrame:
 
 @query("a13_legacy_labels", f"""WITH {I.NAMES}, u AS (SELECT doc_id, count(*) AS n FROM names GROUP BY 1) SELECT doc_id, CAST(n + 1 AS BIGINT) AS entities, CAST(1 AS BIGINT) AS relations FROM u""")
 def a13(spark, d) -> DataFrame:
-    path = _folder(spark, "legacy")
+    path = shared_path(spark, "legacy")
     rows = I.names(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "name", "type"))).alias("x"))
     ents = F.transform("x", lambda e: F.struct(e["name"].alias("entity_name"), e["type"].alias("entity_type")))
     rels = F.array(F.struct(F.col("x")[0]["name"].alias("source"), F.lit("controls").alias("relationship"), F.concat(F.lit("Unlisted "), "doc_id").alias("target")))
@@ -52,7 +45,7 @@ def a13(spark, d) -> DataFrame:
 @query("a14_conll", "SELECT 'c-' || lpad(CAST(k AS VARCHAR), 4, '0') AS doc_id, CAST(2 AS BIGINT) AS entities, 'EU sent Ann Lee' || chr(10) || 'to Bonn .' || chr(10) AS text FROM (SELECT unnest(generate_series(0, 4)) AS k)")
 def a14(spark, d) -> DataFrame:
     """A fixture of five documents in one file: four mentions each, two of them in kept classes."""
-    path = _folder(spark, "conll")
+    path = shared_path(spark, "conll")
     doc = "-DOCSTART- O\n\nEU B-ORG\nsent O\nAnn I-PER\nLee I-PER\n\nto O\nBonn B-LOC\n. O\n\n"
     spark.createDataFrame([(doc * 5,)], "value string").coalesce(1).write.text(path)
     rows = loaders.load(spark, "conll", path, {"name": "c", "type_map": {"ORG": "company", "PER": "person", "LOC": None}})
@@ -61,7 +54,7 @@ def a14(spark, d) -> DataFrame:
 
 @query("a15_docred", "SELECT 'T' || item_id AS doc_id, CAST(2 AS BIGINT) AS entities, 'v1' AS source, 'controls' AS type, 'v0' AS target, CAST(0 AS BIGINT) AS start_char FROM benchmark")
 def a15(spark, d) -> DataFrame:
-    path = _folder(spark, "docred")
+    path = shared_path(spark, "docred")
     vertex = lambda n, s, a, b, t: F.array(F.struct(F.lit(n).alias("name"), F.array(F.lit(a), F.lit(b)).alias("pos"), F.lit(s).alias("sent_id"), F.lit(t).alias("type")))
     I.table(spark, d, "benchmark").select(
         F.concat(F.lit("T"), "item_id").alias("title"), F.array(F.array(F.lit("Acme"), F.lit("Inc"), F.lit(".")), F.array(F.lit("Bob"), F.lit("owns"), F.lit("it"))).alias("sents"),
@@ -73,7 +66,7 @@ def a15(spark, d) -> DataFrame:
 
 @query("a16_squad", "SELECT 'C' || item_id || '#0' AS doc_id, trim(substring(text, 3, 12)) AS name, CAST(2 + length(substring(text, 3, 12)) - length(ltrim(substring(text, 3, 12))) AS BIGINT) AS start_char, CAST(2 + length(substring(text, 3, 12)) - length(ltrim(substring(text, 3, 12))) + length(trim(substring(text, 3, 12))) AS BIGINT) AS end_char FROM benchmark WHERE regexp_matches(substring(text, 3, 12), '[^ ]')")
 def a16(spark, d) -> DataFrame:
-    path = _folder(spark, "squad")
+    path = shared_path(spark, "squad")
     qa = F.struct(F.concat(F.lit("q__Parties"), F.lit("")).alias("id"), F.array(F.struct(F.expr("substring(text, 3, 12)").alias("text"), F.lit(2).alias("answer_start"))).alias("answers"))
     other = F.struct(F.lit("q__Date").alias("id"), F.array(F.struct(F.lit("x").alias("text"), F.lit(0).alias("answer_start"))).alias("answers"))
     row = F.struct(F.concat(F.lit("C"), "item_id").alias("title"), F.array(F.struct(F.col("text").alias("context"), F.array(qa, other).alias("qas"))).alias("paragraphs"))
@@ -84,7 +77,7 @@ def a16(spark, d) -> DataFrame:
 
 @query("a17_textract", "SELECT 'line ' || item_id || chr(10) || 'second' AS text, 'Acme ' || item_id AS name, 'company' AS type FROM benchmark")
 def a17(spark, d) -> DataFrame:
-    path = _folder(spark, "textract")
+    path = shared_path(spark, "textract")
     block = lambda k, t: F.struct(F.lit(k).alias("BlockType"), t.alias("Text"))
     I.table(spark, d, "benchmark").select(F.array(block("PAGE", F.lit("p")), block("LINE", F.concat(F.lit("line "), "item_id")), block("LINE", F.lit("second"))).alias("Blocks"), F.array(F.struct(F.concat(F.lit("Acme "), "item_id").alias("Text"), F.lit("ORG").alias("Type"))).alias("Entities")).repartition(8).write.option("maxRecordsPerFile", 1).json(path)
     rows = loaders.load(spark, "textract", path, {"type_map": {"ORG": "company"}}).select("text", F.explode("entities").alias("e"))
@@ -93,7 +86,7 @@ def a17(spark, d) -> DataFrame:
 
 @query("k02_run_round_trip", f"WITH {I.ENTITIES} SELECT doc_id AS run_id, CAST(count(*) AS BIGINT) AS entities FROM entities GROUP BY 1")
 def k02(spark, d) -> DataFrame:
-    path = _folder(spark, "runs")
+    path = shared_path(spark, "runs")
     rows = I.entities(spark, d).groupBy(F.col("doc_id").alias("run_id")).agg(F.collect_list(F.struct("entity_id", "canonical_name", "entity_type", "aliases", "citations")).alias("entities"))
     files.write_runs(rows, path)
     return spark.read.json(path).select(F.col("run_id").cast("string").alias("run_id"), F.size("entities").cast("bigint").alias("entities"))
@@ -101,7 +94,7 @@ def k02(spark, d) -> DataFrame:
 
 @query("k05_history", "SELECT 'e' || s_suppkey AS eval_id, CAST(s_acctbal AS VARCHAR) AS entity_recall FROM supplier WHERE s_suppkey < 20")
 def k05(spark, d) -> DataFrame:
-    path = _folder(spark, "history")
+    path = shared_path(spark, "history")
     rows = I.table(spark, d, "supplier").where("s_suppkey < 20").select(F.concat(F.lit("e"), F.col("s_suppkey").cast("string")).alias("eval_id"), F.col("s_acctbal").alias("entity_recall"), F.lit(1).alias("extra"))
     files.append_history(rows, path)
     return files.read_history(spark, path).select("eval_id", "entity_recall")

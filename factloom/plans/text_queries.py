@@ -45,7 +45,7 @@ _names("c17_is_empty_after_normalization", lambda: T.normalize_entity_name(F.col
 _names("c27_has_legal_form", lambda: T.has_legal_form(F.col("name")), "list_has_any(string_split(" + _ALIAS.format(x="name") + ", ' '), [" + ", ".join(f"'{w}'" for w in S.LEGAL_FORMS) + "])")
 
 _RAW_LABEL = "CASE k % 9 WHEN 0 THEN 'Org' WHEN 1 THEN ' PERSON ' WHEN 2 THEN 'Contract' WHEN 3 THEN 'subsidiary' WHEN 4 THEN 'misc' WHEN 5 THEN 'regulator' WHEN 6 THEN 'Asset' WHEN 7 THEN 'Firm' ELSE 'per' END"
-_SYNONYMS = "CASE " + " ".join(f"WHEN lower(trim({_RAW_LABEL})) IN {_words(w)} THEN '{t}'" for t, w in S.TYPE_SYNONYMS.items()) + " ELSE 'other' END"
+_SYNONYMS = "CASE " + " ".join(f"WHEN lower(trim({_RAW_LABEL})) = '{w}' THEN '{t}'" for w, t in S.TYPE_SYNONYMS.items()) + " ELSE 'other' END"
 _names("c08_norm_type", lambda: T.norm_type(F.expr(_RAW_LABEL)), _SYNONYMS)
 _RAW_REL = "CASE k % 4 WHEN 0 THEN ' Transfers to' WHEN 1 THEN 'participates-in' WHEN 2 THEN 'Related - to ' ELSE 'controls' END"
 _names("c09_norm_rel", lambda: T.norm_rel(F.expr(_RAW_REL)), rf"regexp_replace(lower(trim({_RAW_REL})), '[\s\-]+', '_', 'g')")

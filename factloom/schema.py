@@ -17,12 +17,13 @@ DIRECTION_RULES = {
 }
 CLASS_TYPES = {"person": "person", "company": "company", "agreement": "agreement", "asset": "asset", "otherentity": "other", "other": "other"}
 TYPE_SYNONYMS = {
-    "person": ["person", "per", "people", "individual"],
-    "company": ["company", "organization", "organisation", "org", "business", "corporation", "subsidiary", "firm"],
-    "agreement": ["agreement", "contract"],
-    "asset": ["asset"],
-    "other": ["other", "misc", "miscellaneous"],
-}
+    "person": "person", "per": "person", "people": "person", "individual": "person",
+    "company": "company", "organization": "company", "organisation": "company", "org": "company",
+    "business": "company", "corporation": "company", "subsidiary": "company", "firm": "company",
+    "agreement": "agreement", "contract": "agreement",
+    "asset": "asset",
+    "other": "other", "misc": "other", "miscellaneous": "other",
+}
 #: Suffix words that plain name normalisation drops anywhere.
 SUFFIX_WORDS = ["inc", "corp", "corporation", "llc", "ltd", "limited", "company", "co", "plc", "group", "holdings"]
 #: Words that lenient matching drops anywhere.
@@ -33,6 +34,17 @@ LEGAL_FORMS = """gmbh ag kg ug ohg gbr se mbh ev inc incorporated llc ltd limite
 ARTICLES = ["the", "der", "die", "das"]
 GENERIC_TERMS = """company parties party agreement contract seller buyer lender borrower gesellschaft vertrag vereinbarung partei parteien auftraggeber
 auftragnehmer versicherer versicherungsnehmer kunde bank""".split()
+#: What a definition in brackets begins with, what may follow, what links it to its short form; and what precedes a former name.
+DEFINITION_LEADS = ["hereinafter", "nachfolgend", "im folgenden", "im nachfolgenden", "together"]
+DEFINITION_ALSO = ["auch", "also"]
+DEFINITION_LINKS = ["referred to as", "genannt", "bezeichnet als"]
+FORMER_LEADS = [
+    "formerly", "formerly known as", "f/k/a", "fk/a", "f/ka", "fka", "vormals", "ehemals", "früher", "previously", "previously known as",
+    "also known as", "a/k/a", "ak/a", "a/ka", "aka", "auch bekannt als",
+]
+QUOTE_MARKS = "\"'“”„‚‘’«»"
+#: Words inside names that are not capitalised.
+NAME_WORDS = ["&", "of", "und", "and", "de", "für"]
 # End of fixed values.
 
 CITATION = "struct<file_id:string,chunk_id:int,start_char:int,end_char:int,quote:string,match:string>"
