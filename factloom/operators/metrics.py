@@ -360,9 +360,10 @@ def bootstrap(counts: DataFrame, n: int = 1000, seed: int = 7, level: float = 0.
     return wide.select(F.inline(rows))
 
 
-def gate(current: DataFrame, baseline: DataFrame, most: float = 0.02, watched: tuple[str, ...] = ("entity_f1_lenient", "relation_f1_strict")) -> DataFrame:
-    """(metric, value, before, drop) of watched metrics that fell by more than ``most``."""
-    rows = current.join(baseline.select("metric", F.col("value").alias("before")), "metric").where(F.col("metric").isin(*watched))
+def gate(current: DataFrame, baseline: DataFrame, most: float = 0.02, watched: tuple[str, ...] | None = ("entity_f1_lenient", "relation_f1_strict")) -> DataFrame:
+    """(metric, value, before, drop) of watched metrics (None: all) that fell by more than ``most``."""
+    rows = current.join(baseline.select("metric", F.col("value").alias("before")), "metric")
+    rows = rows.where(F.col("metric").isin(*watched)) if watched is not None else rows
     return rows.withColumn("drop", F.col("before") - F.col("value")).where(F.col("drop") > most).select("metric", "value", "before", "drop")
 
 

@@ -42,12 +42,15 @@ def a13(spark, d) -> DataFrame:
     return raw.select("doc_id", F.size("entities").cast("bigint").alias("entities"), F.size("relations").cast("bigint").alias("relations"))
 
 
-@query("a14_conll", "SELECT 'c-' || lpad(CAST(k AS VARCHAR), 4, '0') AS doc_id, CAST(2 AS BIGINT) AS entities, 'EU sent Ann Lee' || chr(10) || 'to Bonn .' || chr(10) AS text FROM (SELECT unnest(generate_series(0, 4)) AS k)")
+@query("a14_conll", "SELECT 'c-' || lpad(CAST(n_regionkey AS VARCHAR), 4, '0') AS doc_id, CAST(count(*) FILTER (n_nationkey % 3 = 1) AS BIGINT) AS entities, string_agg(replace(n_name, '_', ' ') || chr(10), '' ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey")
 def a14(spark, d) -> DataFrame:
-    """A fixture of five documents in one file: four mentions each, two of them in kept classes."""
+    """One ordered file of all regions as documents and all nations as sentences: a third places, a third organisations, a third none."""
     path = shared_path(spark, "conll")
-    doc = "-DOCSTART- O\n\nEU B-ORG\nsent O\nAnn I-PER\nLee I-PER\n\nto O\nBonn B-LOC\n. O\n\n"
-    spark.createDataFrame([(doc * 5,)], "value string").coalesce(1).write.text(path)
+    tags = F.expr("CASE n_nationkey % 3 WHEN 0 THEN array('B-LOC', 'I-LOC') WHEN 1 THEN array('B-ORG', 'I-ORG') ELSE array('O', 'O') END")
+    lines = F.array_join(F.transform(F.arrays_zip(F.split("n_name", "_").alias("w"), tags.alias("t")), lambda x: F.concat(x["w"], F.lit(" "), x["t"])), "\n")
+    sentences = I.table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", lines.alias("s")))).alias("xs"))
+    docs = sentences.select("n_regionkey", F.concat(F.lit("-DOCSTART- O\n\n"), F.array_join(F.transform("xs", lambda x: x["s"]), "\n\n"), F.lit("\n")).alias("value"))
+    docs.coalesce(1).sortWithinPartitions("n_regionkey").select("value").write.text(path)
     rows = loaders.load(spark, "conll", path, {"name": "c", "type_map": {"ORG": "company", "PER": "person", "LOC": None}})
     return rows.select("doc_id", F.size("entities").cast("bigint").alias("entities"), "text")
 
@@ -92,10 +95,10 @@ def k02(spark, d) -> DataFrame:
     return spark.read.json(path).select(F.col("run_id").cast("string").alias("run_id"), F.size("entities").cast("bigint").alias("entities"))
 
 
-@query("k05_history", "SELECT 'e' || s_suppkey AS eval_id, CAST(s_acctbal AS VARCHAR) AS entity_recall FROM supplier WHERE s_suppkey < 20")
+@query("k05_history", "SELECT 'e' || s_suppkey AS eval_id, CAST(s_acctbal AS VARCHAR) AS entity_recall FROM supplier")
 def k05(spark, d) -> DataFrame:
     path = shared_path(spark, "history")
-    rows = I.table(spark, d, "supplier").where("s_suppkey < 20").select(F.concat(F.lit("e"), F.col("s_suppkey").cast("string")).alias("eval_id"), F.col("s_acctbal").alias("entity_recall"), F.lit(1).alias("extra"))
+    rows = I.table(spark, d, "supplier").select(F.concat(F.lit("e"), F.col("s_suppkey").cast("string")).alias("eval_id"), F.col("s_acctbal").alias("entity_recall"), F.lit(1).alias("extra"))
     files.append_history(rows, path)
     return files.read_history(spark, path).select("eval_id", "entity_recall")
 

@@ -26,17 +26,17 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = f"""names AS (SELECT c_custkey AS k, concat('d', cast(c_custkey // 16 as varchar)) AS doc_id, {_NAME.format(b=_BASE.format(**_D), **_D)} AS name, {_TYPE} AS type FROM customer)"""
 
 
-def heads(spark: SparkSession, sf_dir: str, n: int = 120) -> DataFrame:
-    """(doc_id, t): the first characters of each document."""
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"substring(text, 1, {n}) AS t")
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, t): the whole text of each document."""
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", "text AS t")
 
 
-HEADS = "heads AS (SELECT doc_id, substring(text, 1, 120) AS t FROM documents)"
+TEXTS = "texts AS (SELECT doc_id, text AS t FROM documents)"
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, entity_id, pos, canonical_name, entity_type, aliases, citations): names without junk, with an alias and two citations."""
-    return names(spark, sf_dir).where("k % 8 <> 7").selectExpr(
+    """(doc_id, entity_id, pos, canonical_name, entity_type, aliases, citations): all names, with an alias and two citations."""
+    return names(spark, sf_dir).selectExpr(
         "doc_id", "concat('E', cast(k as string)) AS entity_id", "k AS pos", "name AS canonical_name", "type AS entity_type",
         "CASE WHEN k % 3 = 0 THEN array(concat('AR', cast(k div 4 as string))) ELSE cast(array() as array<string>) END AS aliases",
         """array(named_struct('file_id', 'f', 'chunk_id', 0, 'start_char', cast(k % 50 as int), 'end_char', cast(k % 50 + (k % 4) * 5 as int), 'quote', substring(name, 1, 6), 'match', CASE k % 3 WHEN 0 THEN 'verbatim' WHEN 1 THEN 'name_search' ELSE 'unanchored' END),
@@ -48,12 +48,12 @@ ENTITIES = f"""{NAMES},
 entities AS (SELECT doc_id, concat('E', cast(k as varchar)) AS entity_id, k AS pos, name AS canonical_name, type AS entity_type,
   CASE WHEN k % 3 = 0 THEN [concat('AR', cast(k // 4 as varchar))] ELSE CAST([] AS VARCHAR[]) END AS aliases,
   k % 50 AS start_char, k % 50 + (k % 4) * 5 AS end_char, substring(name, 1, 6) AS quote, CASE k % 3 WHEN 0 THEN 'verbatim' WHEN 1 THEN 'name_search' ELSE 'unanchored' END AS match
-  FROM names WHERE k % 8 <> 7)"""
+  FROM names)"""
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, relation, target, pos): one to three edges an entity, some dangling, bracketed, looped, unknown or repeated."""
-    return names(spark, sf_dir).where("k % 8 <> 7").selectExpr("doc_id", "k", "explode(sequence(0, cast(k % 3 as int))) AS j").selectExpr(
+    return names(spark, sf_dir).selectExpr("doc_id", "k", "explode(sequence(0, cast(k % 3 as int))) AS j").selectExpr(
         "doc_id", "CASE WHEN k % 11 = 0 THEN concat('[E', cast(k as string), ']') ELSE concat('E', cast(k as string)) END AS source",
         "CASE (k + j) % 7 WHEN 0 THEN 'controls' WHEN 1 THEN 'governs' WHEN 2 THEN 'participates_in' WHEN 3 THEN 'related_to' WHEN 4 THEN 'represents' WHEN 5 THEN 'transfers_to' ELSE 'owns' END AS relation",
         "CASE WHEN k % 13 = 0 THEN 'ghost' WHEN j = 2 THEN concat('E', cast(k as string)) ELSE concat('E', cast(k + 1 + (j % 2) as string)) END AS target", "k * 4 + j AS pos",
@@ -63,12 +63,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGES = """edges AS (SELECT doc_id, CASE WHEN k % 11 = 0 THEN concat('[E', cast(k as varchar), ']') ELSE concat('E', cast(k as varchar)) END AS source,
   CASE (k + j) % 7 WHEN 0 THEN 'controls' WHEN 1 THEN 'governs' WHEN 2 THEN 'participates_in' WHEN 3 THEN 'related_to' WHEN 4 THEN 'represents' WHEN 5 THEN 'transfers_to' ELSE 'owns' END AS relation,
   CASE WHEN k % 13 = 0 THEN 'ghost' WHEN j = 2 THEN concat('E', cast(k as varchar)) ELSE concat('E', cast(k + 1 + (j % 2) as varchar)) END AS target, k * 4 + j AS pos
-  FROM (SELECT doc_id, k, unnest(generate_series(0, k % 3)) AS j FROM names WHERE k % 8 <> 7))"""
+  FROM (SELECT doc_id, k, unnest(generate_series(0, k % 3)) AS j FROM names))"""
 
 
 def gold_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, relation, target): order lines, a document a block of orders."""
-    return table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").selectExpr(
+    return table(spark, sf_dir, "lineitem").selectExpr(
         "cast(l_orderkey div 1000 as string) AS doc_id", "concat('o', cast(l_orderkey as string)) AS source", "l_returnflag AS relation", "concat('p', cast(l_partkey as string)) AS target", "l_linenumber AS n", "l_partkey AS p"
     )
 
@@ -81,7 +81,7 @@ def pred_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RELATIONS = """gold AS (SELECT cast(l_orderkey // 1000 as varchar) AS doc_id, concat('o', cast(l_orderkey as varchar)) AS source, l_returnflag AS relation, concat('p', cast(l_partkey as varchar)) AS target, l_partkey AS p
-  FROM lineitem WHERE l_orderkey % 10 = 0),
+  FROM lineitem),
 pred AS (SELECT doc_id, CASE WHEN p % 7 = 0 THEN target ELSE source END AS source, CASE WHEN p % 11 = 0 THEN 'X' ELSE relation END AS relation, CASE WHEN p % 7 = 0 THEN source ELSE target END AS target FROM gold WHERE p % 5 <> 0)"""
 
 

@@ -1,4 +1,4 @@
-"""Queries of the text functions (C) over spelling variants of names and document heads."""
+"""Queries of the text functions (C) over spelling variants of names and whole documents."""
 
 from __future__ import annotations
 
@@ -20,9 +20,9 @@ def _names(name: str, expr, sql: str) -> None:
     ORACLE_SQL[name] = f"WITH {I.NAMES} SELECT k, {sql} AS v FROM names"
 
 
-def _heads(name: str, expr, sql: str) -> None:
-    QUERIES[name] = lambda spark, d: I.heads(spark, d).select("doc_id", expr().alias("v"))
-    ORACLE_SQL[name] = f"WITH {I.HEADS} SELECT doc_id, {sql} AS v FROM heads"
+def _texts(name: str, expr, sql: str) -> None:
+    QUERIES[name] = lambda spark, d: I.texts(spark, d).select("doc_id", expr().alias("v"))
+    ORACLE_SQL[name] = f"WITH {I.TEXTS} SELECT doc_id, {sql} AS v FROM texts"
 
 
 _FOLD = "replace(lower({x}), 'ß', 'ss')"
@@ -35,7 +35,7 @@ ALIAS_KEY = "regexp_replace(" + _ALIAS + ", '( (" + "|".join([*S.LEGAL_FORMS, "u
 JUNK = r"(regexp_matches(trim({x}), '^(USD|\$|€|£)?\s*[\d,.]+$') OR regexp_matches({x}, '(?i)^(Section|Article|Clause)\s+\d+') OR regexp_matches(lower({x}), '(personnel|employees|staff|shareholders)$') OR " + PLAIN + " = '')"
 
 _names("c01_normalize_entity_name", lambda: T.normalize_entity_name(F.col("name")), PLAIN.format(x="name"))
-_heads("c02_norm_key", lambda: T.norm_key(F.col("t")), KEY.format(x="t"))
+_texts("c02_norm_key", lambda: T.norm_key(F.col("t")), KEY.format(x="t"))
 _names("c03_norm_name", lambda: T.norm_name(F.col("name")), KEY.format(x="name"))
 _names("c04_core_name", lambda: T.core_name(F.col("name")), CORE.format(x="name"))
 _names("c05_alias_tokens", lambda: F.array_join(T.alias_tokens(F.col("name")), " "), _ALIAS.format(x="name"))
@@ -82,8 +82,8 @@ _names(
 )
 _names("c29_citation_label", lambda: T.citation_label(F.expr("CASE k % 4 WHEN 0 THEN 'verbatim' WHEN 1 THEN 'name_search' WHEN 2 THEN 'cooccurrence' END")), "CASE k % 4 WHEN 0 THEN 'Verbatim quote' WHEN 1 THEN 'Name search' WHEN 2 THEN 'Co-occurrence' ELSE 'Unanchored' END")
 _names("b05_detok", lambda: T.detok(F.concat(F.lit("( "), F.col("name"), F.lit(" ) Inc . , x ;"))), r"regexp_replace(regexp_replace('( ' || name || ' ) Inc . , x ;', '\(\s+', '(', 'g'), '\s+([,.;:)])', '\1', 'g')")
-QUERIES["c28_document_format"] = lambda spark, d: I.table(spark, d, "pages").select(F.col("page_id").alias("k"), T.document_format(F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise("# Title\nx")).alias("v")).union(I.heads(spark, d).select("doc_id", T.document_format(F.col("t"))))
-ORACLE_SQL["c28_document_format"] = rf"WITH {I.HEADS} SELECT page_id AS k, CASE WHEN page_id % 2 = 0 THEN 'html' ELSE 'markdown' END AS v FROM pages UNION ALL SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)<(html|body|div|p|table|h[1-6])[\s>]') THEN 'html' WHEN regexp_matches(t, '(?m)^(#{{1,6}} |\| |[-*] )') THEN 'markdown' ELSE 'text' END FROM heads"
+QUERIES["c28_document_format"] = lambda spark, d: I.table(spark, d, "pages").select(F.col("page_id").alias("k"), T.document_format(F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise("# Title\nx")).alias("v")).union(I.texts(spark, d).select("doc_id", T.document_format(F.col("t"))))
+ORACLE_SQL["c28_document_format"] = rf"WITH {I.TEXTS} SELECT page_id AS k, CASE WHEN page_id % 2 = 0 THEN 'html' ELSE 'markdown' END AS v FROM pages UNION ALL SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)<(html|body|div|p|table|h[1-6])[\s>]') THEN 'html' WHEN regexp_matches(t, '(?m)^(#{{1,6}} |\| |[-*] )') THEN 'markdown' ELSE 'text' END FROM texts"
 
 
 _CARD = "CASE {t} WHEN 'person' THEN 'PER' WHEN 'company' THEN 'ORG' WHEN 'agreement' THEN 'LAW' WHEN 'asset' THEN 'DATE' ELSE 'XYZ' END"
