@@ -6,19 +6,22 @@ distinct hashes.  Sketches of parts merge into that of the whole; two of them es
 estimates the number of distinct shingles.  All of it is exact while a set, or a union, has at most k shingles.
 
 Defined results: a null text is empty; an empty sketch resembles another empty one fully and others not at all; rows that
-repeat an id follow each other in order of their texts; the only row is its own successor; other columns are ignored.
+repeat an id follow each other in order of their texts, null ids come last; the only row is its own successor; other columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import require
-from .sharding import range_index
+from .sharding import longs, range_index
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -70,48 +73,47 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def with_successor(rows: DataFrame, id_col: str, tie_col: str, fields: list[str], rows_per_range=2_000, most_ranges=4_096) -> DataFrame:
+def with_successor(rows: DataFrame, id_col: str, tie_col: str, fields: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df, range_bytes=32 << 20) -> DataFrame:
     """Each row with ``next``: the struct of ``fields`` of the row after it in descending id order; the last has the first.
 
-    Rows are dealt to ranges of ids at sampled splitters; a copy of each range's first row joins the range before it, so
-    that no range needs another.  The driver holds one id for each range.
+    Rows are dealt to ranges of ids, of about ``range_bytes`` of ``tie_col`` each, at sampled splitters; a copy of each range's
+    first row joins the range before it, so that no range needs another.  The driver holds eight sampled ids for each range.
+    ``derive`` adds columns after the rows have been dealt, so that these needn't move.
     """
-    count, low, high = rows.agg(F.count(F.lit(1)), F.min(id_col), F.max(id_col)).first()
+    count, total, low, high = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length(tie_col)), F.min(id_col), F.max(id_col)).first()
     if not count:
-        return rows.withColumn("next", F.struct(*fields))
-    ranges = min(most_ranges, math.ceil(count / rows_per_range))
+        derived = derive(rows)
+        return derived.withColumn("next", F.struct(*fields))
+    ranges = math.ceil(max(1, total or 0) / range_bytes)
     drawn = rows.select(id_col)
-    if count > 64 * ranges:
-        drawn = drawn.where(F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(1 << 40)) < int((1 << 40) * 64 * ranges / count))
-    keys = sorted(r[0] for r in drawn.distinct().collect())
-    splitters = sorted(set(keys[:: max(1, len(keys) // ranges)]) - {low})
+    if count > 8 * ranges:
+        drawn = drawn.where(F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(1 << 40)) < int((1 << 40) * 8 * ranges / count))
+    keys = np.unique(drawn.toArrow().column(0).drop_null().to_numpy())
+    splitters = np.setdiff1d(keys[:: max(1, len(keys) // ranges)], [low]).tolist() if ranges > 1 else []
     at = range_index(F.col(id_col), splitters)
     heads = {r["r"]: r["head"] for r in rows.groupBy(at.alias("r")).agg(F.max(id_col).alias("head")).collect()}
     order = sorted(heads, reverse=True)
     before = {heads[r]: order[i - 1] for i, r in enumerate(order)}
-    ghost = F.lit(None).cast("int")
     if len(before) <= 1:
-        ghost = F.when(F.col(id_col) == high, F.lit(order[0]))
+        ghost = F.when(F.col(id_col).eqNullSafe(F.lit(high)), F.lit(order[0]))
     else:
         ordered = sorted(before)
-        place = range_index(F.col(id_col), ordered)
-        sql = lambda xs: F.expr("array(" + ",".join(f"{x}L" for x in xs) + ")")
-        ghost = F.when((place > 0) & (F.element_at(sql(ordered), F.greatest(place, F.lit(1))) == F.col(id_col)), F.element_at(sql([before[x] for x in ordered]), F.greatest(place, F.lit(1))).cast("int"))
+        place = F.greatest(range_index(F.col(id_col), ordered), F.lit(1))
+        ghost = F.when(F.element_at(longs(ordered), place) == F.col(id_col), F.element_at(longs([before[x] for x in ordered]), place).cast("int"))
     copies = F.when(ghost.isNull(), F.array(F.struct(at.alias("r"), F.lit(False).alias("ghost")))).otherwise(
         F.array(F.struct(at.alias("r"), F.lit(False).alias("ghost")), F.struct(ghost.alias("r"), F.lit(True).alias("ghost")))
     )
-    dealt = rows.withColumn("_c", F.explode(copies)).select(*rows.columns, F.col("_c.r").alias("_r"), F.col("_c.ghost").alias("_ghost"))
+    dealt = rows.withColumn("_c", F.explode(copies)).select(*rows.columns, F.col("_c.r").alias("_r"), F.col("_c.ghost").alias("_ghost")).repartition("_r")
     # the copy that closes the last range comes from the largest ids and must sort after the rest
     window = Window.partitionBy("_r").orderBy(F.asc("_ghost"), F.desc(id_col), F.asc(tie_col))
-    return dealt.withColumn("next", F.lead(F.struct(*fields)).over(window)).where("not _ghost").drop("_r", "_ghost")
+    return derive(dealt).withColumn("next", F.lead(F.struct(*fields)).over(window)).where("not _ghost").drop("_r", "_ghost")
 
 
 def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", k=128, shingle=5) -> DataFrame:
     """One row per document with its sketch, that of its edited text, and how alike they and the next document's are."""
     require(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("id", "text", sketch(F.col("text"), k, shingle).alias("sketch"))
-    paired = with_successor(rows, "id", "text", ["text", "sketch"])
+    paired = with_successor(rows, "id", "text", ["text", "sketch"], lambda df: df.withColumn("sketch", sketch(F.col("text"), k, shingle)))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, cast(char_length(text) - floor(char_length(text) / 2) as int))"), F.substring(F.col("next.text"), F.lit(1), half))

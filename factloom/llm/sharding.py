@@ -25,15 +25,18 @@ from pyspark.sql.window import Window
 from .common import cut, require
 
 
+def longs(values) -> Column:
+    """A constant array of longs, parsed once when the plan is optimised, however many there are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if len(values) else F.array().cast("array<bigint>")
+
+
 def range_index(key: Column, splitters: list[int]) -> Column:
     """How many splitters are at most ``key``: two short linear searches, of the square root of their number each."""
-    if not splitters:
+    if not len(splitters):
         return F.lit(0)
     step = max(1, math.isqrt(len(splitters)))
-    blocks = [splitters[i : i + step] for i in range(0, len(splitters), step)]
-    sql = lambda xs: "array(" + ",".join(f"{x}L" if x != -(1 << 63) else "(-9223372036854775807L - 1L)" for x in xs) + ")"
-    block = F.size(F.filter(F.expr(sql([b[0] for b in blocks])), lambda x: x <= key))
-    inner = F.element_at(F.expr("array(" + ",".join(sql(b) for b in blocks) + ")"), F.greatest(block, F.lit(1)))
+    block = F.size(F.filter(longs(splitters[::step]), lambda x: x <= key))
+    inner = F.slice(longs(splitters), (F.greatest(block, F.lit(1)) - 1) * step + 1, F.lit(step))
     return F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + F.size(F.filter(inner, lambda x: x <= key))).cast("int")
 
 

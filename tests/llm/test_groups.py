@@ -171,7 +171,7 @@ def _sketched(t):
 @pytest.mark.parametrize("n", [0, 1, 2, 60])
 def test_fingerprints_against_brute_force(spark, monkeypatch, n):
     whole = fingerprint.with_successor
-    monkeypatch.setattr(fingerprint, "with_successor", lambda *a, **k: whole(*a, **{**k, "rows_per_range": 3}))
+    monkeypatch.setattr(fingerprint, "with_successor", lambda *a, **k: whole(*a, **{**k, "range_bytes": 40}))
     rng = np.random.default_rng(0)
     docs = [(int(i), None if i % 7 == 0 else f"w{i} é x y z q " * int(i % 5)) for i in rng.integers(-50, 50, 60)][:n]
     got = fingerprint.fingerprints(spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, next int").repartition(3)).collect()
@@ -185,6 +185,12 @@ def test_fingerprints_against_brute_force(spark, monkeypatch, n):
     assert sorted((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == sorted(expected)
 
 
+def test_fingerprints_of_null_ids(spark):
+    for rows, follows in (([(2, "a"), (None, "b"), (1, "c")], {"a": "c", "c": "b", "b": "a"}), ([(None, "x"), (None, "y")], {"x": "y", "y": "x"})):
+        found = fingerprint.with_successor(spark.createDataFrame(rows, "id long, text string"), "id", "text", ["text"])
+        assert {r.text: r.next.text for r in found.collect()} == follows
+
+
 def test_sketches_merge_and_estimate(spark):
     from pyspark.sql import functions as F
 
