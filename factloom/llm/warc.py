@@ -11,9 +11,14 @@ smallest id holds the payload; the others are revisit records of profile identic
 Reading parses whole files by their Content-Length fields, one file at a time (memory: one compressed and one inflated
 file), recomputes payload digests, and joins the records of a capture through the concurrent-to identifiers.
 
-Defined results: a null payload is empty; a null target is an empty one; an empty table writes and reads nothing; rows that
-repeat an id are captures of their own (record ids carry a row number); line breaks in a target become %0A and %0D;
-records of unknown kinds are read but join no capture; requests or metadata without a response make no capture.
+Rows of equal id, target and payload are collapsed before anything is compared, so a record's id follows from its row's values and
+the number of the repeat, and a page that many rows repeat moves once a task.  Only ids and digests are joined to find the
+payload's holder; payloads move once when written, and not at all when records are assembled without them.
+
+Defined results: a null payload is empty; a null target is an empty one; a null id is written as an empty one, read back as
+null, and is a response or a revisit of a named one; an empty table writes and reads nothing; rows that repeat an id are captures
+of their own; line breaks in a target become %0A and %0D; records of unknown kinds are read but join no capture; requests or
+metadata without a response make no capture; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from .common import lean, require, shared_path
 BREAK = "\r\n"
 RECORDS = (
     "record_id string, record_type string, concurrent_to string, target string, refers_to string, date string,"
-    " content_type string, declared_digest string, http_length long, block binary, payload binary, payload_digest string"
+    " content_type string, declared_digest string, http_length long, block binary, payload binary, payload_digest string, payload_length long"
 )
 
 
@@ -60,27 +65,33 @@ def write(captures: DataFrame, path: str, id_col="page_id", url_col="url", paylo
     require(captures, id_col, url_col, payload_col)
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "utf-8") if dict(captures.dtypes)[payload_col] != "binary" else F.coalesce(F.col(payload_col), F.encode(F.lit(""), "utf-8"))
     url = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), "\r", "%0D"), "\n", "%0A")
-    rows = captures.select(F.col(id_col).alias("id"), url.alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
+    rows = captures.select(F.col(id_col).alias("number"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), url.alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
-    owners = rows.where(F.col("n") >= revisit_from).groupBy("sha").agg(F.min(F.struct("id", "row")).alias("owner"), F.count(F.lit(1)).alias("c")).where("c > 1").select("sha", "owner")
-    rows = rows.join(owners, "sha", "left").withColumn("again", F.coalesce(F.col("owner.id") != F.col("id"), F.lit(False)) & (F.col("n") >= revisit_from))
-
-    urn = lambda ident, row, kind: F.concat(F.lit("<urn:capture:"), ident.cast("string"), F.lit(":"), row.cast("string"), F.lit(f":{kind}>"))
-    me = urn(F.col("id"), F.col("row"), "response")
+    same = ["id", "url", "sha"]
+    light = rows.where(F.col("n") >= revisit_from).select("number", *same).distinct()
+    first = F.struct(F.col("number").isNull().alias("unnamed"), "number", "id", "url")
+    owners = light.groupBy("sha").agg(F.min(first).alias("owner"), F.max(first).alias("last")).where("owner.id <> last.id").select("sha", "owner")
+    refer = light.join(owners, "sha").where("owner.id <> id").select(*same, "owner")
+    rows = rows.groupBy(*same).agg(F.first("payload").alias("payload"), F.first("n").alias("n"), F.count(F.lit(1)).alias("times"))
+    rows = rows.join(refer, same, "left").withColumn("again", F.col("owner").isNotNull()).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("times").cast("int") - 1)))
+
+    urn = lambda ident, url, row, kind: F.concat(F.lit("<urn:capture:"), ident, F.lit(":"), F.hex(F.xxhash64(url, F.col("sha"))), F.lit(":"), row.cast("string"), F.lit(f":{kind}>"))
+    mine = lambda kind: urn(F.col("id"), F.col("url"), F.col("row"), kind)
+    me = mine("response")
     digest = F.concat(F.lit("sha1:"), base32_of_hex(F.col("sha")))
     host = F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]+)", 1)
     target = F.regexp_replace("url", "^[a-zA-Z]+://[^/?#]+", "")
     ask = F.encode(F.concat(F.lit("GET "), F.when(target == "", "/").otherwise(target), F.lit(f" HTTP/1.1{BREAK}Host: "), host, F.lit(BREAK + BREAK)), "utf-8")
     http = F.encode(F.concat(F.lit(f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{BREAK}Content-Length: "), F.col("n").cast("string"), F.lit(BREAK + BREAK)), "utf-8")
-    note = F.encode(F.concat(F.lit("captureId: "), F.col("id").cast("string"), F.lit(BREAK)), "utf-8")
+    note = F.encode(F.concat(F.lit("captureId: "), F.col("id"), F.lit(BREAK)), "utf-8")
     common = [("WARC-Target-URI", F.col("url")), ("WARC-Date", date)]
     digests = [("WARC-Payload-Digest", digest), ("Content-Type", "application/http; msgtype=response")]
-    refers = urn(F.col("owner.id"), F.col("owner.row"), "response")
+    refers = urn(F.col("owner.id"), F.col("owner.url"), F.lit(0), "response")
     profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-    request = _record("request", [("WARC-Record-ID", urn(F.col("id"), F.col("row"), "request")), ("WARC-Concurrent-To", me), *common, ("Content-Type", "application/http; msgtype=request")], ask)
+    request = _record("request", [("WARC-Record-ID", mine("request")), ("WARC-Concurrent-To", me), *common, ("Content-Type", "application/http; msgtype=request")], ask)
     full = _record("response", [("WARC-Record-ID", me), *common, *digests], F.concat(http, F.col("payload")))
     short = _record("revisit", [("WARC-Record-ID", me), *common, *digests, ("WARC-Refers-To", refers), ("WARC-Profile", profile)], http)
-    meta = _record("metadata", [("WARC-Record-ID", urn(F.col("id"), F.col("row"), "metadata")), ("WARC-Concurrent-To", me), *common, ("Content-Type", "application/warc-fields")], note)
+    meta = _record("metadata", [("WARC-Record-ID", mine("metadata")), ("WARC-Concurrent-To", me), *common, ("Content-Type", "application/warc-fields")], note)
     gap = F.encode(F.lit(BREAK + BREAK), "utf-8")
     value = F.concat(request, gap, F.when(F.col("again"), short).otherwise(full), gap, meta)
     total, count = captures.agg(F.coalesce(F.sum(F.octet_length(payload)), F.lit(0)), F.count(F.lit(1))).first()
@@ -150,7 +161,7 @@ def parse(data: bytes) -> Iterator[tuple]:
         said = h.get("warc-payload-digest", "")
         yield (
             h.get("warc-record-id"), kind, h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-date"),
-            h.get("content-type"), said.partition(":")[2] or said or None, length, block, payload if kind == "response" else None, digest,
+            h.get("content-type"), said.partition(":")[2] or said or None, length, block, payload if kind == "response" else None, digest, len(payload) if digest else None,
         )
 
 
@@ -183,7 +194,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: its response or revisit with the request and metadata that are concurrent to it."""
+    """One nested row per capture: its response or revisit with the request and metadata that are concurrent to it.
+
+    Without the column ``payload`` in ``records`` no payload moves.
+    """
     main = records.where("record_type in ('response', 'revisit') and record_id is not null")
     side = records.where("record_type in ('request', 'metadata') and concurrent_to is not null")
     fields = ["record_id", "record_type", "date", "content_type", "block"]
@@ -193,7 +207,7 @@ def assemble(records: DataFrame) -> DataFrame:
     capture = main.select(
         "record_id",
         F.col("target").alias("url"),
-        F.struct("record_id", "record_type", "date", "content_type", "refers_to", "declared_digest", "http_length", "block", "payload", "payload_digest").alias("response"),
+        F.struct(*(c for c in records.columns if c not in ("concurrent_to", "target"))).alias("response"),
     )
     return capture.join(sides, "record_id", "left").select(F.col("record_id").alias("capture_id"), "url", "request", "response", "metadata")
 
@@ -202,12 +216,12 @@ def round_trip(pages: DataFrame, id_col="page_id", **options) -> DataFrame:
     """Writes and reads back: page_id, payload_bytes, payload_digest, record_type, refers_to, digest_ok."""
     spark = pages.sparkSession
     path = write(pages, shared_path(spark, "warc"), id_col=id_col, **options)
-    captures = assemble(read_records(spark, path))
-    number = lambda c: F.regexp_extract(c, "^<urn:capture:(-?[0-9]+):", 1).cast("long")
+    captures = assemble(read_records(spark, path).drop("payload"))
+    number = lambda c: F.regexp_extract(c, "^<urn:capture:(-?[0-9]+):", 1).try_cast("long")
     r = F.col("response")
     return captures.select(
-        F.regexp_extract(F.decode(F.col("metadata.block"), "utf-8"), "captureId: (-?[0-9]+)", 1).cast("long").alias(id_col),
-        F.coalesce(F.octet_length(r["payload"]).cast("long"), r["http_length"]).alias("payload_bytes"),
+        F.regexp_extract(F.decode(F.col("metadata.block"), "utf-8"), "captureId: (-?[0-9]+)", 1).try_cast("long").alias(id_col),
+        F.coalesce(r["payload_length"], r["http_length"]).alias("payload_bytes"),
         F.coalesce(r["payload_digest"], r["declared_digest"]).alias("payload_digest"),
         r["record_type"].alias("record_type"),
         F.when(r["record_type"] == "revisit", number(r["refers_to"])).alias("refers_to"),

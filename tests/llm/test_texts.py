@@ -221,6 +221,9 @@ def test_warc_round_trip(spark):
     got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(df).collect() if r.refers_to) + sorted((r.page_id, r.payload_bytes, r.record_type) for r in warc.round_trip(df).collect() if not r.refers_to)
     assert got == [(2, 15, "revisit", 1), (4, 0, "revisit", 3), (1, 15, "response"), (3, 0, "response"), (5, 2, "response"), (5, 2, "response"), (6, 200_000, "response")]
     assert warc.round_trip(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, None, "x" * 9), (None, "u", "x" * 9), (None, "v", "only"), (7, "u", "x" * 9), (8, "u", "x" * 9), (8, "w", "x" * 9)], "page_id long, url string, html string")
+    assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(odd).collect()), key=str) == [
+        (7, 9, "response", None), (8, 9, "revisit", 7), (8, 9, "revisit", 7), (None, 4, "response", None), (None, 9, "revisit", 7), (None, 9, "revisit", 7)]
     kinds = {r.record_type for r in warc.round_trip(df, revisit_from=3).where("page_id = 4").collect()}
     assert kinds == {"response"}
 
