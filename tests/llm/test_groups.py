@@ -101,35 +101,69 @@ def test_least_matches_is_monotone_and_safe():
     assert found == sorted(found) and 0 < found[0] < 0.8 * 40
 
 
-def _lines(docs, least=5):
-    keys = collections.defaultdict(set)
-    of = {}
+def _lines(docs, depth=2, fields=3):
+    """Lines that go, from all pairs of lines and seeds."""
+    of, seen = {}, {}
     for d, t in docs:
         for i, line in enumerate((t or "").split("\n")):
-            w = ["<*>" if re.search("[0-9]", x) else x for x in re.findall(r"[^\x20\x09-\x0D]+", line.lower())]
-            made = []
+            w = tuple("<*>" if re.search("[0-9]", x) else x for x in re.findall(r"[^\x20\x09-\x0D]+", line.lower()))
             if len(w) >= 3:
-                made.append((0, len(w), *w))
-            if len(w) >= 16:
-                made += [(1, len(w), *w[: len(w) // 2]), (2, len(w), *w[:2], *w[len(w) // 2 :])]
-            of[d, i] = made
-            for k in made:
-                keys[k].add(d)
-    return {(d, i) for (d, i), made in of.items() if any(len(keys[k]) >= least and min(keys[k]) != d for k in made)}
-
-
-def test_line_templates_against_brute_force(spark):
+                of[d, i] = w
+                seen.setdefault(w, []).append((d, i))
+    docs_of = {w: {d for d, _ in at} for w, at in seen.items()}
+    differ = lambda n: min(fields, n // 5)
+    least = lambda n: 2 if n > 50 else 5
+    buckets = collections.defaultdict(list)
+    for w in seen:
+        n, k = len(w), differ(len(w))
+        for j in range(k + 1 if k else 0):
+            lo, hi = depth + (n - depth) * j // (k + 1), depth + (n - depth) * (j + 1) // (k + 1)
+            buckets[n, w[:depth], j, w[lo:hi]].append(w)
+    groups = [{w} for w in seen]
+    made = collections.defaultdict(set)
+    for (n, *_), ws in buckets.items():
+        if len(ws) > 1 and sum(len(docs_of[w]) for w in ws) >= least(n):
+            seed = min(ws, key=lambda w: (-len(docs_of[w]), min(seen[w])))
+            made[seed].update(w for w in ws if w != seed and sum(x != y for x, y in zip(w, seed, strict=True)) <= differ(n))
+    groups += [{seed, *ws} for seed, ws in made.items() if ws]
+    gone = set()
+    for g in groups:
+        among = set().union(*(docs_of[w] for w in g))
+        if len(among) >= least(len(next(iter(g)))):
+            gone |= {(d, i) for w in g for d, i in seen[w] if d != min(among)}
+    return gone
+
+
+def _line_docs():
     rng = np.random.default_rng(4)
-    long = " ".join(f"t{chr(97 + i)}" for i in range(18))
+    long = [f"t{chr(97 + i)}" for i in range(18)]
+    passage = " ".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
     docs = []
     for i in range(40):
-        changed = long.split()
-        changed[int(rng.integers(9, 18))] = f"v{chr(97 + i % 26)}"
-        lines = [f"Order {i} shipped on 2024-01-{i:02d}", " ".join(changed), f"only here {'x' * (i + 1)}", "", "two words"]
-        docs.append((i, "\n".join(lines[k] for k in rng.permutation(5)[: rng.integers(1, 6)])))
-    docs += [(90, None), (91, ""), (92, "\n\n"), (93, "word " * 40_000)]
-    df = spark.createDataFrame([(*r, len(r[1] or ""), "k") for r in docs], "doc_id long, text string, n_chars long, line string")
+        one, two, three = list(long), ["dear", "friend", *long[:9]], ["pay", "to", "name", "by", "card"]
+        one[int(rng.integers(9, 18))] = f"v{chr(97 + i % 26)}"
+        for p in rng.integers(2, 11, 2):
+            two[p] = f"u{chr(97 + int(rng.integers(26)))}"
+        three[2 + int(rng.integers(0, 2))] = f"n{chr(97 + i % 26)}"
+        lines = [f"Order {i} shipped on 2024-01-{i:02d}", " ".join(one), " ".join(two), " ".join(three), f"only here {'x' * (i + 1)}", "", "two words"]
+        if i in (3, 30):
+            lines.append(passage)
+        if i == 31:
+            lines.append(passage.replace("pab", "other"))
+        docs.append((i, "\n".join(lines[k] for k in rng.permutation(len(lines))[: rng.integers(1, 8)])))
+    return docs + [(90, None), (91, ""), (92, "\n\n"), (93, "word " * 40_000)]
+
+
+def test_lines_alike_share_a_template_and_passages_go_from_two():
+    docs = [(i, f"pay to n{chr(97 + i)} by card") for i in range(6)] + [(7 + i, " ".join([f"w{chr(97 + k % 26)}{k // 26 * 'z'}" for k in range(55)])) for i in range(2)]
+    assert _lines(docs) == {(i, 0) for i in range(1, 6)} | {(8, 0)}
+
+
+def test_line_templates_against_brute_force(spark):
+    docs = _line_docs()
+    df = spark.createDataFrame([(*r, len(r[1] or ""), "k") for r in docs], "doc_id long, text string, n_chars long, line string").repartition(3)
     gone = _lines(docs)
+    assert len({d for d, _ in gone}) > 30
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.text_sha256) for r in line_dedup.report(df).collect()}
     for d, t in docs:
         kept = [x for i, x in enumerate((t or "").split("\n")) if (d, i) not in gone]
@@ -142,6 +176,15 @@ def test_line_templates_against_brute_force(spark):
     assert line_dedup.report(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_repeated_and_null_ids_and_clashing_names(spark):
+    line = "the very same line here"
+    rows = [(1, line, "a"), (1, line, "a"), (1, f"{line}\nx", "b"), (2, line, "c"), (None, line, "d"), (3, f"{line}\ny", "e"), (4, f"z\n{line}", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, uid string").selectExpr("*", "'own' AS gone")
+    kept = line_dedup.clean(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, line), (1, line), (1, f"{line}\nx"), (None, line), (3, "y"), (4, "z")], key=str)
+
+
 def test_shards_are_even_and_keep_small_groups(spark):
     rng = np.random.default_rng(1)
     rows = [(i, None if i % 50 == 0 else f"t{i // 2 if i % 5 else 0} " + "y" * int(rng.integers(0, 200)) * (i % 5 != 0), "k") for i in range(3000)] + [(7, "dup", "k"), (7, "dup", "k")]
