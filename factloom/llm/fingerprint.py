@@ -73,18 +73,19 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def with_successor(rows: DataFrame, id_col: str, tie_col: str, fields: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df, range_bytes=32 << 20) -> DataFrame:
+def with_successor(rows: DataFrame, id_col: str, tie_col: str, fields: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df, range_bytes=4 << 20) -> DataFrame:
     """Each row with ``next``: the struct of ``fields`` of the row after it in descending id order; the last has the first.
 
-    Rows are dealt to ranges of ids, of about ``range_bytes`` of ``tie_col`` each, at sampled splitters; a copy of each range's
-    first row joins the range before it, so that no range needs another.  The driver holds eight sampled ids for each range.
+    Rows are dealt to ranges of ids, of about ``range_bytes`` of ``tie_col`` each (or a millionth of all, if that is more), at
+    sampled splitters; a copy of each range's first row joins the range before it, so that no range needs another.  The driver
+    holds eight sampled ids for each range.
     ``derive`` adds columns after the rows have been dealt, so that these needn't move.
     """
     count, total, low, high = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length(tie_col)), F.min(id_col), F.max(id_col)).first()
     if not count:
         derived = derive(rows)
         return derived.withColumn("next", F.struct(*fields))
-    ranges = math.ceil(max(1, total or 0) / range_bytes)
+    ranges = math.ceil(max(1, total or 0) / max(range_bytes, (total or 0) >> 20))
     drawn = rows.select(id_col)
     if count > 8 * ranges:
         drawn = drawn.where(F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(1 << 40)) < int((1 << 40) * 8 * ranges / count))
@@ -103,7 +104,7 @@ def with_successor(rows: DataFrame, id_col: str, tie_col: str, fields: list[str]
     copies = F.when(ghost.isNull(), F.array(F.struct(at.alias("r"), F.lit(False).alias("ghost")))).otherwise(
         F.array(F.struct(at.alias("r"), F.lit(False).alias("ghost")), F.struct(ghost.alias("r"), F.lit(True).alias("ghost")))
     )
-    dealt = rows.withColumn("_c", F.explode(copies)).select(*rows.columns, F.col("_c.r").alias("_r"), F.col("_c.ghost").alias("_ghost")).repartition("_r")
+    dealt = rows.withColumn("_c", F.explode(copies)).select(*rows.columns, F.col("_c.r").alias("_r"), F.col("_c.ghost").alias("_ghost")).repartitionByRange("_r")
     # the copy that closes the last range comes from the largest ids and must sort after the rest
     window = Window.partitionBy("_r").orderBy(F.asc("_ghost"), F.desc(id_col), F.asc(tie_col))
     return derive(dealt).withColumn("next", F.lead(F.struct(*fields)).over(window)).where("not _ghost").drop("_r", "_ghost")
