@@ -355,71 +355,78 @@ def log_likelihoods(p: dict[str, np.ndarray], codes: np.ndarray, first: np.ndarr
     return out
 
 
+def gradients(p: dict[str, np.ndarray], codes: np.ndarray, at: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], int]:
+    """(state after a window, gradients of its mean loss, tokens that count) by backpropagation to the window's first step.
+
+    ``at`` and ``fresh`` [steps, slots] are token indexes (or -1) and whether a document begins there.
+    """
+    (steps, k), n, kind = at.shape, HIDDEN, p["u"].dtype.type
+    x = _inputs(codes, at, fresh)
+    gates = p["g"][x]
+    h = state
+    before, rs, zs, cands, hus, hidden = (np.empty((steps, k, n), kind) for _ in range(6))
+    for t in range(steps):
+        h = np.where(fresh[t][:, None], kind(0), h)
+        hu = h @ p["u"]
+        rz = _sigmoid(gates[t][:, : 2 * n] + hu[:, : 2 * n])
+        before[t], rs[t], zs[t], hus[t] = h, rz[:, :n], rz[:, n:], hu[:, 2 * n :]
+        cands[t] = np.tanh(gates[t][:, 2 * n :] + rs[t] * hus[t])
+        h = cands[t] + zs[t] * (h - cands[t])
+        hidden[t] = h
+    live = (at >= 0) & (codes[np.maximum(at, 0)] != UNSEEN)
+    count = int(live.sum())
+    if not count:
+        return h, {}, 0
+    flat, target = hidden[live], codes[at[live]].astype(np.int64)
+    scale = kind(1 / count)
+    probs = np.exp(flat @ p["wc"] + p["bc"])
+    probs /= probs.sum(axis=1, keepdims=True)
+    probs[np.arange(count), class_of_code[target]] -= 1
+    probs *= scale
+    grad = {"wc": flat.T @ probs, "bc": probs.sum(axis=0), "wh": np.zeros_like(p["wh"]), "bh": np.zeros_like(p["bh"])}
+    d_flat = probs @ p["wc"].T
+    for c in range(HEADS):
+        mine = np.flatnonzero((target >= c * HEAD_CLASS) & (target < (c + 1) * HEAD_CLASS))
+        if len(mine):
+            e = np.exp(flat[mine] @ p["wh"][c] + p["bh"][c])
+            e /= e.sum(axis=1, keepdims=True)
+            e[np.arange(len(mine)), target[mine] - c * HEAD_CLASS] -= 1
+            e *= scale
+            grad["wh"][c], grad["bh"][c] = flat[mine].T @ e, e.sum(axis=0)
+            d_flat[mine] += e @ p["wh"][c].T
+    d_hidden = np.zeros((steps, k, n), kind)
+    d_hidden[live] = d_flat
+    d_gates, d_u, carry = np.empty((steps, k, 3 * n), kind), np.zeros_like(p["u"]), np.zeros((k, n), kind)
+    for t in range(steps - 1, -1, -1):
+        dh = d_hidden[t] + carry
+        r, z, cand = rs[t], zs[t], cands[t]
+        dc = dh * (1 - z) * (1 - cand * cand)
+        dg = d_gates[t]
+        dg[:, :n] = dc * hus[t] * r * (1 - r)
+        dg[:, n : 2 * n] = dh * (before[t] - cand) * z * (1 - z)
+        dg[:, 2 * n :] = dc
+        dhu = np.concatenate([dg[:, : 2 * n], dc * r], axis=1)
+        d_u += before[t].T @ dhu
+        carry = dh * z + dhu @ p["u"].T
+        carry[fresh[t]] = 0
+    grad["u"] = d_u
+    order = np.argsort(x.ravel(), kind="stable")
+    ids, start = np.unique(x.ravel()[order], return_index=True)
+    grad["g"] = np.zeros_like(p["g"])
+    grad["g"][ids] = np.add.reduceat(d_gates.reshape(-1, 3 * n)[order], start)
+    return h, grad, count
+
+
 def train(p: dict[str, np.ndarray], codes: np.ndarray, first: np.ndarray, rate: float, slots: int = 64, window: int = 24, moments: dict | None = None) -> dict:
     """One pass of truncated backpropagation with Adam, in place; state is carried across windows, gradients aren't."""
     moments = moments if moments is not None else {"t": 0, "m": {k: np.zeros_like(v) for k, v in p.items()}, "v": {k: np.zeros_like(v) for k, v in p.items()}}
     index, begins, used = deal(first, slots)
-    n = HIDDEN
-    state = np.zeros((index.shape[1], n), _F)
+    state = np.zeros((index.shape[1], HIDDEN), _F)
     for t0 in range(0, len(index), window):
         t1, k = min(t0 + window, len(index)), int(used[t0])
-        at, fresh = index[t0:t1, :k], begins[t0:t1, :k]
-        steps = t1 - t0
-        x = _inputs(codes, at, fresh)
-        gates = p["g"][x]
-        h = state[:k]
-        before, rs, zs, cands, hus = (np.empty((steps, k, n), _F) for _ in range(5))
-        hidden = np.empty((steps, k, n), _F)
-        for t in range(steps):
-            h = np.where(fresh[t][:, None], _F(0), h)
-            hu = h @ p["u"]
-            rz = _sigmoid(gates[t][:, : 2 * n] + hu[:, : 2 * n])
-            before[t], rs[t], zs[t], hus[t] = h, rz[:, :n], rz[:, n:], hu[:, 2 * n :]
-            cands[t] = np.tanh(gates[t][:, 2 * n :] + rs[t] * hus[t])
-            h = cands[t] + zs[t] * (h - cands[t])
-            hidden[t] = h
-        state[:k] = h
-        live = (at >= 0) & (codes[np.maximum(at, 0)] != UNSEEN)
-        count = int(live.sum())
+        state[:k], grad, count = gradients(p, codes, index[t0:t1, :k], begins[t0:t1, :k], state[:k])
         if not count:
             continue
-        flat, target = hidden[live], codes[at[live]].astype(np.int64)
-        scale = _F(1 / count)
-        probs = np.exp(flat @ p["wc"] + p["bc"])
-        probs /= probs.sum(axis=1, keepdims=True)
-        probs[np.arange(count), class_of_code[target]] -= 1
-        probs *= scale
-        grad = {"wc": flat.T @ probs, "bc": probs.sum(axis=0), "wh": np.zeros_like(p["wh"]), "bh": np.zeros_like(p["bh"])}
-        d_flat = probs @ p["wc"].T
-        for c in range(HEADS):
-            mine = np.flatnonzero((target >= c * HEAD_CLASS) & (target < (c + 1) * HEAD_CLASS))
-            if len(mine):
-                e = np.exp(flat[mine] @ p["wh"][c] + p["bh"][c])
-                e /= e.sum(axis=1, keepdims=True)
-                e[np.arange(len(mine)), target[mine] - c * HEAD_CLASS] -= 1
-                e *= scale
-                grad["wh"][c], grad["bh"][c] = flat[mine].T @ e, e.sum(axis=0)
-                d_flat[mine] += e @ p["wh"][c].T
-        d_hidden = np.zeros((steps, k, n), _F)
-        d_hidden[live] = d_flat
-        d_gates, d_u, carry = np.empty((steps, k, 3 * n), _F), np.zeros_like(p["u"]), np.zeros((k, n), _F)
-        for t in range(steps - 1, -1, -1):
-            dh = d_hidden[t] + carry
-            r, z, cand = rs[t], zs[t], cands[t]
-            dc = dh * (1 - z) * (1 - cand * cand)
-            dg = d_gates[t]
-            dg[:, :n] = dc * hus[t] * r * (1 - r)
-            dg[:, n : 2 * n] = dh * (before[t] - cand) * z * (1 - z)
-            dg[:, 2 * n :] = dc
-            dhu = np.concatenate([dg[:, : 2 * n], dc * r], axis=1)
-            d_u += before[t].T @ dhu
-            carry = dh * z + dhu @ p["u"].T
-            carry[fresh[t]] = 0
-        grad["u"] = d_u
-        order = np.argsort(x.ravel(), kind="stable")
-        ids, start = np.unique(x.ravel()[order], return_index=True)
-        grad["g"] = np.zeros_like(p["g"])
-        grad["g"][ids] = np.add.reduceat(d_gates.reshape(-1, 3 * n)[order], start)
         norm = math.sqrt(sum(float((v * v).sum()) for v in grad.values()))
         clip = min(1.0, 1.0 / max(norm, 1e-9))
         moments["t"] += 1
