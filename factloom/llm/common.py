@@ -4,30 +4,16 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from ..sources.shared import shared_dir, shared_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if base is None and current is None:
-        base = "file://" + tempfile.mkdtemp(prefix="factloom-")
-    if current is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return (base or current).rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
+__all__ = ["blocks", "cut", "lean", "list_array", "per_batch", "per_block", "require", "shared_dir", "shared_path"]
 
 
 def cut(df: DataFrame) -> DataFrame:

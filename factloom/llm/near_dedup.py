@@ -11,12 +11,17 @@
 4. Components: bounded tasks reduce their links to forests; more than one are contracted round by round,
    with a checkpoint each.
 
+Joins of bucket members have one row a key on the other side, stored first, so that a large bucket's members can be dealt to
+several tasks.
+
 At the default 40 bands of 5 rows a pair at similarity 0.8 shares no bucket with probability 1.3e-7.
 
 Defined results: texts without words (null, empty) have 0 shingles and stay alone; a text with fewer words than a
-shingle has one shingle, its whole sequence; equal texts are one component; an empty table gives no rows; rows that
-repeat a document id share its component in ``components``, while ``keep`` tells rows of other texts apart and leaves one of
-equal ones, but all without words; other columns are ignored by ``components`` and passed through by ``keep``.
+shingle has one shingle, its whole sequence; equal texts are one vertex, named by their smallest id, and so one component; an empty
+table gives no rows.  Rows that repeat a document id are placed by their own texts each, in ``components`` too (but texts
+that are both named by that id are one component there); ``keep`` tells rows of other texts apart and leaves one of
+equal ones, but all without words.  Other columns, clashing names included, are ignored by ``components`` and passed through by
+``keep``; a null id comes last.
 """
 
 from __future__ import annotations
@@ -238,7 +243,8 @@ def _across(docs, members, labels, small, id_col, text_col, shingle, percent, sk
     placed = members.where("members > 2").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
     def mixed(rows: DataFrame) -> DataFrame:
-        return rows.join(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "key", "left_semi")
+        keys = cut(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"))
+        return rows.join(keys, "key")
 
     placed = cut(mixed(placed).join(small, "rep").select("key", "rep", "comp", "n", F.col("n").alias("most"), "s0", "s1", "members"))
     owners = placed.where(F.col("members") > few).select("rep", "comp", "n", "s0", "s1").distinct()
@@ -286,7 +292,7 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5, per
     reps = cut(reps)
 
     keyed = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    buckets = cut(keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1"))
     members = cut(keyed.join(buckets, "key").where("rep <> hub"))
 
     size_ok = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -335,19 +341,20 @@ def keep(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFr
 
     Components are those of pairs of id and text, by hash, so ids may repeat with equal or other texts.
     """
-    rows = docs.withColumn("_uid", F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 1))
-    found = components(rows.select("_uid", text_col), "_uid", text_col, **options).where("n_shingles > 0")
-    found = cut(found.groupBy("_uid").agg(F.first("component_id").alias("comp"), F.count(F.lit(1)).alias("times")))
-    linked = found.join(found.where("_uid <> comp").select("comp").distinct(), "comp").select("comp", "_uid")
-    with_id = linked.join(rows.select("_uid", F.col(id_col).alias("_id")), "_uid")
-    winner = with_id.groupBy("comp").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_uid"))["_uid"].alias("best"))
-    gone = linked.join(winner, "comp").where("_uid <> best").select("_uid")
-    kept = rows.join(gone, "_uid", "left_anti")
-    repeated = found.where("times > 1").select("_uid")
+    uid = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 1)
+    rows = docs.select(uid.alias("uid"), F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
+    found = components(docs.select(uid.alias("uid"), text_col), "uid", text_col, **options).where("n_shingles > 0")
+    found = cut(found.groupBy("uid").agg(F.first("component_id").alias("comp"), F.count(F.lit(1)).alias("times")))
+    linked = found.join(found.where("uid <> comp").select("comp").distinct(), "comp").select("comp", "uid")
+    with_id = linked.join(rows.select("uid", F.col("doc").getField(id_col).alias("id")), "uid")
+    winner = with_id.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), "id", "uid"))["uid"].alias("best"))
+    gone = cut(linked.join(winner, "comp").where("uid <> best").select("uid"))
+    kept = rows.join(gone, "uid", "left_anti")
+    repeated = cut(found.where("times > 1").select("uid"))
     if repeated.limit(1).count():
-        one = kept.join(repeated, "_uid", "left_semi").groupBy("_uid").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
-        kept = kept.join(repeated, "_uid", "left_anti").select(*docs.columns).union(one.select("row.*"))
-    return kept.select(*docs.columns)
+        one = kept.join(repeated, "uid", "left_semi").groupBy("uid").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+        kept = kept.join(repeated, "uid", "left_anti").select("doc").union(one.select("doc"))
+    return kept.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 ORACLE_SQL = r"""

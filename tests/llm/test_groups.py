@@ -77,6 +77,34 @@ def test_near_dedup_keeps_one_row_of_repeated_ids(spark):
     assert sorted((r.doc_id, (r.text or "")[:1]) for r in kept.collect()) == [(1, "a"), (2, "b"), (3, "c"), (4, ""), (4, "")]
 
 
+def test_near_dedup_of_an_id_with_two_texts(spark):
+    own, copy = "own " * 3 + "words of five", " ".join(f"c{i}" for i in range(40))
+    df = spark.createDataFrame([(5, own, 1), (5, copy, 2), (3, copy, 3)], "doc_id long, text string, uid int").selectExpr("*", "'x' AS doc")
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.components(df, shingle=4).collect()) == [(3, 3, True), (5, 3, False), (5, 5, True)]
+    kept = near_dedup.keep(df, shingle=4)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.uid) for r in kept.collect()) == [(3, 3), (5, 1)]
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    """300 pairs of similarity 0.8 to 0.83, and 300 just below: recall and precision."""
+    rng = np.random.default_rng(6)
+    docs, want = [], {}
+    for i in range(600):
+        words = [f"{i}w{j}" for j in range(int(rng.integers(60, 200)))]
+        n = len(words) - 3
+        kept = 0
+        while True:  # a changed last word costs one shingle on each side
+            kept += 1
+            if 100 * (n - kept) < 80 * (n + kept):
+                break
+        change = kept - 1 if i < 300 else kept
+        other = [*words[: len(words) - change], *(f"x{i}y{j}" for j in range(change))]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        want[2 * i + 1] = 2 * i if i < 300 else 2 * i + 1
+    got = {r.doc_id: r.component_id for r in near_dedup.components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), shingle=4).collect()}
+    assert {d: got[d] for d in want} == want
+
+
 def test_near_dedup_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e")], "doc_id long, text string")
     assert sorted(r.component_id for r in near_dedup.components(df).collect()) == [1, 1, 1]
