@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows it is given.  All but the last return the columns of
 documents.  SQL can't express the toxicity and packing stages, so there is none for the whole.
+
+Defined results: an empty table gives no rows.  Rows with null or empty texts pass all filters and are packed as their end token;
+rows with a null id pass too, and count as documents of their own except in line dedup, where their lines stay.  Of rows
+equal in id and text, one stays if the text has words.  Columns beyond those of documents, and other orders, are kept.
 """
 
 from __future__ import annotations
@@ -9,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import decontam, line_dedup, near_dedup, packing, toxicity
+from factloom.llm.common import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +53,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``."""
+    """All stages on the documents of ``sf_dir``, each on what the one before it stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
