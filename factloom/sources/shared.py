@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: computed once, survives lost executors."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
