@@ -3,7 +3,8 @@
 1. Learned lexicons: words, and word prefixes of 4, 5 and 6 bytes, that labelled toxic training documents have far more often
    than clean ones, by more than chance allows among so many features.  Counts cover all labelled training rows; only
    features of at least ``support`` of the toxic rows are counted, so there are at most (features of a text) / ``support`` of
-   them, whatever the size of the corpus.
+   them, whatever the size of the corpus.  The ``items`` most telling are the model's inputs; that bounds its size, not the
+   rows it is learned from or applied to.
 2. Voters: the learned lexicon of words and those of each length of prefix, fixed lists of insults and of threats near a
    second person, hits addressed to a second person, hits spelt with digits or signs, shouting, runs of exclamation marks.
    Each document's votes are one small bit pattern; patterns are counted over all documents.
@@ -279,7 +280,7 @@ def _labels(labels: DataFrame, id_col: str, label_col: str, folds: int, most: in
     return ids[order], table.column("y").to_numpy()[order].astype(np.int8)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", folds=5, support=0.005, least_odds=2.0, chance=1.0, most_labels=2_000_000, most_rows=20_000) -> dict:
+def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", folds=5, support=0.005, least_odds=2.0, chance=1.0, items=256, most_labels=2_000_000, most_rows=20_000) -> dict:
     """Lexicon, label model and classifier weights."""
     require(docs, id_col, text_col)
     require(labels, id_col, label_col)
@@ -298,7 +299,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
         odds = np.log((pos + 0.5) / (n_toxic + 1)) - np.log((neg + 0.5) / (n_clean + 1))
         share = min(n_toxic / (n_toxic + n_clean), 1 - 1e-9)
         gain = 2 * (pos * np.log(pos / ((pos + neg) * share)) + neg * np.log(np.maximum(neg, 1e-9) / ((pos + neg) * (1 - share))))
-        keep = (odds >= least_odds) & (gain >= 2 * math.log(max(len(pos), 1) / chance))  # of all features, few by chance
+        keep = np.flatnonzero((odds >= least_odds) & (gain >= 2 * math.log(max(len(pos), 1) / chance)))  # of all features, few by chance
+        keep = keep[np.argsort(-odds[keep] * np.log1p(pos[keep]), kind="stable")[:items]]
         lexicon = Lexicon(ids[keep].view(_U), kinds[keep].astype(np.int64))
 
     tool = spark.sparkContext.broadcast(lexicon)
