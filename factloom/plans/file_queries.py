@@ -42,6 +42,62 @@ def a13(spark, d) -> DataFrame:
     return raw.select("doc_id", F.size("entities").cast("bigint").alias("entities"), F.size("relations").cast("bigint").alias("relations"))
 
 
+@query("a01_text_files", "SELECT item_id, text || chr(10) AS text FROM benchmark")
+def a01(spark, d) -> DataFrame:
+    """A text file for each item, read back whole."""
+    path = shared_path(spark, "texts")
+    I.table(spark, d, "benchmark").select("item_id", "text").repartition(8, "item_id").write.partitionBy("item_id").text(path)
+    rows = files.read_text(spark, path)
+    return rows.select(F.regexp_extract("path", "item_id=([0-9]+)/", 1).cast("bigint").alias("item_id"), "text")
+
+
+_NODE_TYPE = "CASE type WHEN 'other' THEN 'OtherEntity' ELSE upper(substring(type, 1, 1)) || substring(type, 2) END"
+
+
+@query("a05_graph_csv", f"WITH {I.NAMES} SELECT 'E' || k AS id, name, type AS ontology_type, CASE WHEN k % 3 <> 0 THEN 'verbatim' END AS match, CASE WHEN k % 2 = 0 THEN 'AR' || k ELSE '' END AS aliases FROM names")
+def a05(spark, d) -> DataFrame:
+    """Node rows with JSON cells, quotes doubled, some cells empty."""
+    path = shared_path(spark, "nodes")
+    cell = F.when(F.col("k") % 3 != 0, F.to_json(F.struct(F.lit("verbatim").alias("match"), F.array(F.lit(0)).alias("chunks"))))
+    label = F.expr(_NODE_TYPE)
+    aliases = F.when(F.col("k") % 2 == 0, F.to_json(F.array(F.concat(F.lit("AR"), "k"), F.col("name"))))
+    rows = I.names(spark, d).select(F.concat(F.lit("E"), "k").alias("id"), label.alias("label"), label.alias("__class__"), "name", F.lit(None).cast("string").alias("entity_type"), aliases.alias("merged_aliases"), cell.alias("__provenance__"))
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return files.graph_nodes(spark, path).select("id", "name", "ontology_type", F.col("provenance.match").alias("match"), F.array_join("aliases", "|").alias("aliases"))
+
+
+@query("a06_provenance", f"WITH {I.NAMES} SELECT name, CAST(k % 4 AS BIGINT) AS chunk_id, CASE WHEN k % 5 = 0 THEN 'fuzzy' ELSE 'verbatim' END AS kind, CAST(k AS BIGINT) AS lo, CAST(k + 3 AS BIGINT) AS hi FROM names")
+def a06(spark, d) -> DataFrame:
+    """Provenance files, one a document, nested as maps of nodes."""
+    path = shared_path(spark, "provenance")
+    anchor = F.struct(F.lit("f").alias("document_id"), (F.col("k") % 4).cast("int").alias("chunk_id"), F.expr("CASE WHEN k % 5 = 0 THEN 'fuzzy' ELSE 'verbatim' END").alias("kind"), F.array(F.col("k").cast("int"), (F.col("k") + 3).cast("int")).alias("span"))
+    node = F.struct(F.concat(F.lit("N|"), F.col("k").cast("string")).alias("key"), F.struct(F.lit("Company").alias("node_type"), F.struct("name").alias("ids"), F.array(anchor).alias("anchors")).alias("value"))
+    chunk = F.map_from_arrays(F.array(F.lit("0")), F.array(F.struct(F.lit(0).alias("chunk_id"), F.lit("t").alias("text"))))
+    I.names(spark, d).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(node)).alias("nodes")).select(F.lit(1).alias("version"), chunk.alias("chunks"), "nodes").repartition(8).write.option("maxRecordsPerFile", 1).json(path)
+    anchors, _ = files.provenance(spark, path)
+    return anchors.select("name", F.col("chunk_id").cast("bigint").alias("chunk_id"), "kind", F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"))
+
+
+@query("k03_prepared", "SELECT cast(doc_id as varchar) AS doc_id, text FROM documents")
+def k03(spark, d) -> DataFrame:
+    """A prepared dataset written twice: what was there goes."""
+    path = shared_path(spark, "prepared")
+    none = [F.array().cast(t).alias(c) for c, t in (("entities", "array<struct<id:string>>"), ("relations", "array<struct<source:string>>"))]
+    gold = I.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", *none)
+    files.write_prepared(gold.select("doc_id", F.lit("old").alias("text"), "entities", "relations"), path, {"name": "old"})
+    files.write_prepared(gold, path, {"name": "new"})
+    return spark.read.parquet(f"{path}/docs")
+
+
+@query("k07_ops_ledger", f"WITH {I.RUNS} SELECT CAST(run_id AS VARCHAR) AS run_id, status, round(cost_usd, 6) AS cost_usd, CASE WHEN status = 'failed' THEN 'boom' END AS error FROM runs")
+def k07(spark, d) -> DataFrame:
+    """Ledger files of all runs, failed ones too."""
+    path = shared_path(spark, "ops")
+    rows = I.runs(spark, d).select(F.col("run_id").cast("string").alias("run_id"), "status", F.when(F.col("status") == "failed", "boom").alias("error"), "stages_s", F.struct("cost_usd").alias("llm"))
+    files.write_ops(rows.repartition(8, "run_id"), path)
+    return files.read_ledger(spark, path).select(F.col("run_id").cast("string").alias("run_id"), "status", F.round("llm.cost_usd", 6).alias("cost_usd"), "error")
+
+
 @query("a14_conll", "SELECT 'c-' || lpad(CAST(n_regionkey AS VARCHAR), 4, '0') AS doc_id, CAST(count(*) FILTER (n_nationkey % 3 = 1) AS BIGINT) AS entities, string_agg(replace(n_name, '_', ' ') || chr(10), '' ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey")
 def a14(spark, d) -> DataFrame:
     """One ordered file of all regions as documents and all nations as sentences: a third places, a third organisations, a third none."""

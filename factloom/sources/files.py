@@ -70,6 +70,19 @@ def read_ops(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.OPS).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "ops.json").json(path)
 
 
+def write_ops(runs: DataFrame, path: str) -> None:
+    """A ledger file a run, of finished and failed runs alike; writing a run again replaces it alone.
+
+    ``runs`` has run_id and any of the ledger's other fields.
+    """
+    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """Ledger files as ``write_ops`` leaves them."""
+    return spark.read.schema(S.OPS).json(path)
+
+
 def write_runs(runs: DataFrame, path: str) -> None:
     """One partition a run; writing a run again replaces it alone."""
     runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(path)

@@ -42,12 +42,12 @@ def test_whole_run(tables):
 
 def test_replays_change_one_pass_alone(tables):
     nodes, edges, anchors, chunks, docs, missed, related = tables
-    ents, rels = convert.convert_documents(nodes, edges, anchors, chunks, docs)
+    ents, rels = runs.settle(*convert.convert_documents(nodes, edges, anchors, chunks, docs), docs)
     stored = {"entities": ents, "relationships": rels}
     again = runs.replay_recall(stored, docs, chunks, missed)
     assert {r.entity_id for r in again["entities"].collect()} == {"P1", "C1", BOLT} and again["relationships"].count() == 1
     made = runs.replay_relations(stored, docs, related, keep=False)
-    assert made["relationships"].count() == 0 and {r.reject for r in made["related"].collect()} == {"unresolved"}
+    assert made["relationships"].count() == 1 and [r.reject for r in made["related"].orderBy("pos").collect()] == [None, "unresolved", "bad_direction", "unresolved", "no_evidence"]
     kept = runs.replay_relations(stored, docs, related)
     assert kept["relationships"].count() == 1 and kept["entities"].count() == ents.count()
 
