@@ -256,7 +256,7 @@ def _across(docs, members, labels, small, id_col, text_col, shingle, percent, sk
 
     ids = owners.select(F.col("rep").alias("id"))
     grams = cut(_texts_of(docs, ids, id_col, text_col).join(ids, "id", "left_semi").mapInArrow(per_block(explode, "text"), "rep long, key long"))
-    counted = grams.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"))
+    counted = cut(grams.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")).where(F.col("c") <= rare))
     own = counted.where("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
     seldom = cut(grams.join(counted.where(F.col("c").between(2, rare)).select("key", "c"), "key"))
     owners = owners.join(own, "rep", "left").join(seldom.groupBy("rep").agg(F.count(F.lit(1)).alias("others")), "rep", "left")
@@ -267,7 +267,8 @@ def _across(docs, members, labels, small, id_col, text_col, shingle, percent, sk
     first = seldom.join(owners.where("own < prefix"), "rep").withColumn("rank", F.row_number().over(order)).where("rank + own <= prefix")
     common = owners.where("own + others <= prefix").select("rep", (F.col("n") - F.col("own") - F.col("others")).alias("most"))
     large = placed.where(F.col("members") > few).drop("most").join(common, "rep")
-    fewest = large.groupBy("key").agg(F.min("n").alias("fewest"))
+    large = cut(large)
+    fewest = cut(large.groupBy("key").agg(F.min("n").alias("fewest")))
     enough = 100 * F.col("most") >= percent * (F.col("n") + F.greatest("fewest", "most") - F.col("most"))
     large = large.join(fewest, "key").where(enough)
 
