@@ -100,31 +100,33 @@ def occurrences(pairs: DataFrame, text_col: str, name_col: str, ignore_case: boo
     return rows.withColumn("start_char", start).withColumn("end_char", F.col("start_char") + F.char_length(name_col)).drop("_parts", "_lengths")
 
 
-def _runs_of(words: Column, first: int, size: int, last: Column) -> Column:
-    """Hashes of all runs of ``size`` items of an array that begin at ``first`` and end at ``last``, 0-based, at most."""
-    every = F.transform(F.sequence(F.lit(first), last - size + 1), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(size))))
-    return F.when(last - size + 1 >= first, every).otherwise(F.array().cast("array<bigint>"))
+def _runs_of(items: Column, first: int, size: int, after: int) -> Column:
+    """Hashes of all runs of ``size`` items of an array, the ``first`` and the last ``after`` items left out; the array is computed once a row."""
+
+    def runs(xs: Column) -> Column:
+        last = F.size(xs) - size - after
+        every = F.transform(F.sequence(F.lit(first), last), lambda i: F.xxhash64(*(F.get(xs, i + j) for j in range(size))))
+        return F.when(last >= first, every).otherwise(F.array().cast("array<bigint>"))
+
+    return F.element_at(F.transform(F.array(items), runs), 1)
 
 
 def quotes_in(docs: DataFrame, quotes: DataFrame, run: int = 3) -> DataFrame:
     """(doc_id, text, item_id, q, start_char) of every quote (item_id, q) in every document that has it, at its first place.
 
     Words between a quote's blanks are words of the text too, so a quote and its documents share the hash of its first ``run``
-    inner words; of shorter quotes, that of their first characters.  Equal hashes are joined (the smaller side is broadcast if
-    Spark finds it small enough), then whole quotes are looked up.  Empty quotes are nowhere.
+    inner words; of shorter quotes (looked for only if there are any) that of their first characters.  Equal hashes are joined
+    (the smaller side is broadcast if Spark finds it small enough), then whole quotes are looked up.  Empty quotes are nowhere.
     """
-    inner = F.split("q", " ", -1)
-    count = F.size(inner)
-    keyed = quotes.where("q <> ''").withColumn("_k", F.when(count >= run + 2, F.get(_runs_of(inner, 1, run, count - 2), F.lit(0))))
-    words = F.split("text", " ", -1)
-    long = docs.select("doc_id", F.explode(F.array_distinct(_runs_of(words, 0, run, F.size(words) - 1))).alias("_k")).join(keyed.where("_k is not null"), "_k").select("doc_id", "item_id", "q")
-    chars = F.split("text", "")
+    keyed = quotes.where("q <> ''").withColumn("_k", F.get(_runs_of(F.split("q", " ", -1), 1, run, 1), F.lit(0)))
+    found = docs.select("doc_id", F.explode(F.array_distinct(_runs_of(F.split("text", " ", -1), 0, run, 0))).alias("_k")).join(keyed.where("_k is not null"), "_k").select("doc_id", "item_id", "q")
     short = keyed.where("_k is null").drop("_k")
-    for size in range(1, run + 1):
-        mine = short.where(F.char_length("q") >= size if size == run else F.char_length("q") == size).withColumn("_k", F.xxhash64(*(F.substring("q", i + 1, 1) for i in range(size))))
-        found = docs.select("doc_id", F.explode(F.array_distinct(_runs_of(chars, 0, size, F.size(chars) - 1))).alias("_k")).join(mine, "_k")
-        long = long.unionByName(found.select("doc_id", "item_id", "q"))
-    rows = docs.select("doc_id", "text").join(long, "doc_id").where(F.contains("text", F.col("q")))
+    sizes = [r[0] for r in short.select(F.least(F.char_length("q"), F.lit(run))).distinct().collect()]  # of 1 to ``run``
+    for size in sizes:
+        mine = short.where(F.least(F.char_length("q"), F.lit(run)) == size).withColumn("_k", F.xxhash64(*(F.substring("q", i + 1, 1) for i in range(size))))
+        chars = docs.select("doc_id", F.explode(F.array_distinct(_runs_of(F.split("text", ""), 0, size, 0))).alias("_k"))
+        found = found.unionByName(chars.join(mine, "_k").select("doc_id", "item_id", "q"))
+    rows = docs.select("doc_id", "text").join(found, "doc_id").where(F.contains("text", F.col("q")))
     return rows.withColumn("start_char", find(F.col("text"), F.col("q")))
 
 

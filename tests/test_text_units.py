@@ -168,3 +168,11 @@ def test_unique_containment(spark):
     forms = spark.createDataFrame([("d", "Microsoft Corporation", "E1", 0), ("d", "Acme East", "E2", 1), ("d", "Acme West", "E3", 2)], "doc_id string, form string, entity_id string, pos int")
     names = spark.createDataFrame([("d", "Microsoft"), ("d", "Acme"), ("d", "acme-west"), ("d", "MS")], "doc_id string, name string")
     assert {r.name: r.entity_id for r in resolve.match_name(names, forms).collect()} == {"Microsoft": "E1", "Acme": None, "acme-west": "E3", "MS": None}
+
+
+def test_quotes_of_all_lengths_are_found(spark):
+    texts = ["one two three four five six", "xone two three four fivey", "a", "", None, "b  c", "two three", "one two three four five six " * 500 + "z"]
+    quotes = ["one two three four five", "two three", "a", "b ", "ve", " ", "", "three four five six one two", "e f", "not there at all anywhere"]
+    docs, qs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(quotes)), "item_id long, q string")
+    got = {(r.doc_id, r.item_id): r.start_char for r in anchor.quotes_in(docs, qs).collect()}
+    assert got == {(i, j): t.find(q) for i, t in enumerate(texts) for j, q in enumerate(quotes) if t and q and q in t}
