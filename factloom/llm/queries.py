@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, html_density, line_dedup, lm_score, near_dedup, packing, sharding, toxicity, warc
+from . import decontam, fingerprint, html_density, line_dedup, lm_score, mixing, near_dedup, packing, sharding, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scores(_read(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_density": op1_html_density,
     "op2_decontamination": op2_decontamination,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_fingerprints": op9_fingerprints,
     "op10_lm_score": op10_lm_score,
+    "op11_mixing": op11_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -71,4 +76,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_near_dedup": near_dedup.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
     "op7_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_mixing": mixing.ORACLE_SQL,
 }
