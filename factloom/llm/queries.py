@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, html_density, line_dedup, lm_score, mixing, near_dedup, packing, sharding, toxicity, warc
+from . import decontam, fingerprint, html_density, lexical, line_dedup, lm_score, mixing, near_dedup, packing, sharding, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_read(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_density": op1_html_density,
     "op2_decontamination": op2_decontamination,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_lm_score": op10_lm_score,
     "op11_mixing": op11_mixing,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -77,4 +82,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc": warc.ORACLE_SQL,
     "op7_line_dedup": line_dedup.ORACLE_SQL,
     "op11_mixing": mixing.ORACLE_SQL,
+    "op12_lexical_search": lexical.ORACLE_SQL,
 }
