@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, html_density, lexical, line_dedup, lm_score, mixing, near_dedup, packing, sharding, toxicity, warc
+from . import decontam, fingerprint, html_density, lexical, line_dedup, lm_score, mixing, near_dedup, packing, resample, sharding, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=20)
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_density": op1_html_density,
     "op2_decontamination": op2_decontamination,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_score": op10_lm_score,
     "op11_mixing": op11_mixing,
     "op12_lexical_search": op12_lexical_search,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -83,4 +88,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": line_dedup.ORACLE_SQL,
     "op11_mixing": mixing.ORACLE_SQL,
     "op12_lexical_search": lexical.ORACLE_SQL,
+    "op13_importance_resampling": resample.ORACLE_SQL,
 }
