@@ -15,6 +15,7 @@ from pyspark.sql.types import IntegerType, StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .automaton import find_forms
 
 CDATA = "<text><![CDATA["
 SPAN = StructType().add("start", IntegerType()).add("end", IntegerType())
@@ -100,6 +101,11 @@ def occurrences(pairs: DataFrame, text_col: str, name_col: str, ignore_case: boo
     return rows.withColumn("start_char", start).withColumn("end_char", F.col("start_char") + F.char_length(name_col)).drop("_parts", "_lengths")
 
 
+def name_search(docs: DataFrame, names: DataFrame, limit: int | None = 3) -> DataFrame:
+    """(doc_id, id, n, start_char, end_char): the first places of each name (doc_id, id, form) in its document, whatever the case; one pass a text."""
+    return find_forms(docs.select("doc_id", "text"), names, ignore_case=True, limit=limit)
+
+
 def _runs_of(items: Column, first: int, size: int, after: int) -> Column:
     """Hashes of all runs of ``size`` items of an array, the ``first`` and the last ``after`` items left out; the array is computed once a row."""
 
@@ -165,14 +171,15 @@ def anchor_spans(rows: DataFrame) -> DataFrame:
 def cooccurrence(pairs: DataFrame, citations: DataFrame, docs: DataFrame, gap: int = 400, around: int = 200) -> DataFrame:
     """Evidence of each (doc_id, source, target): the tightest passage with an anchored citation of both, to sentence bounds.
 
-    ``citations`` has (doc_id, entity_id, pos, start_char, end_char).  A band join in each document; the first pair of the
-    least width wins.
+    ``citations`` has (doc_id, entity_id, pos, start_char, end_char).  Both starts of a passage lie in the same bin of ``gap``
+    characters or in neighbours, so citations meet by document, entity and bin; a span that an entity cites again counts
+    at its first place only.  The first pair of the least width wins.
     """
-    good = citations.where("end_char > start_char")
-    a = good.select("doc_id", F.col("entity_id").alias("source"), F.col("pos").alias("pa"), F.col("start_char").alias("sa"), F.col("end_char").alias("ea"))
-    b = good.select("doc_id", F.col("entity_id").alias("target"), F.col("pos").alias("pb"), F.col("start_char").alias("sb"), F.col("end_char").alias("eb"))
+    good = citations.where("end_char > start_char").groupBy("doc_id", "entity_id", "start_char", "end_char").agg(F.min("pos").alias("pos")).withColumn("bin", F.floor(F.col("start_char") / gap))
+    a = good.select("doc_id", F.col("entity_id").alias("source"), F.col("pos").alias("pa"), F.col("start_char").alias("sa"), F.col("end_char").alias("ea"), "bin")
+    b = good.select("doc_id", F.col("entity_id").alias("target"), F.col("pos").alias("pb"), F.col("start_char").alias("sb"), F.col("end_char").alias("eb"), F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)).alias("bin"))
     width = F.greatest("ea", "eb") - F.least("sa", "sb")
-    near = pairs.join(a, ["doc_id", "source"]).join(b, ["doc_id", "target"]).where(width <= gap)
+    near = pairs.join(a, ["doc_id", "source"]).join(b, ["doc_id", "target", "bin"]).where(width <= gap)
     best = near.groupBy("doc_id", "source", "target").agg(F.min(F.struct(width.alias("w"), "pa", "pb", F.least("sa", "sb").alias("lo"), F.greatest("ea", "eb").alias("hi"))).alias("x"))
     rows = best.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "source", "target", "text", "x.lo", "x.hi")
     head = F.expr("substring(text, 1, lo)")
@@ -217,7 +224,7 @@ def citation_chain(entities: DataFrame, anchored: DataFrame, docs: DataFrame, li
     has = anchored.where("end_char > 0").select("doc_id", "entity_id").distinct()
     verbatim = anchored.where("end_char > 0").select("doc_id", "entity_id", "start_char", "end_char", "quote", F.lit("verbatim").alias("match")).dropDuplicates(["doc_id", "entity_id", "start_char", "end_char"])
     rest = entities.join(has, ["doc_id", "entity_id"], "left_anti")
-    named = occurrences(rest.join(docs.select("doc_id", "text"), "doc_id"), "text", "name", limit=limit)
+    named = name_search(docs, rest.select("doc_id", F.col("entity_id").alias("id"), F.col("name").alias("form")), limit).withColumnRenamed("id", "entity_id").join(docs.select("doc_id", "text"), "doc_id")
     named = named.select("doc_id", "entity_id", "start_char", "end_char", F.expr("substring(text, start_char + 1, end_char - start_char)").alias("quote"), F.lit("name_search").alias("match"))
     none = rest.join(named.select("doc_id", "entity_id").distinct(), ["doc_id", "entity_id"], "left_anti")
     return verbatim.unionByName(named).unionByName(none.select("doc_id", "entity_id", F.lit(0).alias("start_char"), F.lit(0).alias("end_char"), F.lit("").alias("quote"), F.lit("unanchored").alias("match")))

@@ -5,6 +5,8 @@ Null means "not applicable" and never zero.  All comparisons stay inside a docum
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,9 @@ from pyspark.sql.window import Window
 
 from ..functions import fuzzy
 from ..functions import text as T
+from ..sources.shared import store
+from . import resolve, similar
+from .grouped import map_groups
 
 TYPE_BONUS = 0.01
 
@@ -29,73 +34,142 @@ def prf(tp: Column, fp: Column, fn: Column, precise: Column | None = None) -> li
 # --- alignment -------------------------------------------------------------------------------------------------------
 
 
+def _keys(df: DataFrame) -> DataFrame:
+    """(doc_id, id, strict, core) of each surface form of (doc_id, id, forms)."""
+    rows = df.select("doc_id", "id", F.explode("forms").alias("form"))
+    return rows.select("doc_id", "id", T.norm_name(F.col("form")).alias("strict"), T.core_name(F.col("form")).alias("core")).distinct()
+
+
+def name_pairs(left: DataFrame, right: DataFrame, least: float = 0.9) -> DataFrame:
+    """(doc_id, a, b, s) of ids of a document with similar forms, the best over all pairs of forms.
+
+    1 for equal strict keys and 0.97 for equal core names, by joins on the keys; else the ratio of core names that reaches
+    ``least``, of pairs that the segment join finds.  Both sides have (doc_id, id, forms).
+    """
+    one, two = _keys(left), _keys(right)
+
+    def equal(key: str, score: float) -> DataFrame:
+        a, b = (x.where(F.col(key) != "").select("doc_id", F.col("id").alias(i), key).distinct() for x, i in ((one, "a"), (two, "b")))
+        return a.join(b, ["doc_id", key]).select("doc_id", "a", "b", F.lit(score).alias("s"))
+
+    cores = [x.select(F.col("doc_id").alias("scope"), "id", F.col("core").alias("s")).distinct() for x in (one, two)]
+    close = similar.candidates(*cores, least).where("sa <> sb").withColumn("s", fuzzy.ratio(F.col("sa"), F.col("sb")) / 100).where(F.col("s") >= least)
+    pairs = equal("strict", 1.0).unionByName(equal("core", 0.97)).unionByName(close.select(F.col("scope").alias("doc_id"), "a", "b", "s"))
+    return pairs.groupBy("doc_id", "a", "b").agg(F.max("s").alias("s"))
+
+
 def similarities(gold: DataFrame, pred: DataFrame, least: float = 0.9) -> DataFrame:
     """(doc_id, gold_id, pred_id, score) with score > 0: best over surface forms, and a bonus for equal types.
 
-    Both sides have (doc_id, id, type, forms).  Equal keys come from equi-joins; only the rest, if lengths allow the ratio,
-    is compared letter by letter.
+    Both sides have (doc_id, id, type, forms).
     """
+    typed = lambda df: df.select("doc_id", F.struct("id", "type").alias("id"), "forms")
+    pairs = name_pairs(typed(gold), typed(pred), least)
+    bonus = F.when(F.col("a.type") == F.col("b.type"), TYPE_BONUS).otherwise(0.0)
+    return pairs.select("doc_id", F.col("a.id").alias("gold_id"), F.col("b.id").alias("pred_id"), (F.col("s") + bonus).alias("score"))
 
-    def explode(df: DataFrame, p: str) -> DataFrame:
-        rows = df.select("doc_id", F.col("id").alias(f"{p}_id"), F.col("type").alias(f"{p}_type"), F.explode("forms").alias("form"))
-        return rows.select("doc_id", f"{p}_id", f"{p}_type", T.norm_name(F.col("form")).alias(f"{p}_strict"), T.core_name(F.col("form")).alias(f"{p}_core"))
-
-    pairs = explode(gold, "gold").join(explode(pred, "pred"), "doc_id")
-    same = ((F.col("gold_strict") == F.col("pred_strict")) & (F.col("gold_strict") != "")) | ((F.col("gold_core") == F.col("pred_core")) & (F.col("gold_core") != ""))
-    pairs = pairs.where(same | fuzzy.lengths_allow(F.col("gold_core"), F.col("pred_core"), least))
-    pairs = pairs.withColumn("s", fuzzy.name_similarity(F.col("gold_strict"), F.col("pred_strict"), F.col("gold_core"), F.col("pred_core"), least)).where("s > 0")
-    best = pairs.groupBy("doc_id", "gold_id", "pred_id").agg(F.max("s").alias("s"), F.first("gold_type").alias("gt"), F.first("pred_type").alias("pt"))
-    return best.select("doc_id", "gold_id", "pred_id", (F.col("s") + F.when(F.col("gt") == F.col("pt"), TYPE_BONUS).otherwise(0.0)).alias("score"))
-
-
-def assign(weights: np.ndarray) -> list[tuple[int, int]]:
-    """Maximum-weight one-to-one assignment by shortest augmenting paths; pairs of positive weight."""
-    flip = weights.shape[0] > weights.shape[1]
-    cost = -(weights.T if flip else weights)
-    n, m = cost.shape
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, dtype=int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        slack, seen, back = np.full(m + 1, np.inf), np.zeros(m + 1, bool), np.zeros(m + 1, dtype=int)
+
+def assign(edges: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """Maximum-weight one-to-one assignment over sparse (left, right, weight > 0) edges.
+
+    Left vertices come one after another; each takes the cheapest augmenting path to a free right vertex, or to a left one
+    that is better off single, by Dijkstra's rounds over reduced costs.  Pairs without an edge are never looked at.
+    """
+    near: dict[int, list[tuple[int, float]]] = {}
+    for i, j, w in edges:
+        near.setdefault(i, []).append((j, -w))
+    u: dict[int, float] = {}  # potentials; staying single costs 0, so those of left vertices are 0 at most
+    v: dict[int, float] = {}
+    left_of: dict[int, int] = {}
+    right_of: dict[int, int] = {}
+    for root in sorted(near):
+        u[root] = min(0.0, min(c - v.get(j, 0.0) for j, c in near[root]))
+        tree, closed = {root: 0.0}, {}  # left vertices and right ones with their distance
+        reach: dict[int, float] = {}
+        back: dict[int, int] = {}
+        heap: list[tuple[float, int]] = []
+        at, single, goal, end = root, root, None, float("inf")
         while True:
-            seen[j0] = True
-            row = match[j0]
-            free = ~seen
-            free[0] = False
-            reduced = cost[row - 1] - u[row] - v[1:]
-            better = free[1:] & (reduced < slack[1:])
-            slack[1:][better] = reduced[better]
-            back[1:][better] = j0
-            j1 = int(np.argmin(np.where(free, slack, np.inf)))
-            delta = slack[j1]
-            u[match[seen]] += delta
-            v[seen] -= delta
-            slack[free] -= delta
-            j0 = j1
-            if match[j0] == 0:
+            if tree[at] - u[at] < end:
+                single, end = at, tree[at] - u[at]
+            for j, c in near[at]:
+                d = tree[at] + c - u[at] - v.get(j, 0.0)
+                if j not in closed and d < reach.get(j, float("inf")):
+                    reach[j], back[j] = d, at
+                    heapq.heappush(heap, (d, j))
+            while heap and (heap[0][1] in closed or heap[0][0] > reach[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= end:
+                break
+            d, j = heapq.heappop(heap)
+            if j not in left_of:
+                goal, end = j, d
+                break
+            closed[j], at = d, left_of[j]
+            tree[at] = d
+        for i, d in tree.items():
+            u[i] += end - d
+        for j, d in closed.items():
+            v[j] = v.get(j, 0.0) - (end - d)
+        if goal is None:
+            if single == root:
+                continue
+            goal = right_of.pop(single)
+        while True:  # turn the path's edges over
+            i = back[goal]
+            before = right_of.get(i)
+            left_of[goal], right_of[i] = i, goal
+            if i == root:
                 break
-        while j0:
-            match[j0], j0 = match[back[j0]], back[j0]
-    pairs = [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j]]
-    pairs = [(j, i) if flip else (i, j) for i, j in pairs]
-    return sorted((i, j) for i, j in pairs if weights[i, j] > 0)
+            goal = before
+    return sorted(right_of.items())
 
 
-def align(scored: DataFrame) -> DataFrame:
-    """(doc_id, gold_id, pred_id, score) of the best one-to-one assignment; one document is one group."""
+def _solve(rows: pd.DataFrame) -> pd.DataFrame:
+    """The best assignment of (doc_id, gold_id, pred_id, score) rows of some documents, a connected component at a time."""
+    gold = rows.groupby(["doc_id", "gold_id"], dropna=False).ngroup().to_numpy()
+    pred = rows.groupby(["doc_id", "pred_id"], dropna=False).ngroup().to_numpy() + gold.max() + 1
+    top = list(range(int(pred.max()) + 1))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gold, pred = sorted(pdf["gold_id"].unique()), sorted(pdf["pred_id"].unique())
-        w = np.zeros((len(gold), len(pred)))
-        w[pd.Index(gold).get_indexer(pdf["gold_id"]), pd.Index(pred).get_indexer(pdf["pred_id"])] = pdf["score"]
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], gold[i], pred[j], w[i, j]) for i, j in assign(w)], columns=["doc_id", "gold_id", "pred_id", "score"])
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
 
+    for i, j in zip(gold.tolist(), pred.tolist(), strict=True):
+        a, b = root(i), root(j)
+        top[max(a, b)] = min(a, b)
+    parts: dict[int, list[tuple[int, int, float]]] = {}
+    place = {}
+    for n, (i, j, w) in enumerate(zip(gold.tolist(), pred.tolist(), rows["score"].tolist(), strict=True)):
+        parts.setdefault(root(i), []).append((i, j, w))
+        place[i, j] = n
+    return rows.iloc[sorted(place[pair] for part in parts.values() for pair in assign(part))]
+
+
+def align(scored: DataFrame, large: int = 100_000) -> DataFrame:
+    """(doc_id, gold_id, pred_id, score) of the best one-to-one assignment by documents.
+
+    Pairs without rivals need no solver.  The others are solved by connected components, many documents to a task; those
+    of a document with more than ``large`` pairs are dealt to tasks by component first, so that it takes many.
+    """
     kinds = dict(scored.dtypes)
     counted = scored.withColumn("_g", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "gold_id"))).withColumn("_p", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "pred_id")))
-    single = (F.col("_g") == 1) & (F.col("_p") == 1)  # pairs without rivals need no solver
+    counted = store(counted)
+    single = (F.col("_g") == 1) & (F.col("_p") == 1)
     easy = counted.where(single).select("doc_id", "gold_id", "pred_id", "score")
-    hard = counted.where(~single).select("doc_id", "gold_id", "pred_id", "score")
-    return easy.unionByName(hard.groupBy("doc_id").applyInPandas(run, f"doc_id {kinds['doc_id']}, gold_id {kinds['gold_id']}, pred_id {kinds['pred_id']}, score double"))
+    hard = counted.where(~single).select("doc_id", "gold_id", "pred_id", "score", F.lit("").alias("_part"))
+    big = [r[0] for r in hard.groupBy("doc_id").count().where(F.col("count") > large).select("doc_id").collect()]  # each with over ``large`` pairs: few
+    if big:
+        in_big = F.col("doc_id").isin(big)
+        mine = hard.where(in_big).drop("_part")
+        g, p = (F.concat_ws("\x01", F.col("doc_id").cast("string"), F.lit(side), F.col(c).cast("string")) for side, c in (("g", "gold_id"), ("p", "pred_id")))
+        links = store(mine.select(g.alias("a"), p.alias("b")))
+        parts = resolve.label_components(links, links.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        dealt = mine.withColumn("_id", g).join(parts.select(F.col("id").alias("_id"), F.col("comp").alias("_part")), "_id").drop("_id")
+        hard = hard.where(~in_big).unionByName(dealt)
+    solved = map_groups(hard, ["doc_id", "_part"], [], lambda rows: _solve(rows)[["doc_id", "gold_id", "pred_id", "score"]], f"doc_id {kinds['doc_id']}, gold_id {kinds['gold_id']}, pred_id {kinds['pred_id']}, score double")
+    return easy.unionByName(solved)
 
 
 # --- entities --------------------------------------------------------------------------------------------------------

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from .anchor import allowed_direction, alnum_located, occurrences
+from .automaton import find_forms
 
 
 class Extractor(Protocol):
@@ -65,13 +66,15 @@ class Callback:
 def present(chunks: DataFrame, entities: DataFrame, with_aliases: bool = True, least: int = 1) -> DataFrame:
     """(doc_id, chunk_id, entity_id) of entities of which a form of two or more letters is in the chunk.
 
-    Chunks with fewer than ``least`` such entities go, before any extractor sees them.
+    A chunk is scanned once, by the automaton of its document's forms.  Chunks with fewer than ``least`` such entities go,
+    before any extractor sees them.
     """
     forms = F.concat(F.array("canonical_name"), "aliases") if with_aliases else F.array("canonical_name")
     keys = entities.select("doc_id", "entity_id", F.explode(forms).alias("form")).select("doc_id", "entity_id", T.norm_key(F.col("form")).alias("fk"))
     keys = keys.where(F.char_length("fk") >= (2 if with_aliases else 1))
-    hits = chunks.select("doc_id", "chunk_id", T.norm_key(F.col("text")).alias("ck")).join(keys, "doc_id").where(F.contains("ck", F.col("fk")))
-    found = hits.select("doc_id", "chunk_id", "entity_id").distinct()
+    texts = chunks.select("doc_id", "chunk_id", T.norm_key(F.col("text")).alias("ck"))
+    hits = find_forms(texts, keys.select("doc_id", F.col("entity_id").alias("id"), F.col("fk").alias("form")), text_col="ck", limit=1)
+    found = hits.select("doc_id", "chunk_id", F.col("id").alias("entity_id")).distinct()
     if least > 1:
         enough = found.groupBy("doc_id", "chunk_id").count().where(F.col("count") >= least)
         found = found.join(enough, ["doc_id", "chunk_id"], "left_semi")

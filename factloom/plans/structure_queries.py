@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import schema as S
-from ..functions import fuzzy
 from ..functions import text as T
-from ..operators import anchor, chunk, graph, ops, passes, resolve
+from ..operators import anchor, automaton, chunk, graph, metrics, ops, passes, resolve
 from . import inputs as I
 from .text_queries import ALIAS_KEY, JUNK, KEY, PLAIN
 
@@ -200,13 +199,21 @@ def j03(spark, d):
     return done.select("doc_id", F.col("start_char").cast("bigint").alias("start_char"), "quote")
 
 
-@query("j04_name_search", r"""WITH w AS (SELECT doc_id, lower(text) AS t, lower(string_split(text, ' ')[2]) AS name FROM documents WHERE length(string_split(text, ' ')[2]) >= 3),
-p AS (SELECT doc_id, name, string_split(t, name) AS parts FROM w),
-o AS (SELECT doc_id, name, parts, unnest(generate_series(1, least(len(parts) - 1, 3))) AS n FROM p)
-SELECT doc_id, CAST(n - 1 AS BIGINT) AS n, CAST(list_sum(list_transform(parts[1:n], lambda x: length(x))) + (n - 1) * length(name) AS BIGINT) AS start_char FROM o""")
+_WORDS = "words AS (SELECT doc_id, lower(text) AS t, id, lower(split_part(text, ' ', id + 1)) AS name FROM documents, (VALUES (1), (2), (3)) AS v(id)), places AS (SELECT doc_id, id, length(name) AS len, string_split(t, name) AS parts FROM words WHERE name <> '')"
+_STARTS = "SELECT doc_id, id, k - 1 AS n, CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * len AS BIGINT) AS s, len FROM (SELECT doc_id, id, len, parts, unnest(generate_series(1, len(parts) - 1)) AS k FROM places)"
+
+
+def _own_words(spark, d):
+    """Second to fourth word of every document as its names."""
+    docs = I.table(spark, d, "documents").select("doc_id", "text")
+    return docs, docs.select("doc_id", F.posexplode(F.array(*(F.split_part("text", F.lit(" "), F.lit(k)) for k in (2, 3, 4)))).alias("id", "form")).withColumn("id", F.col("id") + 1)
+
+
+@query("j04_name_search", f"WITH {_WORDS}, o AS ({_STARTS}) SELECT doc_id, CAST(id AS BIGINT) AS name_id, CAST(n AS BIGINT) AS n, CAST(s AS BIGINT) AS start_char FROM o WHERE n < 3")
 def j04(spark, d):
-    docs = I.table(spark, d, "documents").select("doc_id", "text", F.get(F.split("text", " "), F.lit(1)).alias("name")).where("char_length(name) >= 3")
-    return anchor.occurrences(docs, "text", "name", limit=3).select("doc_id", F.col("n").cast("bigint").alias("n"), F.col("start_char").cast("bigint").alias("start_char"))
+    """The first three places of each of three names in every document; empty names are nowhere."""
+    found = anchor.name_search(*_own_words(spark, d), limit=3)
+    return found.select("doc_id", F.col("id").cast("bigint").alias("name_id"), F.col("n").cast("bigint").alias("n"), F.col("start_char").cast("bigint").alias("start_char"))
 
 
 @query("j06_citation_chain", f"""WITH {_DOC_QUOTES}, v AS (SELECT doc_id, item_id, instr(text, q) - 1 AS s FROM pairs), e AS (SELECT doc_id, item_id, text, split_part(text, ' ', 2) AS name FROM pairs UNION ALL SELECT doc_id, -1, text, split_part(text, ' ', 2) FROM documents),
@@ -232,6 +239,20 @@ def j07(spark, d):
     return anchor.cooccurrence(pairs, cites, docs).select("doc_id", F.col("start_char").cast("bigint").alias("start_char"), F.col("end_char").cast("bigint").alias("end_char"))
 
 
+@query("j07_tightest_evidence", f"""WITH {_WORDS}, o AS ({_STARTS}), c AS (SELECT doc_id, id, s, s + len AS x, row_number() OVER (PARTITION BY doc_id, id ORDER BY n) AS pos FROM o),
+p AS (SELECT a.doc_id, a.id AS source, b.id AS target, greatest(a.x, b.x) - least(a.s, b.s) AS w, a.pos AS pa, b.pos AS pb, least(a.s, b.s) AS lo, greatest(a.x, b.x) AS hi FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.id < b.id WHERE greatest(a.x, b.x) - least(a.s, b.s) <= 400),
+best AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, source, target ORDER BY w, pa, pb) = 1)
+SELECT doc_id, CAST(best.source AS BIGINT) AS source, CAST(best.target AS BIGINT) AS target, CAST(greatest(length(substring(text, 1, lo)) - length(list_last(string_split(substring(text, 1, lo), '. '))), lo - 200) AS BIGINT) AS start_char,
+CAST(least(CASE WHEN instr(substring(text, hi + 1), '. ') > 0 THEN hi + instr(substring(text, hi + 1), '. ') ELSE length(text) END, hi + 200) AS BIGINT) AS end_char FROM best JOIN documents USING (doc_id)""")
+def j07b(spark, d):
+    """Evidence of edges between a document's own words, each cited wherever it occurs."""
+    docs, names = _own_words(spark, d)
+    cites = anchor.name_search(docs, names, limit=None).select("doc_id", F.col("id").alias("entity_id"), F.col("n").alias("pos"), "start_char", "end_char")
+    pairs = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(x).alias("source"), F.lit(y).alias("target")) for x, y in ((1, 2), (1, 3), (2, 3))))).alias("e")).select("doc_id", "e.*")
+    found = anchor.cooccurrence(pairs, cites, docs)
+    return found.select("doc_id", *(F.col(c).cast("bigint").alias(c) for c in ("source", "target", "start_char", "end_char")))
+
+
 _FORMS = "forms AS (SELECT doc_id, entity_id, pos, unnest(list_concat([canonical_name], aliases)) AS form FROM entities)"
 _WANTED = "CASE k % 4 WHEN 0 THEN upper(name) WHEN 1 THEN concat(name, ' und Partner') WHEN 2 THEN concat('AR', cast({q} as {s})) ELSE 'Nobody' END"
 
@@ -325,9 +346,8 @@ def c18(spark, d):
 
 @query("c19_name_similarity")
 def c19(spark, d):
-    n = I.names(spark, d).select("doc_id", "k", T.norm_name(F.col("name")).alias("s"), T.core_name(F.col("name")).alias("c"))
-    pairs = n.join(n.toDF("doc_id", "k2", "s2", "c2"), "doc_id").where("k < k2")
-    return pairs.select("k", "k2", F.round(fuzzy.name_similarity(F.col("s"), F.col("s2"), F.col("c"), F.col("c2")), 6).alias("sim")).where("sim > 0")
+    n = I.names(spark, d).select("doc_id", F.col("k").alias("id"), F.array("name").alias("forms"))
+    return metrics.name_pairs(n, n).where("a < b").select(F.col("a").alias("k"), F.col("b").alias("k2"), F.round("s", 6).alias("sim"))
 
 
 @query("r01_greedy_clusters")
@@ -498,6 +518,19 @@ def s07(spark, d):
     return rows.select("doc_id", F.array_join(F.transform("x", lambda x: x["n"]), "|").alias("pattern"))
 
 
+@query("s07_highlights", f"""WITH {I.ENTITIES}, t AS (SELECT doc_id, string_agg(canonical_name, ' met ' ORDER BY pos) || ' - ' || string_agg(lower(canonical_name), '/' ORDER BY pos) AS text FROM entities GROUP BY 1),
+p AS (SELECT doc_id, string_agg(regexp_escape(lower(canonical_name)), '|' ORDER BY length(canonical_name) DESC, canonical_name) AS pattern FROM (SELECT DISTINCT doc_id, canonical_name FROM entities) GROUP BY 1),
+m AS (SELECT doc_id, regexp_extract_all(lower(text), pattern) AS found FROM t JOIN p USING (doc_id))
+SELECT doc_id, CAST(unnest(generate_series(0, len(found) - 1)) AS BIGINT) AS n, unnest(found) AS name FROM m""")
+def s07b(spark, d):
+    """What a viewer would mark: names of entities in a text of their document, the longest at each place, none over another."""
+    ents = I.entities(spark, d)
+    names = F.transform(F.array_sort(F.collect_list(F.struct("pos", "canonical_name"))), lambda x: x["canonical_name"])
+    texts = ents.groupBy("doc_id").agg(names.alias("x")).select("doc_id", F.concat(F.array_join("x", " met "), F.lit(" - "), F.lower(F.array_join("x", "/"))).alias("text"))
+    found = automaton.find_forms(texts.withColumn("shown", F.col("text")), ents.select("doc_id", F.col("entity_id").alias("id"), F.col("canonical_name").alias("form")), ignore_case=True, longest=True)
+    return found.select("doc_id", F.col("n").cast("bigint").alias("n"), F.lower(F.expr("substring(shown, start_char + 1, end_char - start_char)")).alias("name"))
+
+
 @query("u01_ordered_union", f"WITH {I.NAMES} SELECT k, CASE WHEN lower(name) = name THEN name ELSE name || '|' || lower(name) END AS v FROM names")
 def u01(spark, d):
     return I.names(spark, d).select("k", F.array_join(F.array_distinct(F.concat(F.array("name"), F.array(F.lower("name"), F.col("name")))), "|").alias("v"))

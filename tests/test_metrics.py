@@ -137,7 +137,7 @@ def test_assignment_is_optimal():
         n, m = (int(x) for x in rng.integers(1, 5, 2))
         w = np.round(rng.random((n, m)) * (rng.random((n, m)) < 0.7), 3)
         best = max(sum(w[i, p[i]] if flip else w[p[i], i] for i in range(min(n, m))) for flip in [n <= m] for p in itertools.permutations(range(max(n, m)), min(n, m)))
-        got = metrics.assign(w)
+        got = metrics.assign([(i, j, w[i, j]) for i in range(n) for j in range(m) if w[i, j] > 0])
         assert sum(w[i, j] for i, j in got) == pytest.approx(best) and len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
 
 
