@@ -24,17 +24,13 @@ def query(name: str, sql: str | None = None):
 
 
 _FIRST, _SECOND = "split_part(text, ' ', 2)", "split_part(text, ' ', 3)"
-_GRAPH = f"""d AS (SELECT doc_id, text, {_FIRST} AS a, {_SECOND} AS b FROM documents),
-ok AS (SELECT * FROM d WHERE length({KEY.format(x='a')}) >= 4 AND length({KEY.format(x='b')}) >= 4 AND {KEY.format(x='a')} <> {KEY.format(x='b')})"""
+_GRAPH = f"d AS (SELECT doc_id, text, {_FIRST} AS a, {_SECOND} AS b FROM documents)"
+_BLANKS = "' ' || chr(10) || chr(9) || chr(13)"
 
 
 def _graphs(spark, d):
     """A graph for each document: its second word, anchored; its third, not; a name that isn't there; an edge and a record between them."""
-    from ..functions import text as T
-
     docs = I.table(spark, d, "documents").select("doc_id", "text").withColumn("a", F.expr(_FIRST)).withColumn("b", F.expr(_SECOND))
-    key = lambda c: T.norm_key(F.col(c))
-    docs = docs.where((F.char_length(key("a")) >= 4) & (F.char_length(key("b")) >= 4) & (key("a") != key("b")))
     none, no_alias = F.lit(None).cast("string"), F.array().cast("array<string>")
 
     def node(i, name, label, subject=none, obj=none, evidence=none):
@@ -53,18 +49,20 @@ def _graphs(spark, d):
     return nodes, edges, anchors, docs.select("doc_id", F.lit(0).alias("chunk_id"), "text"), docs.select("doc_id", "text")
 
 
-@query("r10_convert", f"""WITH {_GRAPH}, p AS (SELECT doc_id, length(b) AS len, string_split(lower(text), lower(b)) AS parts FROM ok), n AS (SELECT doc_id, len, parts, unnest(generate_series(1, least(len(parts) - 1, 3))) AS k FROM p),
-c AS (SELECT doc_id, 'N0' AS entity_id, instr(text, ' ') AS s, instr(text, ' ') + length(a) AS e, 'verbatim' AS match FROM ok
-UNION ALL SELECT doc_id, 'N1', list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * len, list_sum(list_transform(parts[1:k], lambda x: length(x))) + k * len, 'name_search' FROM n
-UNION ALL SELECT doc_id, 'N2', 0, 0, 'unanchored' FROM ok) SELECT doc_id, entity_id, CAST(s AS BIGINT) AS start_char, CAST(e AS BIGINT) AS end_char, match FROM c""")
+@query("r10_convert", f"""WITH {_GRAPH}, named AS (SELECT doc_id, 'N1' AS entity_id, text, b AS name FROM d UNION ALL SELECT doc_id, 'N0', text, a FROM d WHERE trim(a, {_BLANKS}) = ''),
+p AS (SELECT doc_id, entity_id, length(name) AS len, string_split(lower(text), lower(name)) AS parts FROM named WHERE name <> ''), n AS (SELECT doc_id, entity_id, len, parts, unnest(generate_series(1, least(len(parts) - 1, 3))) AS k FROM p),
+c AS (SELECT doc_id, 'N0' AS entity_id, instr(text, ' ') AS s, instr(text, ' ') + length(a) AS e, 'verbatim' AS match FROM d WHERE trim(a, {_BLANKS}) <> ''
+UNION ALL SELECT doc_id, entity_id, list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * len, list_sum(list_transform(parts[1:k], lambda x: length(x))) + k * len, 'name_search' FROM n
+UNION ALL SELECT doc_id, entity_id, 0, 0, 'unanchored' FROM named WHERE name = '' UNION ALL SELECT doc_id, 'N2', 0, 0, 'unanchored' FROM d)
+SELECT doc_id, entity_id, CAST(s AS BIGINT) AS start_char, CAST(e AS BIGINT) AS end_char, match FROM c""")
 def r10(spark, d):
     """Citations of converted entities."""
     rows = convert.convert_documents(*_graphs(spark, d))[0].select("doc_id", "entity_id", F.explode("citations").alias("c"))
     return rows.select("doc_id", "entity_id", F.col("c.start_char").cast("bigint").alias("start_char"), F.col("c.end_char").cast("bigint").alias("end_char"), F.col("c.match").alias("match"))
 
 
-@query("r10_relationships", f"""WITH {_GRAPH}, q AS (SELECT *, trim(substring(text, 1, 30), ' ' || chr(10) || chr(9) || chr(13)) AS quote FROM ok)
-SELECT doc_id, 'N0' AS source, 'owns' AS relation, 'N2' AS target, 'unanchored' AS match, CAST(0 AS BIGINT) AS start_char FROM ok UNION ALL SELECT doc_id, 'N1', 'represents', 'N2', 'unanchored', 0 FROM ok
+@query("r10_relationships", f"""WITH {_GRAPH}, q AS (SELECT *, trim(substring(text, 1, 30), {_BLANKS}) AS quote FROM d WHERE {KEY.format(x='a')} <> {KEY.format(x='b')})
+SELECT doc_id, 'N0' AS source, 'owns' AS relation, 'N2' AS target, 'unanchored' AS match, CAST(0 AS BIGINT) AS start_char FROM d UNION ALL SELECT doc_id, 'N1', 'represents', 'N2', 'unanchored', 0 FROM d
 UNION ALL SELECT doc_id, 'N0', 'controls', 'N1', 'verbatim', instr(text, quote) - 1 FROM q""")
 def r10b(spark, d):
     """Edges and resolved records with their evidence."""
@@ -123,15 +121,42 @@ def r12(spark, d):
     return runs.replay_relations(stored, docs, _related(stored), keep=False)["relationships"].select("doc_id", "source", "relation", "target")
 
 
-@query("r11_run")
-def r11(spark, d):
-    """The whole run over the graphs of all documents, with every capitalised name of a chunk proposed as missed, and relations between them."""
+_RUN = f"""{_GRAPH}, e AS (SELECT *, {KEY.format(x='a')} AS na, {KEY.format(x='b')} AS nb, {ALIAS_KEY.format(x='a')} AS ka, {ALIAS_KEY.format(x='b')} AS kb FROM d), one AS (SELECT *, ka = kb AND ka <> '' AS same FROM e),
+w AS (SELECT doc_id, i, found[i] AS name FROM (SELECT doc_id, found, unnest(generate_series(1, len(found))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\\p{{Lu}}\\p{{L}}{{3,}}') AS found FROM d))),
+new AS (SELECT doc_id, {ALIAS_KEY.format(x='name')} AS k, min_by(name, i) AS name FROM w GROUP BY 1, 2), rec AS (SELECT new.doc_id, name FROM new JOIN one USING (doc_id) WHERE k <> ka AND k <> kb),
+ents AS (SELECT doc_id, 'N0' AS entity_id, CASE WHEN same AND length(b) > length(a) THEN b ELSE a END AS canonical_name, 'company' AS entity_type FROM one UNION ALL SELECT doc_id, 'N1', b, 'person' FROM one WHERE NOT same
+UNION ALL SELECT doc_id, 'N2', 'Zzyx Ghost Tower', 'asset' FROM one UNION ALL SELECT doc_id, 'Recall_' || substring(md5(name), 1, 12), name, 'other' FROM rec),
+rels AS (SELECT doc_id, 'N0' AS source, 'owns' AS relation, 'N2' AS target, 'unanchored' AS match FROM one UNION ALL SELECT doc_id, CASE WHEN same THEN 'N0' ELSE 'N1' END, 'represents', 'N2', 'unanchored' FROM one
+UNION ALL SELECT doc_id, 'N0', unnest(['controls', 'represents']), 'N1', 'verbatim' FROM one WHERE NOT same AND na <> nb)"""
+
+
+def _whole_runs(spark, d):
+    """Whole runs over the graphs of all documents, with every capitalised name of a chunk proposed as missed, and relations between names."""
     nodes, edges, anchors, _, docs = _graphs(spark, d)
     chunks = chunk.chunks(docs)
     names = chunks.select("doc_id", "chunk_id", F.posexplode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\p{Lu}\p{L}{3,})"), 1))).alias("n", "name"))
     missed = names.select("doc_id", "chunk_id", (F.col("chunk_id") * 100_000 + F.col("n")).cast("long").alias("pos"), "name", F.lit("other").alias("type"), F.col("name").alias("quote"))
     related = nodes.where("label = 'Relationship'").select("doc_id", "pos", "subject", F.lit("represents").alias("relation"), "object", F.coalesce("evidence", F.lit("")).alias("quote"))
-    done = runs.run(nodes, edges, anchors, chunks.unionByName(docs.select("doc_id", F.lit(0).alias("chunk_id"), "text")).dropDuplicates(["doc_id", "chunk_id"]), docs, missed, related)
+    return runs.run(nodes, edges, anchors, chunks.unionByName(docs.select("doc_id", F.lit(0).alias("chunk_id"), "text")).dropDuplicates(["doc_id", "chunk_id"]), docs, missed, related)
+
+
+@query("r11_run", f"""WITH {_RUN}, n AS (SELECT doc_id, count(*) AS relationships FROM rels GROUP BY 1)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS entities, CAST(count(*) FILTER (starts_with(entity_id, 'Recall_')) AS BIGINT) AS recalled, CAST(any_value(relationships) AS BIGINT) AS relationships FROM ents JOIN n USING (doc_id) GROUP BY 1""")
+def r11(spark, d):
+    """Counts of a whole run."""
+    done = _whole_runs(spark, d)
     ents = done["entities"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.startswith("entity_id", F.lit("Recall_"))).alias("recalled"))
     rels = done["relationships"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("relationships"))
     return ents.join(rels, "doc_id", "left").select("doc_id", "entities", "recalled", F.coalesce("relationships", F.lit(0)).alias("relationships"))
+
+
+@query("r11_entities", f"WITH {_RUN} SELECT * FROM ents")
+def r11_entities(spark, d):
+    """The entities that a whole run leaves."""
+    return _whole_runs(spark, d)["entities"].select("doc_id", "entity_id", "canonical_name", "entity_type")
+
+
+@query("r11_relationships", f"WITH {_RUN} SELECT * FROM rels")
+def r11_relationships(spark, d):
+    """The relationships that a whole run leaves, with where their evidence is from."""
+    return _whole_runs(spark, d)["relationships"].select("doc_id", "source", "relation", "target", "match")
