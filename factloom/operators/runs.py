@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from .. import schema as S
 from ..functions import text as T
 from ..sources.shared import store
-from . import convert, passes, resolve
+from . import aliasfold, convert, passes, resolve
 
 _EDGE = ["doc_id", "pos", "source", "target", "relation", "start_char", "end_char", "quote", "match"]
 _MARK = "\x1f"
@@ -38,6 +38,18 @@ def settle(entities: DataFrame, relations: DataFrame, docs: DataFrame) -> tuple[
     return entities, store(moved.withColumn("n", F.row_number().over(first)).where("n = 1").select(*_EDGE))
 
 
+def settle_in_order(entities: DataFrame, relations: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, relationships, counters by document) of the order-dependent alias pass: the entity with more citations keeps its id."""
+    folded = store(aliasfold.alias_fold(entities, docs))
+    home = folded.select("doc_id", F.explode("members").alias("id"), F.col("entity_id").alias("to"))
+    end = lambda c: home.select("doc_id", F.col("id").alias(c), F.col("to").alias(f"{c}_to"))
+    moved = relations.join(end("source"), ["doc_id", "source"], "left").join(end("target"), ["doc_id", "target"], "left")
+    moved = moved.withColumn("source", F.coalesce("source_to", "source")).withColumn("target", F.coalesce("target_to", "target")).where("source <> target")
+    first = Window.partitionBy("doc_id", "source", "relation", "target").orderBy("pos", "start_char")
+    relations = moved.withColumn("n", F.row_number().over(first)).where("n = 1").select(*_EDGE)
+    return folded.select(*entities.columns), relations, folded.select("doc_id", *aliasfold.STATISTICS).distinct()
+
+
 def recall_pass(entities: DataFrame, docs: DataFrame, chunks: DataFrame, proposals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities with the missed ones, checked proposals).
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import files, loaders
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, store
 from ..streaming import ingest
 from . import inputs as I
 
@@ -159,6 +159,33 @@ def k05(spark, d) -> DataFrame:
     return files.read_history(spark, path).select("eval_id", "entity_recall")
 
 
+@query("k10_upserted_scores", "SELECT 'run1:' || s_name AS score_id, round(s_acctbal / 10000 + CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END, 6) AS value FROM supplier")
+def k10_upserted(spark, d) -> DataFrame:
+    """All scores pushed, then every second one anew, and that once more."""
+    path = shared_path(spark, "keyed")
+    rows = I.table(spark, d, "supplier").select(F.concat(F.lit("run1:"), "s_name").alias("score_id"), (F.col("s_acctbal") / 10000).alias("value"), "s_suppkey")
+    files.upsert(rows.select("score_id", "value"), path, "score_id", buckets=16)
+    for _ in range(2):
+        files.upsert(rows.where("s_suppkey % 2 = 0").select("score_id", (F.col("value") + 1).alias("value")), path, "score_id")
+    return files.read_keyed(spark, path).select("score_id", F.round("value", 6).alias("value"))
+
+
+@query("a14_conll_tokens", """WITH l AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+w AS (SELECT doc_id, n, regexp_extract_all(line, '[A-Za-z0-9]+') AS ws FROM l), s AS (SELECT doc_id, ws, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS sent FROM w WHERE len(ws) > 0)
+SELECT doc_id, CAST(sent AS BIGINT) AS sent, CAST(i AS BIGINT) AS pos, ws[i + 1] AS token, CASE length(ws[i + 1]) % 3 WHEN 0 THEN 'B-LOC' WHEN 1 THEN 'B-ORG' ELSE 'O' END AS tag FROM (SELECT *, unnest(generate_series(0, len(ws) - 1)) AS i FROM s)""")
+def a14_tokens(spark, d) -> DataFrame:
+    """All documents as line files, a line a sentence, after a sentence of the id alone; read in splits that cut them anywhere."""
+    path = shared_path(spark, "conll")
+    tagged = lambda w: F.concat(w, F.element_at(F.array(*map(F.lit, (" B-LOC", " B-ORG", " O"))), F.char_length(w) % 3 + 1))
+    sentence = lambda line: F.array_join(F.transform(F.regexp_extract_all(line, F.lit("([A-Za-z0-9]+)"), 1), tagged), "\n")
+    body = F.array_join(F.transform(F.split("text", "\n"), sentence), "\n\n")
+    I.table(spark, d, "documents").select(F.concat(F.lit("-DOCSTART- O\n\n"), "doc_id", F.lit(" ID\n\n"), body, F.lit("\n")).alias("value")).write.text(path)
+    rows = store(loaders.conll_tokens(spark, path))
+    ids = rows.where("tag = 'ID'").select("path", "doc", F.col("token").cast("bigint").alias("doc_id"))
+    rows = rows.where("tag <> 'ID'").join(ids, ["path", "doc"])
+    return rows.select("doc_id", F.col("sent").cast("bigint").alias("sent"), F.col("pos").cast("bigint").alias("pos"), "token", "tag")
+
+
 @query("m9_stream_costs", "SELECT date_trunc('hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS calls, round(sum(value), 6) AS cost FROM events GROUP BY 1, 2")
 def m9(spark, d) -> DataFrame:
     rows = ingest.windowed_costs(I.table(spark, d, "events"))

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from .. import schema as S
 from ..functions import text as T
-from ..operators import anchor, automaton, chunk, graph, metrics, ops, passes, resolve
+from ..operators import aliasfold, anchor, automaton, chunk, graph, metrics, ops, passes, resolve
 from . import inputs as I
 from .text_queries import ALIAS_KEY, JUNK, KEY, PLAIN
 
@@ -362,6 +362,14 @@ def r02(spark, d):
     return resolve.defined_terms(docs)
 
 
+@query("r04_alias_fold")
+def r04(spark, d):
+    """The ordered alias pass over all entities, with definitions of half of them: survivors, what they took in, and its document's counters."""
+    n = I.names(spark, d).where("k % 2 = 0").select("doc_id", F.col("k").alias("pos"), "name", F.expr("CASE k % 3 WHEN 0 THEN concat('AR', k div 4) WHEN 1 THEN concat('AR', k div 4 + 1) ELSE concat('Firm ', k) END").alias("alias"))
+    rows = aliasfold.alias_fold(I.entities(spark, d), n.select("doc_id", F.lit("").alias("text")), n)
+    return rows.select("doc_id", "entity_id", "canonical_name", "entity_type", F.array_join("aliases", "|").alias("aliases"), F.size("citations").alias("citations"), F.array_join("members", "|").alias("members"), *aliasfold.STATISTICS)
+
+
 @query("r03_owner_lookup", f"""WITH {I.ENTITIES}, {_FORMS}, keys AS (SELECT doc_id, entity_id, pos, {ALIAS_KEY.format(x='form')} AS key FROM forms), t AS (SELECT DISTINCT doc_id, CASE WHEN k % 2 = 0 THEN name ELSE concat(name, ' Deutschland') END AS name FROM names),
 w AS (SELECT *, {ALIAS_KEY.format(x='name')} AS key FROM t), x AS (SELECT w.doc_id, w.name, w.key, min_by(k.entity_id, k.pos) AS exact FROM w LEFT JOIN keys k ON k.doc_id = w.doc_id AND k.key = w.key GROUP BY 1, 2, 3),
 e AS (SELECT doc_id, entity_id, pos, length(canonical_name) AS len, {ALIAS_KEY.format(x='canonical_name')} AS ek FROM entities),

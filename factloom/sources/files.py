@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import schema as S
 from ..functions import text as T
+from .shared import store
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -117,6 +121,53 @@ def write_sheets(sheets: dict[str, DataFrame], path: str) -> None:
         flat.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
 
 
+def _commits(spark: SparkSession, path: str) -> DataFrame | None:
+    """(seq, bucket, version, buckets) of all committed writes; None before the first."""
+    try:
+        return spark.read.schema("seq bigint, bucket int, version string, buckets int").parquet(f"{path}/commits")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a keyed table as of its last commit, with their bucket; what no commit names isn't read."""
+    commits = _commits(spark, path)
+    if commits is None:
+        raise ValueError(f"no committed table at {path}")
+    newest = commits.groupBy("bucket").agg(F.max_by("version", "seq").alias("version"))
+    return spark.read.option("mergeSchema", True).parquet(f"{path}/data").join(newest, ["version", "bucket"]).drop("version")
+
+
+def upsert(rows: DataFrame, path: str, key: str, order: str | None = None, buckets: int = 64) -> None:
+    """Merge rows into a keyed table: one row a key, the newest by ``order`` (else the greatest) of those given, in place of the old.
+
+    Keys are hashed to ``buckets`` (as the first write said).  Only buckets with new rows are written, as a new version of
+    each; one append then commits them all.  A write that stops before it leaves the table as it was, and repeating a write
+    changes nothing.  One writer at a time; null is a key like others.
+    """
+    spark = rows.sparkSession
+    commits = _commits(spark, path)
+    seq, made = commits.agg(F.max("seq"), F.max("buckets")).first() if commits is not None else (None, None)
+    buckets = made or buckets
+    rest = [F.col(c).desc_nulls_last() for c in ([order] if order else []) + [c for c, t in rows.dtypes if c not in (key, order) and not t.startswith("map")]]
+    best = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*rest) if rest else Window.partitionBy(key).orderBy(key))).where("_n = 1").drop("_n")
+    best = store(best.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+    touched = sorted(r[0] for r in best.select("bucket").distinct().collect())
+    if not touched:
+        return
+    out = best
+    if commits is not None:
+        old = read_keyed(spark, path).where(F.col("bucket").isin(touched))
+        new = best.select(F.col(key).alias("_key"))
+        out = old.join(new, old[key].eqNullSafe(new["_key"]), "left_anti").unionByName(best, allowMissingColumns=True)
+    version = f"v{uuid.uuid4().hex}"
+    out.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/data/version={version}")
+    done = spark.createDataFrame([((seq or 0) + 1, b, version, buckets) for b in touched], "seq bigint, bucket int, version string, buckets int")
+    done.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+
+
 def append_scores(scores: DataFrame, path: str) -> None:
     """Keyed upsert: the old rows whose score_id isn't pushed again, and the new ones."""
     spark = scores.sparkSession

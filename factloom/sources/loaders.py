@@ -1,15 +1,14 @@
 """Loaders: raw label formats and predictions to gold and prediction tables.
 
 Every loader takes (spark, path, options) and returns (doc_id, text, entities, relations); look them up by name with
-``load``.  Files are read whole by Spark, a file a row where the format is one document.
+``load``.  Files of one document are read whole by Spark, a file a row; line formats are read in splits of any size.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +16,7 @@ from pyspark.sql.window import Window
 from .. import schema as S
 from ..functions import text as T
 from ..operators import chunk
+from .shared import store
 
 LOADERS: dict[str, Callable[[SparkSession, str, dict], DataFrame]] = {}
 GOLD_ROWS = S.GOLD.split(", coverage")[0]
@@ -79,33 +79,48 @@ def native(spark: SparkSession, path: str, options: dict) -> DataFrame:
     return spark.read.schema(S.GOLD).json(path).drop("coverage", "meta")
 
 
-@register("conll")
-def conll(spark: SparkSession, path: str, options: dict) -> DataFrame:
-    """Token and tag a line; blank lines end sentences; a marker starts a document, else every 40 sentences are one.
+def conll_tokens(spark: SparkSession, path: str, marker="-DOCSTART-", sep=" ", per=40) -> DataFrame:
+    """(path, doc, sent, pos, token, tag) of files of a token and tag a line, read in splits of any size.
 
-    Order matters in the file, so a file is one row, cut into tokens there.
+    Blank lines end sentences.  A marker line starts a document; before a file's first one every ``per`` sentences are one.
+    Lines are numbered inside their split.  What a split needs of those before it (the kind of the last line, of the last
+    that isn't blank, and how many sentences and marked ones there are) is a row a split, carried along the file.
     """
-    marker, sep, per = options.get("doc_marker", "-DOCSTART-"), options.get("sep") or " ", int(options.get("sentences_per_doc", 40))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for path, content in zip(frame["path"], frame["value"], strict=True):
-                doc, sent, pos, marked, open_sentence = 0, 0, 0, marker in content, False
-                for line in content.splitlines():
-                    if line.startswith(marker):
-                        doc, sent, pos, open_sentence = doc + (1 if sent or open_sentence or doc else 0), 0, 0, False
-                    elif not line.strip():
-                        sent, pos, open_sentence = sent + (1 if open_sentence else 0), 0, False
-                    else:
-                        head, _, tag = line.rpartition(sep)
-                        out.append((path, doc if marked else sent // per, sent if marked else sent % per, pos, head.strip() or line.strip(), tag.strip()))
-                        pos, open_sentence = pos + 1, True
-            yield pd.DataFrame(out, columns=["path", "doc", "sent", "pos", "token", "tag"])
-
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("path"), "value")
-    rows = files.mapInPandas(run, "path string, doc int, sent int, pos int, token string, tag string")
-    rows = rows.withColumn("doc_id", F.concat(F.lit(options.get("name", "conll")), F.lit("-"), F.lpad(F.col("doc").cast("string"), 4, "0")))
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"), "value")
+    kind = F.when(F.startswith("value", F.lit(marker)), "mark").when(T.strip(F.col("value")) == "", "blank").otherwise("token")
+    lines = store(lines.withColumn("kind", kind))
+    splits, here = Window.partitionBy("path").orderBy("split"), Window.partitionBy("path", "split").orderBy("n")
+    filled = lambda c: F.when(F.col(c) != "blank", F.col(c))
+    ends = lines.groupBy("path", "split").agg(F.max_by("kind", "n").alias("last"), F.max_by(filled("kind"), F.when(F.col("kind") != "blank", F.col("n"))).alias("filled"))
+    before = ends.select("path", "split", F.lag("last").over(splits).alias("_last"), F.last("filled", True).over(splits.rowsBetween(Window.unboundedPreceding, -1)).alias("_filled"))
+    rows = lines.join(before, ["path", "split"])
+    previous = F.when(F.row_number().over(here) == 1, F.col("_last")).otherwise(F.lag("kind").over(here))
+    said = F.coalesce(F.last(filled("kind"), True).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.col("_filled"))
+    rows = rows.withColumn("_previous", previous).withColumn("_said", said).where("kind = 'token'")
+    starts = F.coalesce(F.col("_previous"), F.lit("blank")) != "token"
+    rows = store(rows.select("path", "split", "n", "value", starts.cast("int").alias("starts"), (starts & F.coalesce(F.col("_said") == "mark", F.lit(False))).cast("int").alias("marked")))
+
+    counts = rows.groupBy("path", "split").agg(F.sum("starts").alias("s"), F.sum("marked").alias("m"))
+    passed = splits.rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("path", "split", *(F.coalesce(F.sum(c).over(passed), F.lit(0)).alias(f"_{c}") for c in ("s", "m")))
+    rows = rows.join(counts, ["path", "split"]).select("path", "split", "n", "value", (F.col("_s") + F.sum("starts").over(here) - 1).alias("q"), (F.col("_m") + F.sum("marked").over(here)).alias("m"))
+    first = rows.where("m > 0").groupBy("path").agg(F.min("q").alias("_first"))
+    free = F.floor(F.col("q") / per)
+    doc = F.when(F.col("m") == 0, free).otherwise(F.ceil(F.col("_first") / per) + F.col("m") - 1)
+    rows = rows.join(first, "path", "left").withColumn("doc", doc.cast("int"))
+    begin = rows.groupBy("path", "doc").agg(F.min("q").alias("_begin"))
+    tag = F.substring_index("value", sep, -1)
+    head = F.when(F.instr("value", sep) > 0, F.expr(f"left(value, char_length(value) - char_length(_tag) - {len(sep)})")).otherwise("")
+    rows = rows.join(begin, ["path", "doc"]).withColumn("_tag", tag).withColumn("_head", T.strip(head))
+    pos = F.row_number().over(Window.partitionBy("path", "q").orderBy("split", "n")) - 1
+    return rows.select("path", "doc", (F.col("q") - F.col("_begin")).cast("int").alias("sent"), pos.alias("pos"), F.when(F.col("_head") == "", T.strip(F.col("value"))).otherwise(F.col("_head")).alias("token"), T.strip(F.col("_tag")).alias("tag"))
+
+
+@register("conll")
+def conll(spark: SparkSession, path: str, options: dict) -> DataFrame:
+    """Token and tag a line; blank lines end sentences; a marker starts a document, else every 40 sentences are one."""
+    rows = conll_tokens(spark, path, options.get("doc_marker", "-DOCSTART-"), options.get("sep") or " ", int(options.get("sentences_per_doc", 40)))
+    rows = store(rows.withColumn("doc_id", F.concat(F.lit(options.get("name", "conll")), F.lit("-"), F.lpad(F.col("doc").cast("string"), 4, "0"))))
     offsets = chunk.token_offsets(rows)
     spans = chunk.decode_spans(rows.select("doc_id", "sent", "pos", "tag")).withColumn("type", _type_of(F.col("label"), options)).where("type is not null")
     spans = spans.join(offsets.select("doc_id", "sent", F.col("pos").alias("first"), "start"), ["doc_id", "sent", "first"]).join(offsets.select("doc_id", "sent", F.col("pos").alias("last"), "end"), ["doc_id", "sent", "last"])

@@ -138,6 +138,34 @@ def test_definitions():
     assert [x[1:] for x in resolve.definitions(text)] == [("Aurora Holdings GmbH", "Aurora"), ("New Name AG", "Old Name GmbH")]
 
 
+def test_definitions_of_made_up_texts(spark):
+    """Texts put together from parts whose definitions are known, through the function and through SQL."""
+    rng = random.Random(3)
+    names, shorts = ["Aurora Holdings GmbH", "Zeta AG", "Dana Cole", "Bank of Ulm"], ["AH", "Zeta", "the Tenant", "D.C."]
+    texts, want = [], []
+    for i in range(60):
+        parts, at = [], 0
+        for _ in range(rng.randint(0, 4)):
+            name, short, lead = rng.choice(names), rng.choice(shorts), rng.choice(["hereinafter", "nachfolgend", ""])
+            kind = rng.randrange(3)
+            begin = f"and so {name} "
+            inner = (f'({lead} "{short}")' if lead else f'("{short}")') if kind == 0 else f"(formerly {rng.choice(names)})" if kind == 1 else "(see below)"
+            if kind == 0:
+                want.append((i, at + len(begin), name, short))
+            elif kind == 1:
+                want.append((i, at + len(begin), name, inner[10:-1]))
+            parts.append(f"{begin}{inner} came; ")
+            at += len(parts[-1])
+        texts.append((i, "".join(parts)))
+    docs = spark.createDataFrame([*texts, (98, None), (99, "")], "doc_id int, text string")
+    assert sorted(map(tuple, resolve.defined_terms(docs).collect())) == sorted(want)
+    docs.createOrReplaceTempView("texts")
+    rows = spark.sql("SELECT doc_id, t.* FROM texts, LATERAL definitions(text, 12) t")
+    assert rows.columns == ["doc_id", "pos", "name", "alias", "context"]
+    whole = dict(texts)
+    assert sorted(map(tuple, rows.collect())) == sorted((i, p, n, a, whole[i][max(0, p - 12) : p + 12]) for i, p, n, a in want)
+
+
 def test_definitions_do_not_merge_owned_keys(spark):
     from factloom.operators import convert
 
