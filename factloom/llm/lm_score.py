@@ -448,14 +448,19 @@ def _bytes_of(codes: np.ndarray, first: np.ndarray) -> pa.Array:
 
 
 def _coded(rows: DataFrame, vocabulary) -> DataFrame:
-    """(uid, codes) of each document, 16-bit."""
+    """(id, uid, codes, n_tokens, n_known, base_score, shares) of each document, codes of 16 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in blocks(whole, "text")):
+        for batch in (part for whole in batches for part in blocks(whole, "text", 2 << 20)):
             hashes, first = tokens_of(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(2), _bytes_of(vocabulary.value.find(hashes)[1], first)], names=["uid", "codes"])
+            c, code = vocabulary.value.find(hashes)
+            base, shares, known = _measures(vocabulary.value, c, code, first)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), _bytes_of(code, first), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(shares)],
+                names=["id", "uid", "codes", "n_tokens", "n_known", "base_score", "shares"],
+            )
 
-    return rows.mapInArrow(lean(run), "uid long, codes binary")
+    return rows.mapInArrow(lean(run), "id long, uid long, codes binary, n_tokens long, n_known long, base_score double, shares double")
 
 
 def _coded_by_join(rows: DataFrame, counts: DataFrame, vocabulary) -> DataFrame:
@@ -567,29 +572,12 @@ def scores(docs: DataFrame, id_col="doc_id", text_col="text", folds=10, topic_do
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     whole = distinct <= most_words
     vocabulary = spark.sparkContext.broadcast(_vocabulary(counts, most_words, total, distinct))
-    every = None if whole else cut(_coded_by_join(rows, counts, vocabulary))
+    every = cut(_coded(rows, vocabulary) if whole else _coded_by_join(rows, counts, vocabulary))  # texts are coded once
     training = is_training("id", folds)
-    coded = (lambda keep: _coded(train_rows.where(keep), vocabulary)) if whole else (lambda keep: every.where(training & keep).select("uid", "codes"))
+    coded = lambda keep: every.where(training & keep).select("uid", "codes")
     network = spark.sparkContext.broadcast(flatten(fit(coded, vocabulary, total, warm_tokens, rounds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, p = vocabulary.value, unflatten(network.value)
-        for batch in (pool for whole_batch in batches for pool in blocks(whole_batch, "text", pool_bytes)):
-            codes, bases, shares, known, lengths = [], [], [], [], []
-            for part in blocks(batch, "text", 2 << 20):
-                hashes, first = tokens_of(part.column(1))
-                c, code = vocab.find(hashes)
-                codes.append(code)
-                lengths.append(np.diff(first))
-                for held, x in zip((bases, shares, known), _measures(vocab, c, code, first), strict=True):
-                    held.append(x)
-            flat, size = np.concatenate(codes), np.concatenate(lengths)
-            first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-            model = np.add.reduceat(log_likelihoods(p, flat, first), first[:-1], dtype=np.float64) if len(flat) else np.zeros(len(size))
-            score = (model + np.concatenate(shares)) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(np.concatenate(known)), pa.array(np.concatenate(bases)), pa.array(score)], names=["id", "n_tokens", "n_known", "base_score", "score"])
-
-    def run_coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = unflatten(network.value)
         for batch in (pool for whole_batch in batches for pool in blocks(whole_batch, "codes", pool_bytes // 3)):
             flat, first = _join(batch.column(1).to_pylist())
@@ -597,8 +585,7 @@ def scores(docs: DataFrame, id_col="doc_id", text_col="text", folds=10, topic_do
             score = (model + batch.column(5).to_numpy()) / math.log(10)
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:5], pa.array(score)], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
-    schema = "id long, n_tokens long, n_known long, base_score double, score double"
-    out = rows.mapInArrow(lean(run), schema) if whole else every.select("id", "codes", "n_tokens", "n_known", "base_score", "shares").mapInArrow(lean(run_coded), schema)
+    out = every.select("id", "codes", "n_tokens", "n_known", "base_score", "shares").mapInArrow(lean(run), "id long, n_tokens long, n_known long, base_score double, score double")
     return out.select(
         F.col("id").alias(id_col), (~is_training("id", folds)).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -310,5 +310,5 @@ def test_every_operator_is_registered():
     import __spark_entry__
 
     names = [q for q in __spark_entry__.queries() if re.match(r"op\d+_", q)]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
