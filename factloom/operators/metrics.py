@@ -6,6 +6,7 @@ Null means "not applicable" and never zero.  All comparisons stay inside a docum
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -411,22 +412,34 @@ def sensitivity(gold: DataFrame, pred: DataFrame, aligned: DataFrame) -> DataFra
     return rows.agg(F.array(*sums).alias("x")).select(F.inline("x"))
 
 
-def bootstrap(counts: DataFrame, n: int = 1000, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """Interval of micro precision, recall and f1 over resampled documents; no row for under two documents.
+def bootstrap(counts: DataFrame, n: int = 1000, seed: int = 7, level: float = 0.95, rows_per_block: int = 20_000) -> DataFrame:
+    """Interval of micro precision, recall and f1 over documents drawn with replacement; no row for under two documents.
 
-    Each document's weight in a replicate is a Poisson(1) draw from a hash, so no replicate needs the documents together.
+    Documents with equal counts are one row with how many there are, so a replicate is a multinomial draw over such rows.  It
+    is drawn by conditional binomials: first how many fall to each block of rows (on the driver, a number a block and
+    replicate), then inside every block.  A block's generator follows from the seed and its number, so results repeat.
     """
-    total = counts.count()
-    if total < 2 or counts.where("not precise").limit(1).count():
-        return counts.sparkSession.createDataFrame([], "metric string, lo double, hi double")
-    u = F.pmod(F.xxhash64("doc_id", "rep", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    weight, cumulative, term = F.lit(0), 0.0, np.exp(-1.0)
-    for k in range(8):
-        cumulative += term
-        weight = weight + (u >= F.lit(float(cumulative))).cast("int")
-        term /= k + 1
-    reps = counts.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("w", weight)
-    sums = reps.groupBy("rep").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in ("tp", "fp", "fn")))
+    spark = counts.sparkSession
+    kinds = store(counts.groupBy("tp", "fp", "fn").agg(F.count(F.lit(1)).alias("docs"), F.bool_and("precise").alias("precise")))
+    total, different, precise = kinds.agg(F.sum("docs"), F.count(F.lit(1)), F.bool_and("precise")).first()
+    if not total or total < 2 or not precise:
+        return spark.createDataFrame([], "metric string, lo double, hi double")
+    blocks = math.ceil(different / rows_per_block)
+    rows = kinds.withColumn("block", F.pmod(F.xxhash64("tp", "fp", "fn"), F.lit(blocks)).cast("int"))
+    sizes = {r["block"]: r["docs"] for r in rows.groupBy("block").agg(F.sum("docs").alias("docs")).collect()}
+    order = sorted(sizes)
+    share = np.random.default_rng(seed).multinomial(total, np.array([sizes[b] for b in order]) / total, size=n)
+    drawn = {b: share[:, i] for i, b in enumerate(order)}
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["tp", "fp", "fn"])
+        values, chance = pdf[["tp", "fp", "fn"]].to_numpy(dtype=np.int64), pdf["docs"].to_numpy(dtype=np.float64)
+        rng = np.random.default_rng([seed, int(key[0])])
+        sums = np.array([rng.multinomial(k, chance / chance.sum()) @ values for k in drawn[int(key[0])]])
+        return pd.DataFrame({"rep": range(n), "tp": sums[:, 0], "fp": sums[:, 1], "fn": sums[:, 2]})
+
+    reps = rows.groupBy("block").applyInPandas(run, "rep int, tp bigint, fp bigint, fn bigint")
+    sums = reps.groupBy("rep").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
     p, r, f1 = prf(F.col("tp"), F.col("fp"), F.col("fn"))
     tail = (1 - level) / 2
     wide = sums.select(p, r, f1).agg(*(F.percentile(c, F.lit(q)).alias(f"{c}_{q}") for c in ("precision", "recall", "f1") for q in (tail, 1 - tail)))

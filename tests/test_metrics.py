@@ -131,6 +131,33 @@ def test_bootstrap(spark):
     assert metrics.bootstrap(make([(1, 0, 0)])).count() == 0
 
 
+def test_bootstrap_equals_drawing_documents(spark):
+    """Ends of the interval against plain draws of documents, whatever the blocks; the same for a seed, another for another."""
+    rng = np.random.default_rng(5)
+    docs = [tuple(int(x) for x in rng.integers(0, 9, 3)) for _ in range(120)]
+    df = spark.createDataFrame([(f"d{i}", *d, True) for i, d in enumerate(docs)], "doc_id string, tp long, fp long, fn long, precise boolean")
+    ends = lambda frame, **options: {r.metric: (r.lo, r.hi) for r in metrics.bootstrap(frame, 2_000, **options).collect()}
+    one, blocks, again, other = ends(df), ends(df.repartition(5), rows_per_block=7), ends(df.repartition(7), rows_per_block=7), ends(df, seed=8)
+    assert blocks == again and one != other
+    sums = np.array([np.array(docs)[rng.integers(0, len(docs), len(docs))].sum(axis=0) for _ in range(4_000)])
+    tp, fp, fn = sums.T
+    for metric, values in (("precision", tp / (tp + fp)), ("recall", tp / (tp + fn)), ("f1", 2 * tp / (2 * tp + fp + fn))):
+        for got in (one, blocks):
+            assert np.allclose(got[metric], np.quantile(values, [0.025, 0.975]), atol=0.006)
+
+
+def test_bootstrap_covers_the_true_rate(spark):
+    """Of 60 samples about 95 in 100 intervals hold the rate that they were drawn with."""
+    rng, hits = np.random.default_rng(6), 0
+    for k in range(60):
+        size = rng.integers(3, 12, 40)
+        tp = rng.binomial(size, 0.7)
+        df = spark.createDataFrame([(f"d{i}", int(t), 0, int(n - t), True) for i, (t, n) in enumerate(zip(tp, size, strict=True))], "doc_id string, tp long, fp long, fn long, precise boolean")
+        row = metrics.bootstrap(df.coalesce(1), 300, seed=k).where("metric = 'recall'").first()
+        hits += row.lo <= 0.7 <= row.hi
+    assert 50 <= hits <= 60
+
+
 def test_assignment_is_optimal():
     rng = np.random.default_rng(0)
     for _ in range(60):
