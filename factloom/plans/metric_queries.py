@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import text as T
 from ..operators import metrics as M
-from ..operators import ops
+from ..operators import ops, report
 from ..sources import loaders
 from . import inputs as I
 from .structure_queries import _PROPOSALS, _RULES, _proposals
@@ -288,6 +288,18 @@ def j14(spark, d):
     return M.similarities(*_match_sides(spark, d)).select("doc_id", "gold_id", "pred_id", _r("score", "score"))
 
 
+@query("k04_report")
+def k04(spark, d):
+    """The lines of a report: every second name as a label, the others as predictions, their edges as relations."""
+    n = I.names(spark, d).select("k", "doc_id", F.concat(F.lit("E"), F.col("k").cast("string")).alias("id"), "name", "type", F.array(F.concat(F.lit("AR"), F.expr("k div 4"))).alias("aliases"))
+    n = n.withColumn("forms", F.concat(F.array("name"), "aliases"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]), " met ")
+    edges = I.edges(spark, d).withColumn("source", F.regexp_replace("source", "[\\[\\]]", ""))
+    sides = [n.where(f"k % 2 = {r}").drop("k") for r in (0, 1)]
+    rels = [edges.where(f"pos % 2 = {r}").select("doc_id", "source", "relation", "target") for r in (0, 1)]
+    return report.report("names", *sides, n.groupBy("doc_id").agg(text.alias("text")), *rels, replicates=200)
+
+
 QUERIES["c20_entity_similarity"] = QUERIES["j14_candidate_pairs"]
 
 
