@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import files, loaders
 from ..sources.shared import shared_path, store
-from ..streaming import ingest
+from ..streaming import ingest, status
 from . import inputs as I
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -186,6 +186,20 @@ def a14_tokens(spark, d) -> DataFrame:
     return rows.select("doc_id", F.col("sent").cast("bigint").alias("sent"), F.col("pos").cast("bigint").alias("pos"), "token", "tag")
 
 
+@query("m9_run_status", """WITH e AS (SELECT event_id // 5 AS run_id, ts, event_type, props FROM events)
+SELECT CAST(run_id AS BIGINT) AS run_id, CASE WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN 'completed' WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'failed' ELSE 'pending' END AS status,
+CASE WHEN count(*) FILTER (event_type = 'purchase') = 0 THEN max_by(props, ts) FILTER (event_type = 'error') END AS error FROM e GROUP BY 1""")
+def m9_status(spark, d) -> DataFrame:
+    """All events landed as files and replayed as a stream of runs of five: a purchase is an output, an error a failure."""
+    path = shared_path(spark, "status")
+    events = I.table(spark, d, "events").select(F.expr("event_id div 5").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("has_output"), F.when(F.col("event_type") == "error", "failed").otherwise("running").alias("ops_status"), F.col("props").alias("ops_error"))
+    events.write.parquet(f"{path}/landing")
+    rows = spark.readStream.schema(events.schema).parquet(f"{path}/landing")
+    changes = status.status_changes(rows, limit_seconds=100 * 86_400, late="100 days")
+    changes.writeStream.format("parquet").option("path", f"{path}/changes").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return status.latest_status(spark.read.parquet(f"{path}/changes"))
+
+
 @query("m9_stream_costs", "SELECT date_trunc('hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS calls, round(sum(value), 6) AS cost FROM events GROUP BY 1, 2")
 def m9(spark, d) -> DataFrame:
     rows = ingest.windowed_costs(I.table(spark, d, "events"))
