@@ -12,9 +12,11 @@ deepest of equal ones, is the core, and its threshold decides about everything e
 
 * A core inside an article or main element grows to that element; then only other article elements that reach the
   threshold join it.
-* Any other core grows over wrappers whose further children all reach the threshold, are headings or hold one, or are
-  text blocks with less text in links than outside, or lists of links between texts.  Elsewhere the largest-sum subtrees of nodes that reach the threshold join it.  Of
-  the body, or a wrapper of all its text, containers below the threshold go, unless they hold the h1.
+* Any other core grows over wrappers whose further children all reach the threshold with a density sum of at least one
+  ``BESIDE``-th of the core's, are headings or hold one, or are text blocks with less text in links than outside, or lists
+  of links between texts.  Elsewhere the largest-sum subtrees of nodes that reach threshold and sum join it: a notice or a
+  footer is dense text, but its sum is small.  Of the body, or a wrapper of all its text, containers below the threshold
+  go, unless they hold the h1.
 * If the core has no h1, those before it beside its ancestors join it.
 
 Priors only weigh densities: inside article and main they count ``PRIOR`` times; inside forms, landmark roles, articles
@@ -56,6 +58,8 @@ ENDS = {
 ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
+#: A paragraph outside these isn't ended from inside them.
+P_SCOPES = frozenset("button table td th article section div".split())
 LEFT_OUT = frozenset("nav aside footer button select input dialog canvas audio video object embed menu head datalist".split())
 FORMS = frozenset("form fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -70,6 +74,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 TEXT_BLOCKS = frozenset("p pre blockquote ul ol dl table figure address li dt dd details hr".split())
 #: Weight of priors, and how much more text than all others a named element must hold to be the main part.
 PRIOR = 4
+#: Beside the core, a subtree's density sum must be at least one BESIDE-th of the core's.
+BESIDE = 2
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -77,10 +83,11 @@ _PART = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "kind", "chars", "tags", "link_chars", "link_tags", "own", "density", "least", "total", "best", "best_node", "h1", "content", "dropped")
+    __slots__ = ("tag", "parent", "children", "kind", "in_p", "chars", "tags", "link_chars", "link_tags", "own", "density", "least", "total", "best", "best_node", "h1", "content", "dropped")
 
     def __init__(self, tag: str, parent: Node | None, kind: int = 0):
         self.tag, self.parent, self.children, self.kind = tag, parent, [], kind
+        self.in_p = tag == "p" or (parent is not None and parent.in_p and tag not in P_SCOPES)  # whether a paragraph is open that may end here
         self.chars = self.tags = self.link_chars = self.link_tags = self.own = 0
         self.density = self.least = self.total = 0.0
         self.content, self.dropped, self.h1, self.best, self.best_node = False, False, False, -1.0, self
@@ -105,14 +112,14 @@ def _named(value: str) -> int:
     return found
 
 
-def _kind(tag: str, attributes: str, parent: Node | None) -> int:
-    """What the markup says about an element: OUT if it is never article text, INSERT, FURNISHING, MAIN, or 0."""
+def _kind(tag: str, attributes: str, opened: dict[str, int]) -> int:
+    """What the markup says about an element inside those opened: OUT if it is never article text, INSERT, FURNISHING, MAIN, or 0."""
     if tag in LEFT_OUT or tag in RAW:
         return OUT
-    if tag == "header" and not (_open(parent, "article") or _open(parent, "main") or _open(parent, "section")):
+    if tag == "header" and not any(opened.get(t) for t in ("article", "main", "section")):
         return OUT
     kind = MAIN if tag in ("article", "main") else INSERT if tag in FORMS else 0
-    if tag == "article" and _open(parent, "article"):
+    if tag == "article" and opened.get("article"):
         kind = INSERT
     if not attributes or attributes == "/":
         return kind
@@ -134,6 +141,15 @@ def parse(source: str) -> Node:
     """The tree; texts are strings among the children."""
     root = node = Node("html", None)
     depth_out: list[str] = []  # open elements inside one that is left out
+    opened = {"html": 1}  # how many elements of each tag are open
+
+    def rise(to: Node) -> Node:
+        at = node
+        while at is not to:
+            opened[at.tag] -= 1
+            at = at.parent
+        return to
+
     at, size = 0, len(source)
     while at < size:
         m = _TAG.search(source, at)
@@ -152,16 +168,16 @@ def parse(source: str) -> Node:
                     while depth_out.pop() != tag:
                         pass
                     continue
-                if tag == "p" or tag not in ENDS_P | KEEPS or not _open(node, tag):
+                if tag == "p" or tag not in ENDS_P | KEEPS or not opened.get(tag):
                     continue
                 depth_out.clear()  # what is left out was never closed and ends with its parent
-            if tag in INLINE:
+            if tag in INLINE or not opened.get(tag):
                 continue
             up = node
             while up.parent and up.tag != tag:
                 up = up.parent
-            if up.parent and up.tag == tag:
-                node = up.parent
+            if up.parent:
+                node = rise(up.parent)
             continue
         closed = m[3].endswith("/")
         if tag in RAW:
@@ -174,15 +190,15 @@ def parse(source: str) -> Node:
                 depth_out.append(tag)
             continue
         if tag in ENDS_P:
-            node = _close(node, {"p"}, {"button", "table", "td", "th", "article", "section", "div"})
-        if tag in ENDS:
-            node = _close(node, *ENDS[tag])
-        if tag == "html" or (tag == "body" and _open(node, "body")):
+            node = rise(_close(node, {"p"}, P_SCOPES)) if node.in_p else node
+        if tag in ENDS and any(opened.get(t) for t in ENDS[tag][0]):
+            node = rise(_close(node, *ENDS[tag]))
+        if tag == "html" or (tag == "body" and opened.get("body")):
             continue
         if tag == "br":
             node.children.append("\n")
             continue
-        kind = _kind(tag, m[3], node)
+        kind = _kind(tag, m[3], opened)
         if kind == OUT:
             if tag not in VOID and not closed:
                 depth_out.append(tag)
@@ -193,17 +209,10 @@ def parse(source: str) -> Node:
         node.children.append(child)
         if tag not in VOID and not closed:
             node = child
+            opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
-def _open(node: Node | None, tag: str) -> bool:
-    while node:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
-
-
 def _close(node: Node, ended: set[str], beyond: set[str]) -> Node:
     """The parent of the outermost open element of ``ended``, if one is open before any of ``beyond``."""
     up, found = node, None
@@ -306,11 +315,16 @@ def measure(nodes: list[Node]) -> Node:
     return body.best_node
 
 
+def _dense(n: Node, threshold: float, core: Node | None) -> bool:
+    """Whether a subtree reaches the threshold and, beside a core, holds a comparable sum of densities: a notice or a footer of plain text is dense, but little."""
+    return n.density >= threshold and (core is None or n.tag in TEXT_BLOCKS or n.best * BESIDE >= core.best)
+
+
 def _joining(nodes: list[Node], threshold: float, core: Node | None = None) -> list[bool]:
     """Which children of a wrapper belong to the text."""
 
     def joins(n: Node) -> bool:
-        if not n.chars or n.density >= threshold or n.tag in HEADINGS or n is core:
+        if not n.chars or n.tag in HEADINGS or n is core or _dense(n, threshold, core):
             return True
         if n.kind in (INSERT, FURNISHING):
             return False
@@ -376,12 +390,16 @@ def _enclosing(node: Node, body: Node, tag: str) -> Node | None:
 
 def _elsewhere(body: Node, core: Node, threshold: float) -> None:
     """Marks the largest-sum subtree inside every node outside the core that reaches the threshold."""
+    above, node = set(), core
+    while node is not None:
+        above.add(node)
+        node = node.parent
     stack = [body]
     while stack:
         n = stack.pop()
         if n is core or not n.chars:
             continue
-        if n.density >= threshold and not _within(core, n):
+        if _dense(n, threshold, core) and n not in above:
             n.best_node.content = True
             if n.best_node is n:
                 continue

@@ -111,6 +111,24 @@ def test_density_alone_finds_articles_and_its_lack_none(monkeypatch, name, least
     assert sum(html_density.extract(p) == t for p, t in pages) == 0
 
 
+SEMANTIC = "nav aside footer header article form main section".split()
+
+
+def test_density_finds_articles_where_no_tag_or_name_tells():
+    """All semantic elements as div, and no class, id or role: what is left to decide are densities."""
+    marks, names = re.compile(rf"<(/?)(?:{'|'.join(SEMANTIC)})\b"), re.compile(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)")
+    pages = [(names.sub("", marks.sub(r"<\1div", p)), t) for p, t in _articles("article")]
+    assert sum(html_density.extract(p) == t for p, t in pages) >= 240 and len(pages) == 250
+
+
+def test_density_sums_tell_sections_from_notices():
+    section = lambda n: "<div>" + f"<p>{ARTICLE}</p>" * n + "</div>"
+    note = "<div>All rights are reserved by us, and by those who wrote this page.</div>"
+    text = lambda n: " ".join([PLAIN] * n)
+    assert html_density.extract(f"<body>{section(3)}{note}{section(2)}{note}</body>") == text(5)
+    assert html_density.extract(f"<body>{note}{section(2)}{note}</body>") == text(2)
+
+
 def _shape(node):
     """(C, T, LC, LT) of a subtree by recursion."""
     c = t = lc = lt = 0
@@ -171,6 +189,20 @@ def test_deep_page_needs_no_recursion():
     assert html_density.extract("<div>" * 5000 + "text" + "</div>" * 5000) == "text"
 
 
+@pytest.mark.parametrize("opening", ["<div>", "<div><nav>", "<ul><li>", "<article>", "<p><button>", "<table><tr><td>", "<div></b></section>"])
+def test_deep_pages_take_linear_time(opening):
+    """Sixteen times the depth takes far less than sixteen times sixteen the time."""
+    import time
+
+    def seconds(depth):
+        began = time.process_time()
+        html_density.extract(opening * depth + "text")
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(48_000) < 64 * max(seconds(3_000), 0.01)
+
+
 def test_extract_pages_nulls_extras_and_empty(spark):
     df = spark.createDataFrame([(1, "u", None, 7), (2, None, "<p>a</p>", 8), (2, None, "<p>a</p>", 8)], "page_id long, url string, html string, text int")
     rows = sorted((r.page_id, r.url, r.text, r.n_chars) for r in html_density.extract_pages(df).collect() if r.url) + sorted((r.page_id, r.text, r.n_chars) for r in html_density.extract_pages(df).collect() if not r.url)
