@@ -84,8 +84,8 @@ def _scanner(ignore_case: bool, limit: int, longest: bool):
     return scan
 
 
-def find_forms(texts: DataFrame, forms: DataFrame, text_col="text", ignore_case=False, limit: int | None = None, longest=False, automata=1) -> DataFrame:
-    """Columns of ``texts`` but the text, with id, n, start_char, end_char of each place of a form of its document.
+def find_forms(texts: DataFrame, forms: DataFrame, text_col="text", ignore_case=False, limit: int | None = None, longest=False, automata=1, quote=False) -> DataFrame:
+    """Columns of ``texts`` but the text, with id, n, start_char, end_char of each place of a form of its document, and with ``quote`` what stands there.
 
     ``texts`` has doc_id and the text, ``forms`` has (doc_id, id, form); null and empty forms are nowhere.  Places of one form
     don't overlap; ``limit`` keeps a form's first ones.  With ``longest`` no two places overlap: the leftmost counts, of those
@@ -99,5 +99,6 @@ def find_forms(texts: DataFrame, forms: DataFrame, text_col="text", ignore_case=
     scan = _scanner(ignore_case, limit or 0, longest)
     rows = texts.join(lists.drop("_part"), "doc_id").withColumn("_hits", scan(F.col(text_col), F.transform("_forms", lambda x: x["form"])))
     kept = [c for c in texts.columns if c != text_col]
-    rows = rows.select(*kept, "_forms", F.explode("_hits").alias("_hit"))
-    return rows.select(*kept, F.element_at("_forms", F.col("_hit.form") + 1)["id"].alias("id"), "_hit.n", "_hit.start_char", "_hit.end_char")
+    rows = rows.select(*kept, *([text_col] if quote else []), "_forms", F.explode("_hits").alias("_hit"))
+    said = [F.expr(f"substring(`{text_col}`, _hit.start_char + 1, _hit.end_char - _hit.start_char)").alias("quote")] if quote else []
+    return rows.select(*kept, F.element_at("_forms", F.col("_hit.form") + 1)["id"].alias("id"), "_hit.n", "_hit.start_char", "_hit.end_char", *said)
