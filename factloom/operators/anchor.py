@@ -15,7 +15,6 @@ from pyspark.sql.types import IntegerType, StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..sources.shared import store
 from .automaton import find_forms
 
 CDATA = "<text><![CDATA["
@@ -177,7 +176,7 @@ def cooccurrence(pairs: DataFrame, citations: DataFrame, docs: DataFrame, gap: i
     at its first place only.  The first pair of the least width wins.
     """
     good = citations.where("end_char > start_char").groupBy("doc_id", "entity_id", "start_char", "end_char").agg(F.min("pos").alias("pos"))
-    good = store(good.withColumn("bin", F.floor(F.col("start_char") / gap).cast("int")))
+    good = good.withColumn("bin", F.floor(F.col("start_char") / gap).cast("int"))
     a = good.select("doc_id", F.col("entity_id").alias("source"), F.col("pos").alias("pa"), F.col("start_char").alias("sa"), F.col("end_char").alias("ea"), "bin")
     b = good.select("doc_id", F.col("entity_id").alias("target"), F.col("pos").alias("pb"), F.col("start_char").alias("sb"), F.col("end_char").alias("eb"), F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)).alias("bin"))
     width = F.greatest("ea", "eb") - F.least("sa", "sb")
@@ -227,7 +226,7 @@ def citation_chain(entities: DataFrame, anchored: DataFrame, docs: DataFrame, li
     verbatim = anchored.where("end_char > 0").select("doc_id", "entity_id", "start_char", "end_char", "quote", F.lit("verbatim").alias("match")).dropDuplicates(["doc_id", "entity_id", "start_char", "end_char"])
     rest = entities.join(has, ["doc_id", "entity_id"], "left_anti")
     found = find_forms(docs.select("doc_id", "text"), rest.select("doc_id", F.col("entity_id").alias("id"), F.col("name").alias("form")), ignore_case=True, limit=limit, quote=True)
-    named = store(found.select("doc_id", F.col("id").alias("entity_id"), "start_char", "end_char", "quote", F.lit("name_search").alias("match")))
+    named = found.select("doc_id", F.col("id").alias("entity_id"), "start_char", "end_char", "quote", F.lit("name_search").alias("match"))
     none = rest.join(named.select("doc_id", "entity_id").distinct(), ["doc_id", "entity_id"], "left_anti")
     return verbatim.unionByName(named).unionByName(none.select("doc_id", "entity_id", F.lit(0).alias("start_char"), F.lit(0).alias("end_char"), F.lit("").alias("quote"), F.lit("unanchored").alias("match")))
 
