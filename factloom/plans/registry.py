@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import file_queries, metric_queries, run_queries, structure_queries, text_queries
+from . import file_queries, metric_queries, run_queries, source_queries, structure_queries, text_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (text_queries, structure_queries, metric_queries, file_queries, run_queries):
+for _module in (text_queries, structure_queries, metric_queries, file_queries, run_queries, source_queries):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
 
