@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import landing
+from ..sources import datasets, files, landing
 from ..sources.shared import shared_path
 from . import inputs as I
 
@@ -70,3 +70,42 @@ def k08_lock(spark, d) -> DataFrame:
     landing.write_lock(rows.where("page_id % 3 <> 0"), path)
     now = rows.where("page_id % 3 <> 2").withColumn("content", F.when(F.col("page_id") % 2 == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
     return landing.changed(now, landing.read_lock(spark, path))
+
+
+def _gold(spark, d) -> DataFrame:
+    none = [F.array().cast(t).alias(c) for c, t in (("entities", "array<struct<id:string>>"), ("relations", "array<struct<source:string>>"))]
+    return I.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", *none)
+
+
+@query("a21_prepared_by_name", """SELECT via, 'corpus' AS dataset, cast(doc_id AS VARCHAR) AS doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents, (VALUES ('name'), ('folder')) AS v(via)""")
+def a21(spark, d) -> DataFrame:
+    """All documents as a prepared dataset, found by its name and by its folder."""
+    root = shared_path(spark, "datasets")
+    files.write_prepared(_gold(spark, d), f"{root}/corpus/prepared", {"name": "corpus"})
+    by_name, name = datasets.resolve_gold(spark, "corpus", root)
+    by_folder = datasets.prepared(spark, f"{root}/corpus/prepared", root)
+    rows = by_name.select(F.lit("name").alias("via"), "doc_id", "text").unionByName(by_folder.select(F.lit("folder").alias("via"), "doc_id", "text"))
+    return rows.select("via", F.lit(name).alias("dataset"), "doc_id", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query("a19_card_catalogue", """SELECT 'set-' || page_id AS name, CASE page_id % 2 WHEN 0 THEN 'native' ELSE 'conll' END AS loader, page_id % 3 <> 0 AS has_coref, true AS has_types, CASE WHEN page_id % 3 = 0 THEN 'company' END AS types FROM pages""")
+def a19(spark, d) -> DataFrame:
+    """A card a page, a third with coverage of its own, read into the catalogue; the first version of each is superseded."""
+    path = shared_path(spark, "cards")
+    cover = F.expr("CASE WHEN page_id % 3 = 0 THEN 'has_coref: false\\nexhaustive_entity_types: [company]\\n' ELSE '' END")
+    name = F.concat(F.lit("name: set-"), "page_id", F.lit("\nloader: "))
+    old, new = F.concat(name, F.lit("old\n")), F.concat(name, F.expr("CASE page_id % 2 WHEN 0 THEN 'native' ELSE 'conll' END"), F.lit("\n"), cover)
+    version = lambda v, text: F.struct(F.concat(F.lit(f"{v}/set-"), "page_id", F.lit(".yaml")).alias("path"), text.alias("text"))
+    I.table(spark, d, "pages").select(F.inline(F.array(version("v1", old), version("v2", new)))).write.parquet(path)
+    found = datasets.catalogue(spark.read.parquet(path))
+    return found.select("name", "loader", "coverage.has_coref", "coverage.has_types", F.array_join("coverage.exhaustive_entity_types", ",").alias("types"))
+
+
+@query("a18_gold_by_card", f"WITH {I.NAMES} SELECT DISTINCT doc_id, true AS has_types, false AS has_coref, true AS exhaustive_relations FROM names")
+def a18(spark, d) -> DataFrame:
+    """Gold of all documents of names read as a card says; each document carries the card's coverage, its gaps filled."""
+    path = shared_path(spark, "by_card")
+    gold = I.names(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("g"), "k").alias("id"), "name", "type"))).alias("entities"))
+    gold.write.json(path)
+    rows = datasets.from_card(spark, {"name": "names", "loader": "native", "has_coref": False}, path)
+    return rows.select("doc_id", F.col("coverage.has_types").alias("has_types"), F.col("coverage.has_coref").alias("has_coref"), F.col("coverage.exhaustive_relations").alias("exhaustive_relations"))
