@@ -143,7 +143,7 @@ def read_keyed(spark: SparkSession, path: str) -> DataFrame:
 def upsert(rows: DataFrame, path: str, key: str, order: str | None = None, buckets: int = 64) -> None:
     """Merge rows into a keyed table: one row a key, the newest by ``order`` (else the greatest) of those given, in place of the old.
 
-    Keys are hashed to ``buckets`` (as the first write said).  Only buckets with new rows are written, as a new version of
+    Keys are hashed to ``buckets`` (as the first write said; a bucket is written by one task, so give them a task's data each).  Only buckets with new rows are written, as a new version of
     each; one append then commits them all.  A write that stops before it leaves the table as it was, and repeating a write
     changes nothing.  One writer at a time; null is a key like others.
     """
@@ -152,18 +152,23 @@ def upsert(rows: DataFrame, path: str, key: str, order: str | None = None, bucke
     seq, made = commits.agg(F.max("seq"), F.max("buckets")).first() if commits is not None else (None, None)
     buckets = made or buckets
     rest = [F.col(c).desc_nulls_last() for c in ([order] if order else []) + [c for c, t in rows.dtypes if c not in (key, order) and not t.startswith("map")]]
-    best = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*rest) if rest else Window.partitionBy(key).orderBy(key))).where("_n = 1").drop("_n")
-    best = store(best.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
-    touched = sorted(r[0] for r in best.select("bucket").distinct().collect())
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition("bucket")  # the window and the write need no other exchange
+    best = rows.withColumn("_n", F.row_number().over(Window.partitionBy("bucket", key).orderBy(*rest) if rest else Window.partitionBy("bucket", key).orderBy(key))).where("_n = 1").drop("_n")
+    version = f"v{uuid.uuid4().hex}"
+    data = f"{path}/data/version={version}"
+    if commits is None:
+        best.write.partitionBy("bucket").parquet(data)
+        touched = sorted(r[0] for r in spark.read.schema(best.schema).parquet(data).select("bucket").distinct().collect())
+    else:
+        best = store(best)
+        touched = sorted(r[0] for r in best.select("bucket").distinct().collect())
     if not touched:
         return
-    out = best
     if commits is not None:
         old = read_keyed(spark, path).where(F.col("bucket").isin(touched))
         new = best.select(F.col(key).alias("_key"))
         out = old.join(new, old[key].eqNullSafe(new["_key"]), "left_anti").unionByName(best, allowMissingColumns=True)
-    version = f"v{uuid.uuid4().hex}"
-    out.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/data/version={version}")
+        out.repartition("bucket").write.partitionBy("bucket").parquet(data)
     done = spark.createDataFrame([((seq or 0) + 1, b, version, buckets) for b in touched], "seq bigint, bucket int, version string, buckets int")
     done.coalesce(1).write.mode("append").parquet(f"{path}/commits")
 

@@ -23,43 +23,43 @@ def chunk_index(entities: DataFrame) -> DataFrame:
     return by_chunk.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("chunk_id").cast("string").alias("key"), F.col("ids").alias("value"))))).alias("chunk_entity_index"))
 
 
-def save_artifacts(runs: DataFrame, path: str) -> None:
-    """Manifest, chunks, entities with their chunk index, and output of runs, a row a run; saving a run again replaces it.
+def save_manifests(runs: DataFrame, path: str) -> None:
+    """(run_id, created_at, source_file, seed), a row a run; as with all artifacts, saving a run again replaces it."""
+    rows = runs.select("run_id", "created_at", "source_file", "seed", F.lit(CHUNK_MAX_CHARS).alias("chunk_max_chars"), F.lit(CHUNK_OVERLAP_CHARS).alias("chunk_overlap_chars"))
+    files.upsert(rows, f"{path}/manifest", "run_id", order="created_at")
 
-    ``runs`` has run_id, created_at, source_file, seed, chunks, validated_entities, entities (canonical) and relationships.  A run has
-    one document, so its arrays are bounded by it.
-    """
-    index = chunk_index(runs)
-    rows = runs.join(index, "run_id", "left").select(
-        "run_id", "created_at", "source_file", "seed", F.lit(CHUNK_MAX_CHARS).alias("chunk_max_chars"), F.lit(CHUNK_OVERLAP_CHARS).alias("chunk_overlap_chars"),
-        F.coalesce("chunks", F.array().cast("array<string>")).alias("chunks"), "validated_entities", F.col("entities").alias("canonical_entities"), F.coalesce("chunk_entity_index", F.create_map().cast("map<string,array<string>>")).alias("chunk_entity_index"),
-        "relationships",
-    )
-    files.upsert(rows, path, "run_id", order="created_at")
+
+def save_chunks(runs: DataFrame, path: str) -> None:
+    """(run_id, chunks): a run has one document, so its arrays are bounded by it.  Null is no chunks."""
+    files.upsert(runs.select("run_id", F.coalesce("chunks", F.array().cast("array<string>")).alias("chunks")), f"{path}/chunks", "run_id")
+
+
+def save_entities(runs: DataFrame, path: str) -> None:
+    """(run_id, validated_entities, entities): both lists, and for each chunk the canonical entities cited in it."""
+    none = F.create_map().cast("map<string,array<string>>")
+    rows = runs.select("run_id", "validated_entities", F.col("entities").alias("canonical_entities")).join(chunk_index(runs), "run_id", "left")
+    files.upsert(rows.withColumn("chunk_entity_index", F.coalesce("chunk_entity_index", none)), f"{path}/entities", "run_id")
 
 
-def load_artifacts(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
-    """Artifacts of all runs, or of one; a run that isn't there is a FileNotFoundError."""
-    rows = files.read_keyed(spark, path).drop("bucket")
+def save_outputs(runs: DataFrame, path: str) -> None:
+    """(run_id, entities, relationships) as a finished run gives them."""
+    files.upsert(runs.select("run_id", "entities", "relationships"), f"{path}/output", "run_id")
+
+
+def load_artifact(spark: SparkSession, path: str, name: str, run_id: str | None = None) -> DataFrame:
+    """The manifest, chunks, entities or output of all runs, or of one; a run that has none is a FileNotFoundError."""
+    rows = files.read_keyed(spark, f"{path}/{name}").drop("bucket")
     if run_id is None:
         return rows
     rows = rows.where(F.col("run_id") == run_id)
     if rows.isEmpty():
-        raise FileNotFoundError(f"no artifacts of run {run_id!r}")
+        raise FileNotFoundError(f"no {name} of run {run_id!r}")
     return rows
 
 
 def latest_run(spark: SparkSession, path: str) -> str:
-    """The id of the newest run, of equal times the greatest; ValueError if there is none."""
-    rows = files.read_keyed(spark, path)
-    found = rows.agg(F.max(F.struct("created_at", "run_id")).alias("m")).select("m.run_id").first()[0]
-    if found is None:
-        raise ValueError("no previous runs")
-    return found
-
-
-def manifest(artifacts: DataFrame) -> DataFrame:
-    return artifacts.select("run_id", "created_at", "source_file", "seed", "chunk_max_chars", "chunk_overlap_chars")
+    """The id of the run whose manifest is newest, of equal times the greatest; ValueError if there is none."""
+    return load_artifact(spark, path, "manifest").agg(F.max(F.struct("created_at", "run_id")).alias("m")).select("m.run_id").first()[0]
 
 
 def predictions(spark: SparkSession, path: str, ops_path: str | None = None, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

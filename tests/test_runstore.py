@@ -22,14 +22,19 @@ def _run(run_id, at, entities):
 def test_artifacts_round_trip(spark, tmp_path):
     path = f"file://{tmp_path}/runs"
     cited = [("E1", [(1,), (0,), (1,)]), ("E2", [(1,), (None,)]), ("E3", None)]
-    runstore.save_artifacts(spark.createDataFrame([_run("a", "2024-01-01", [("old", [(0,)])]), _run("b", "2024-01-03", None), _run("c", "2024-01-03", [])], RUN), path)
-    runstore.save_artifacts(spark.createDataFrame([_run("a", "2024-01-02", cited)], RUN), path)
-    row = runstore.load_artifacts(spark, path, "a").first()
+    first = spark.createDataFrame([_run("a", "2024-01-01", [("old", [(0,)])]), _run("b", "2024-01-03", None), _run("c", "2024-01-03", [])], RUN)
+    for rows in (first, spark.createDataFrame([_run("a", "2024-01-02", cited)], RUN)):
+        for save in (runstore.save_manifests, runstore.save_chunks, runstore.save_entities, runstore.save_outputs):
+            save(rows, path)
+    row = runstore.load_artifact(spark, path, "entities", "a").first()
     assert row.chunk_entity_index == {"0": ["E1"], "1": ["E1", "E1", "E2"]} and [e.entity_id for e in row.canonical_entities] == ["E1", "E2", "E3"]
-    assert runstore.load_artifacts(spark, path).count() == 3 and runstore.latest_run(spark, path) == "c"
-    assert runstore.manifest(runstore.load_artifacts(spark, path, "a")).first().asDict() == {"run_id": "a", "created_at": "2024-01-02", "source_file": "a.txt", "seed": 42, "chunk_max_chars": 2000, "chunk_overlap_chars": 200}
+    assert [runstore.load_artifact(spark, path, name).count() for name in ("manifest", "chunks", "entities", "output")] == [3] * 4 and runstore.latest_run(spark, path) == "c"
+    assert runstore.load_artifact(spark, path, "manifest", "a").first().asDict() == {"run_id": "a", "created_at": "2024-01-02", "source_file": "a.txt", "seed": 42, "chunk_max_chars": 2000, "chunk_overlap_chars": 200}
+    assert runstore.load_artifact(spark, path, "chunks", "b").first().chunks == ["one", "two"]
     with pytest.raises(FileNotFoundError, match="nope"):
-        runstore.load_artifacts(spark, path, "nope")
+        runstore.load_artifact(spark, path, "output", "nope")
+    with pytest.raises(ValueError, match="no committed table"):
+        runstore.latest_run(spark, path + "-none")
 
 
 def test_predictions_of_run_folders(spark, tmp_path):
