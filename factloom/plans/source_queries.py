@@ -115,11 +115,11 @@ _LINES = """lines AS (SELECT doc_id, CAST(unnest(generate_series(0, len(ls) - 1)
 firsts AS (SELECT *, regexp_extract(line, '[A-Za-z0-9]+') AS name FROM lines)"""
 
 
-@query("k01_artifacts", f"""WITH {_LINES} SELECT CAST(doc_id AS VARCHAR) AS run_id, chunk_id, md5(line) AS chunk_md5, CASE WHEN name <> '' THEN name END AS entity_ids FROM firsts""")
+@query("k01_artifacts", f"""WITH {_LINES} SELECT CAST(doc_id AS VARCHAR) AS run_id, doc_id || '.txt' AS source_file, chunk_id, line AS chunk, CASE WHEN name <> '' THEN name END AS entity_ids FROM firsts""")
 def k01(spark, d) -> DataFrame:
     """Artifacts of a run for each document saved and loaded: lines as chunks, the first word of each an entity, equal words one.
 
-    Every chunk, by the digest of its text, with the entities that the index gives for it.
+    Every chunk with its run's source file and the entities that the index gives for it.
     """
     path = shared_path(spark, "artifacts")
     runs = I.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("run_id"), F.split("text", "\n").alias("chunks"))
@@ -127,11 +127,14 @@ def k01(spark, d) -> DataFrame:
     words = runs.select("run_id", F.inline(F.filter(firsts, lambda x: x["name"] != "")))
     ents = words.groupBy("run_id", "name").agg(F.transform(F.array_sort(F.collect_list("chunk_id")), lambda c: F.struct(c.alias("chunk_id"))).alias("citations"))
     ents = ents.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(F.col("name").alias("entity_id"), F.col("name").alias("canonical_name"), "citations"))).alias("entities"))
+    manifests = runs.select("run_id", F.lit("2024-01-01T00:00:00").alias("created_at"), F.concat("run_id", F.lit(".txt")).alias("source_file"), F.lit(42).alias("seed"))
+    runstore.save_manifests(manifests, path)
     runstore.save_chunks(runs, path)
     runstore.save_entities(ents.withColumn("validated_entities", F.transform("entities", lambda e: F.struct(e["canonical_name"].alias("name")))), path)
-    chunks = runstore.load_artifact(spark, path, "chunks").select("run_id", F.posexplode(F.transform("chunks", lambda x: F.md5(x))).alias("chunk_id", "chunk_md5"))
+    chunks = runstore.load_artifact(spark, path, "chunks").select("run_id", F.posexplode("chunks").alias("chunk_id", "chunk"))
     index = runstore.load_artifact(spark, path, "entities").select("run_id", F.explode("chunk_entity_index").alias("k", "ids")).select("run_id", F.col("k").cast("int").alias("chunk_id"), F.array_join("ids", ",").alias("entity_ids"))
-    return chunks.join(index, ["run_id", "chunk_id"], "left").select("run_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "chunk_md5", "entity_ids")
+    rows = chunks.join(index, ["run_id", "chunk_id"], "left").join(runstore.load_artifact(spark, path, "manifest").select("run_id", "source_file"), "run_id")
+    return rows.select("run_id", "source_file", F.col("chunk_id").cast("bigint").alias("chunk_id"), "chunk", "entity_ids")
 
 
 @query("a11_generic_predictions", f"""WITH {_LINES} SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'e' || chunk_id AS id, name, CASE chunk_id % 3 WHEN 0 THEN 'company' WHEN 1 THEN 'person' ELSE 'other' END AS type FROM firsts""")
