@@ -51,7 +51,7 @@ def name_pairs(left: DataFrame, right: DataFrame, least: float = 0.9) -> DataFra
 
     def equal(key: str, score: float) -> DataFrame:
         a, b = (x.where(F.col(key) != "").select("doc_id", F.col("id").alias(i), key).distinct() for x, i in ((one, "a"), (two, "b")))
-        return a.join(b, ["doc_id", key]).select("doc_id", "a", "b", F.lit(score).alias("s"))
+        return a.hint("merge").join(b, ["doc_id", key]).select("doc_id", "a", "b", F.lit(score).alias("s"))  # a row has many forms: no broadcast by its table's size
 
     cores = [x.select(F.col("doc_id").alias("scope"), "id", F.col("core").alias("s")).distinct() for x in (one, two)]
     close = similar.candidates(*cores, least).where("sa <> sb").withColumn("s", fuzzy.ratio(F.col("sa"), F.col("sb")) / 100).where(F.col("s") >= least)

@@ -47,7 +47,8 @@ def _matched(longer: DataFrame, shorter: DataFrame, least: float, more: Column)
     shift = 2 * (F.col("piece_at") - F.col("at"))
     near = (shift >= -(spare + F.col("m") - F.col("n"))) & (shift <= spare - F.col("m") + F.col("n"))
     fits = 2.0 * F.col("n") >= least * (F.col("m") + F.col("n")) - 1e-9
-    found = _segments(longer, least).join(_pieces(shorter, least), ["scope", "seg"]).where(more & fits & near)
+    # sizes of tables say nothing of how many pieces they make, so neither side may be broadcast
+    found = _segments(longer, least).hint("merge").join(_pieces(shorter, least), ["scope", "seg"]).where(more & fits & near)
     return found.select("scope", "long", "ls", "short", "ss")
 
 
