@@ -7,14 +7,20 @@ found; nothing is asked name by name.
 
 from __future__ import annotations
 
+from array import array
+
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 _HITS = ArrayType(StructType().add("form", IntegerType()).add("n", IntegerType()).add("start_char", IntegerType()).add("end_char", IntegerType()))
 
+#: Rows that a scan turns into Python's strings at a time.
+_ROWS = 256
+
 
 def fold_case(s: str) -> str:
     """Lower case with every character in its place."""
@@ -68,18 +74,22 @@ def leftmost_longest(places: list[tuple[int, int, int]]) -> list[tuple[int, int,
 
 
 def _scanner(ignore_case: bool, limit: int, longest: bool):
-    @F.pandas_udf(_HITS)
-    def scan(text: pd.Series, forms: pd.Series) -> pd.Series:
-        out, known, names = [], None, None
-        for t, f in zip(text, forms, strict=True):
-            key = tuple(f)
-            if key != known:  # texts of a document mostly follow one another
-                known, names = key, Names(list(key), ignore_case)
-            found = names.places(t or "", limit)
-            if longest:
-                found = [(i, n, a, b) for n, (i, a, b) in enumerate(leftmost_longest([(i, a, b) for i, _, a, b in found]))]
-            out.append([{"form": i, "n": n, "start_char": a, "end_char": b} for i, n, a, b in found])
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf(_HITS)
+    def scan(text: pa.Array, forms: pa.Array) -> pa.Array:
+        flat, ends, known, names = array("i"), array("i", [0]), None, None
+        for at in range(0, len(text), _ROWS):  # only some rows at a time are Python objects; places are four numbers each
+            for t, key in zip(text.slice(at, _ROWS).to_pylist(), forms.slice(at, _ROWS).to_pylist(), strict=True):
+                if key != known:  # texts of a document mostly follow one another
+                    known, names = key, Names(key, ignore_case)
+                found = names.places(t or "", limit)
+                if longest:
+                    found = [(i, n, a, b) for n, (i, a, b) in enumerate(leftmost_longest([(i, a, b) for i, _, a, b in found]))]
+                for place in found:
+                    flat.extend(place)
+                ends.append(len(flat) // 4)
+        numbers = np.frombuffer(flat, dtype=np.int32).reshape(-1, 4)
+        columns = [pa.array(np.ascontiguousarray(numbers[:, i])) for i in range(4)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=_HITS.elementType.names))
 
     return scan
 
