@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,23 +50,26 @@ def pack_paragraphs(text: str, most: int = 6000) -> list[str]:
     return [*out, current] if current.strip() else out
 
 
+def packed(batches: Iterator[pa.RecordBatch], pack: Callable[[str], list[str]]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, chunk_id, text) of batches of ids and texts; only 256 texts at a time are Python objects."""
+    for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+        ids, numbers, texts = [], [], []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            made = pack(text or "")
+            ids += [key] * len(made)
+            numbers += range(len(made))
+            texts += made
+        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "chunk_id", "text"])
+
+
 def chunks(docs: DataFrame, strategy: str = "paragraphs", most: int | None = None, overlap: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, chunk_id, text): a fold over each document, in Arrow batches where it is read."""
     if strategy not in ("paragraphs", "sentences"):
         raise ValueError(strategy)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, numbers, texts = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                made = pack_paragraphs(text or "", most or 6000) if strategy == "paragraphs" else pack_sentences(text or "", most or 2000, overlap)
-                ids += [key] * len(made)
-                numbers += range(len(made))
-                texts += made
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "chunk_id", "text"])
-
+    pack = (lambda t: pack_paragraphs(t, most or 6000)) if strategy == "paragraphs" else (lambda t: pack_sentences(t, most or 2000, overlap))
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, chunk_id int, text string")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lambda batches: packed(batches, pack), f"doc_id {kind}, chunk_id int, text string")
 
 
 def token_offsets(tokens: DataFrame) -> DataFrame:
@@ -78,8 +81,12 @@ def token_offsets(tokens: DataFrame) -> DataFrame:
 
 def joined_text(tokens: DataFrame) -> DataFrame:
     """(doc_id, text) of the same."""
-    rows = tokens.groupBy("doc_id", "sent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ").alias("line"))
-    return rows.groupBy("doc_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent", "line"))), lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
+    # one exchange, of a row a document where its tokens lie together; three flat lists in one order are half as large as one of structs
+    whole = tokens.withColumn("token", F.coalesce("token", F.lit("")))
+    lists = whole.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("sent", "pos", "token")))
+    rows = lists.select("doc_id", F.array_sort(F.arrays_zip("sent", "pos", "token")).alias("xs"))
+    between = lambda x, i: F.when(i == 0, "").when(F.get("xs", i - 1)["sent"] == x["sent"], " ").otherwise("\n")
+    return rows.select("doc_id", F.concat(F.array_join(F.transform("xs", lambda x, i: F.concat(between(x, i), x["token"])), ""), F.lit("\n")).alias("text"))
 
 
 def decode_spans(tags: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import tracemalloc
 
 import pyarrow as pa
 
-from factloom.operators import automaton
+from factloom.operators import automaton, chunk
 
 
 def test_places_of_a_batch_are_numbers():
@@ -24,3 +24,9 @@ def test_odd_texts_and_forms_scan():
     got = automaton._scanner(False, 0, False).func(texts, forms).to_pylist()
     assert [len(g) for g in got] == [0, 0, 0, 4, 0]
     assert automaton._scanner(False, 0, False).func(pa.array([], pa.string()), pa.array([], pa.list_(pa.string()))).to_pylist() == []
+
+
+def test_chunks_come_some_texts_at_a_time():
+    rows = pa.RecordBatch.from_arrays([pa.array(range(1_000)), pa.array(["a\nb"] * 999 + [None])], names=["doc_id", "text"])
+    got = list(chunk.packed(iter([rows]), chunk.pack_paragraphs))
+    assert max(b.num_rows for b in got) <= 256 and sum(b.num_rows for b in got) == 999
