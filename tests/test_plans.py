@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.operators import metrics, similar
+from factloom.operators import chunk, metrics, similar
 
 
 def plan(df) -> str:
@@ -15,3 +15,10 @@ def test_pieces_of_names_are_never_broadcast(spark, tmp_path):
     forms = rows.selectExpr("scope AS doc_id", "id", "array(s) AS forms")
     for df in (similar.self_candidates(rows), similar.candidates(rows, rows), metrics.name_pairs(forms, forms)):
         assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+
+
+def test_joined_text_moves_a_row_a_document_once(spark):
+    rows = spark.createDataFrame([("d", 1, 0, "c"), ("d", 0, 1, "b"), ("d", 0, 0, "a"), ("e", 3, 2, "x"), ("e", 12, 0, "y")], "doc_id string, sent int, pos int, token string")
+    df = chunk.joined_text(rows.repartition(3))
+    assert plan(df).count("Exchange hashpartitioning(doc_id") == 1 and "sent" not in "".join(x for x in plan(df).splitlines() if "Exchange hashpartitioning" in x)
+    assert dict(df.collect()) == {"d": "a b\nc\n", "e": "x\ny\n"}
