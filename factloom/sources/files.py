@@ -55,9 +55,12 @@ def graph_edges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, schema="source string, target string, label string")
 
 
-def provenance(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(anchors, chunks) of a provenance file: (node_key, node_type, name, pos, chunk_id, kind, lo, hi) and (chunk_id, text)."""
-    raw = spark.read.schema(S.PROVENANCE).option("multiLine", True).json(path)
+def provenance(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(anchors, chunks) of provenance files: (node_key, node_type, name, pos, chunk_id, kind, lo, hi) and (chunk_id, text).
+
+    A file is a document; with ``lines`` a line is one, and files have as many as they like.
+    """
+    raw = spark.read.schema(S.PROVENANCE).option("multiLine", not lines).json(path)
     nodes = raw.select(F.explode("nodes").alias("node_key", "n")).select("node_key", "n.node_type", F.col("n.ids.name").alias("name"), F.posexplode("n.anchors").alias("pos", "a"))
     anchors = nodes.select("node_key", "node_type", "name", "pos", "a.chunk_id", "a.kind", F.get("a.span", F.lit(0)).alias("lo"), F.get("a.span", F.lit(1)).alias("hi"))
     chunks = raw.select(F.explode("chunks").alias("k", "c")).select("c.chunk_id", "c.text")
