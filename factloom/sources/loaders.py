@@ -184,9 +184,15 @@ def textract(spark: SparkSession, path: str, options: dict) -> DataFrame:
 
 @register("legacy")
 def legacy(spark: SparkSession, path: str, options: dict) -> DataFrame:
-    """Entities by name, relationships by names.  Of equal keys the later entity owns the id; ends that no entity has are added as "other"."""
+    """Entities by name, relationships by names.  Of equal keys the later entity owns the id; ends that no entity has are added as "other".
+
+    A file is a document, named in its path; with ``lines`` a line is one, with its doc_id, and files have as many as they like.
+    """
     schema = "entities array<struct<entity_name:string,entity_type:string,aliases:array<string>>>, relationships array<struct<source:string,relationship:string,target:string>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path).select("*", F.regexp_extract("_metadata.file_path", options.get("id_pattern", "([^/]+?)(?:\\.gt)?\\.json$"), 1).alias("doc_id"))
+    if options.get("lines"):
+        raw = spark.read.schema(f"doc_id string, {schema}").json(path)
+    else:
+        raw = spark.read.schema(schema).option("multiLine", True).json(path).select("*", F.regexp_extract("_metadata.file_path", options.get("id_pattern", "([^/]+?)(?:\\.gt)?\\.json$"), 1).alias("doc_id"))
     ents = raw.select("doc_id", F.posexplode("entities").alias("pos", "e")).select("doc_id", "pos", F.concat(F.lit("g"), F.col("pos").cast("string")).alias("id"), F.col("e.entity_name").alias("name"), T.norm_type(F.col("e.entity_type")).alias("type"), F.coalesce("e.aliases", F.array().cast("array<string>")).alias("aliases"))
     by_key = ents.groupBy("doc_id", T.norm_name(F.col("name")).alias("k")).agg(F.max_by("id", "pos").alias("id"))
     rels = raw.select("doc_id", F.posexplode("relationships").alias("n", "r")).select("doc_id", "n", F.col("r.source").alias("s"), F.col("r.target").alias("t"), T.norm_rel(F.col("r.relationship")).alias("type"))
