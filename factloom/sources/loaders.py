@@ -16,7 +16,8 @@ from pyspark.sql.window import Window
 from .. import schema as S
 from ..functions import text as T
 from ..operators import chunk
-from .shared import store
+from . import linefiles
+from .shared import shared_path, store
 
 LOADERS: dict[str, Callable[[SparkSession, str, dict], DataFrame]] = {}
 GOLD_ROWS = S.GOLD.split(", coverage")[0]
@@ -79,41 +80,38 @@ def native(spark: SparkSession, path: str, options: dict) -> DataFrame:
     return spark.read.schema(S.GOLD).json(path).drop("coverage", "meta")
 
 
-def conll_tokens(spark: SparkSession, path: str, marker="-DOCSTART-", sep=" ", per=40) -> DataFrame:
+def conll_tokens(spark: SparkSession, path: str, marker="-DOCSTART-", sep=" ", per=40, head=False) -> DataFrame:
     """(path, doc, sent, pos, token, tag) of files of a token and tag a line, read in splits of any size.
 
     Blank lines end sentences.  A marker line starts a document; before a file's first one every ``per`` sentences are one.
-    Lines are numbered inside their split.  What a split needs of those before it (the kind of the last line, of the last
-    that isn't blank, and how many sentences and marked ones there are) is a row a split, carried along the file.
+    Lines are numbered where they are read and stored once, with a row of ends a split; what a split needs of those before
+    it is folded from these rows alone, so no token is exchanged.  With ``head`` there is also the document's first
+    token, null before a file's first marker.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"), "value")
-    kind = F.when(F.startswith("value", F.lit(marker)), "mark").when(T.strip(F.col("value")) == "", "blank").otherwise("token")
-    lines = store(lines.withColumn("kind", kind))
-    splits, here = Window.partitionBy("path").orderBy("split"), Window.partitionBy("path", "split").orderBy("n")
-    filled = lambda c: F.when(F.col(c) != "blank", F.col(c))
-    ends = lines.groupBy("path", "split").agg(F.max_by("kind", "n").alias("last"), F.max_by(filled("kind"), F.when(F.col("kind") != "blank", F.col("n"))).alias("filled"))
-    before = ends.select("path", "split", F.lag("last").over(splits).alias("_last"), F.last("filled", True).over(splits.rowsBetween(Window.unboundedPreceding, -1)).alias("_filled"))
-    rows = lines.join(before, ["path", "split"])
-    previous = F.when(F.row_number().over(here) == 1, F.col("_last")).otherwise(F.lag("kind").over(here))
-    said = F.coalesce(F.last(filled("kind"), True).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.col("_filled"))
-    rows = rows.withColumn("_previous", previous).withColumn("_said", said).where("kind = 'token'")
-    starts = F.coalesce(F.col("_previous"), F.lit("blank")) != "token"
-    rows = store(rows.select("path", "split", "n", "value", starts.cast("int").alias("starts"), (starts & F.coalesce(F.col("_said") == "mark", F.lit(False))).cast("int").alias("marked")))
-
-    counts = rows.groupBy("path", "split").agg(F.sum("starts").alias("s"), F.sum("marked").alias("m"))
-    passed = splits.rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("path", "split", *(F.coalesce(F.sum(c).over(passed), F.lit(0)).alias(f"_{c}") for c in ("s", "m")))
-    rows = rows.join(counts, ["path", "split"]).select("path", "split", "n", "value", (F.col("_s") + F.sum("starts").over(here) - 1).alias("q"), (F.col("_m") + F.sum("marked").over(here)).alias("m"))
-    first = rows.where("m > 0").groupBy("path").agg(F.min("q").alias("_first"))
-    free = F.floor(F.col("q") / per)
-    doc = F.when(F.col("m") == 0, free).otherwise(F.ceil(F.col("_first") / per) + F.col("m") - 1)
-    rows = rows.join(first, "path", "left").withColumn("doc", doc.cast("int"))
-    begin = rows.groupBy("path", "doc").agg(F.min("q").alias("_begin"))
-    tag = F.substring_index("value", sep, -1)
-    head = F.when(F.instr("value", sep) > 0, F.expr(f"left(value, char_length(value) - char_length(_tag) - {len(sep)})")).otherwise("")
-    rows = rows.join(begin, ["path", "doc"]).withColumn("_tag", tag).withColumn("_head", T.strip(head))
-    pos = F.row_number().over(Window.partitionBy("path", "q").orderBy("split", "n")) - 1
-    return rows.select("path", "doc", (F.col("q") - F.col("_begin")).cast("int").alias("sent"), pos.alias("pos"), F.when(F.col("_head") == "", T.strip(F.col("value"))).otherwise(F.col("_head")).alias("token"), T.strip(F.col("_tag")).alias("tag"))
+    kind = F.when(F.startswith("value", F.lit(marker)), linefiles.MARK).when(T.strip(F.col("value")) == "", linefiles.BLANK).otherwise(linefiles.TOKEN)
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("path"), F.col("_metadata.file_block_start").alias("split"), kind.cast("byte").alias("kind"), "value")
+    at = shared_path(spark, "lines")
+    lines.mapInArrow(linefiles.numbered, linefiles.NUMBERED).write.option("compression", "zstd").parquet(at)
+    stored = spark.read.schema(linefiles.NUMBERED).parquet(at)
+
+    ends = stored.where("end is not null").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("split", "end"))).alias("ends")).where(F.size("ends") > 1)
+    before = ends.mapInPandas(linefiles.carried, linefiles.CARRIED)
+    rows = stored.where("end is null").join(F.broadcast(before), ["path", "split"], "left")  # a row for each further split of a file
+    known = lambda c, v: F.coalesce(c, F.lit(v))
+    q, m, here = F.col("q") + known("shift", 0), F.col("m") + known("marks", 0), F.col("begin") >= 0
+    first = F.when(known("known_first", -1) >= 0, F.col("known_first")).otherwise(F.col("first") + known("shift", 0))
+    doc = F.when(m == 0, F.floor(q / per)).otherwise(F.ceil(first / per) + m - 1)
+    begin = F.when(m == 0, doc * per).when(here, F.col("begin") + known("shift", 0)).otherwise(F.col("known_begin"))
+    rows = rows.withColumn("doc", doc.cast("int")).withColumn("sent", (q - begin).cast("int"))
+    rows = rows.withColumn("pos", F.col("pos") + F.when(F.col("q") == 0, known("open", 0)).otherwise(0)).withColumn("head", F.when(here, F.col("head")).otherwise(F.col("known_head")))
+
+    def split_up(line: str) -> tuple[Column, Column]:
+        left = F.when(F.instr(line, sep) > 0, F.expr(f"left({line}, char_length({line}) - char_length(substring_index({line}, '{sep}', -1)) - {len(sep)})")).otherwise("")
+        left = T.strip(left)
+        return F.when(left == "", T.strip(F.col(line))).otherwise(left), T.strip(F.substring_index(line, sep, -1))
+
+    token, tag = split_up("value")
+    return rows.select("path", "doc", "sent", "pos", token.alias("token"), tag.alias("tag"), *([split_up("head")[0].alias("head")] if head else []))
 
 
 @register("conll")

@@ -64,6 +64,25 @@ def test_conll_rows_at_any_split_size(spark, tmp_path, seed):
             spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_conll_tokens_are_not_exchanged_and_know_their_document(spark, tmp_path):
+    lines = ""
+    for d in range(9):
+        lines += f"-DOCSTART- O\n\nid{d} ID\n\n" + "".join(f"w{d}_{i} O\n" + "\n" * (i % 4 == 3) for i in range(d * 3))
+    (tmp_path / "f.txt").write_text("early O\n" + lines)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = loaders.conll_tokens(spark, str(tmp_path), head=True)
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Sort" not in plan  # no exchange but that of a row a split
+        got = rows.select("token", "head").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [("early", None)] + [(t, f"id{d}") for d in range(9) for t in [f"id{d}", *(f"w{d}_{i}" for i in range(d * 3))]]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_keyed_rows_written_twice_stay_one(spark, tmp_path):
     path = f"file://{tmp_path}/scores"
     frame = lambda rows: spark.createDataFrame(rows, "k string, v int")
