@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import store
+from ..sources.shared import laid_out, store
 from . import anchor, graph, resolve
 
 
@@ -28,25 +28,36 @@ def convert_documents(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, ch
     Edges keep the tightest passage that cites both ends as evidence.  Relation records (nodes with subject, object, relation
     and evidence) become relationships if both names are of known, different entities: their evidence is looked up
     in the text, else the passage of both ends counts.
+
+    Texts are joined by document for each of these; ``refs`` that are laid out by doc_id (``shared.laid_out``) aren't moved for it.
     """
-    nodes = nodes if "pos" in nodes.columns else nodes.withColumn("pos", F.lit(0).cast("long"))
-    edges = edges if "pos" in edges.columns else edges.withColumn("pos", F.lit(0).cast("long"))
-    kept, links = graph.drop_roots(nodes, edges)
+    entities = laid_out(convert_entities(nodes, anchors, chunks, refs), "doc_id")
+    nodes, edges = _numbered(nodes), _numbered(edges)
+    links, docs = graph.drop_roots(nodes, edges)[1], refs.select("doc_id", "text")
+    relations = links.select("doc_id", "pos", "source", "target", F.lower("label").alias("relation"), F.lit(None).cast("string").alias("evidence"))
+    if "subject" in nodes.columns:
+        relations = relations.unionByName(relation_records(nodes.where("label = 'Relationship'"), entities))
+    return entities, with_evidence(relations, entities, docs)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows if "pos" in rows.columns else rows.withColumn("pos", F.lit(0).cast("long"))
+
+
+def convert_entities(nodes: DataFrame, anchors: DataFrame, chunks: DataFrame, refs: DataFrame) -> DataFrame:
+    """The entities of ``convert_documents`` alone; they don't depend on edges and relation records."""
+    nodes = _numbered(nodes)
+    kept = graph.drop_roots(nodes, nodes.select("doc_id", F.col("id").alias("source"), F.col("id").alias("target")))[0]
     ents = kept.select("doc_id", "id", "name", "ontology_type", "aliases", "label", "pos")
     docs = refs.select("doc_id", "text")
     keys = anchors.where("kind = 'verbatim' and lo is not null").join(chunks.select("doc_id", "chunk_id", F.col("text").alias("chunk_text")), ["doc_id", "chunk_id"])
-    keys = keys.select("doc_id", F.col("node_type").alias("label"), "name", "chunk_text", F.col("lo").alias("span_start"), F.col("hi").alias("span_end"))
-    spans = ents.join(keys, ["doc_id", "label", "name"]).select("doc_id", F.col("id").alias("entity_id"), "chunk_text", "span_start", "span_end")
-    placed = anchor.anchor_spans(spans.join(docs.withColumnRenamed("text", "ref"), "doc_id"))
+    keys = anchor.span_quotes(keys.select("doc_id", F.col("node_type").alias("label"), "name", "chunk_text", F.col("lo").alias("span_start"), F.col("hi").alias("span_end"))).drop("chunk_text")
+    spans = ents.join(keys, ["doc_id", "label", "name"]).drop("label", "name", "ontology_type", "aliases", "pos").withColumnRenamed("id", "entity_id")
+    placed = anchor.place_spans(spans.join(docs.withColumnRenamed("text", "ref"), "doc_id"))
     cites = anchor.citation_chain(ents.select("doc_id", F.col("id").alias("entity_id"), "name"), placed.select("doc_id", "entity_id", "start_char", "end_char", "quote"), docs)
     grouped = cites.groupBy("doc_id", "entity_id").agg(F.array_sort(F.collect_list(F.struct("start_char", "end_char", "quote", "match"))).alias("citations"))
     out = ents.withColumnRenamed("id", "entity_id").join(grouped, ["doc_id", "entity_id"], "left")
-    entities = store(out.select("doc_id", "entity_id", "pos", F.col("name").alias("canonical_name"), F.col("ontology_type").alias("entity_type"), "aliases", "citations"))
-
-    relations = links.select("doc_id", "pos", "source", "target", F.lower("label").alias("relation"), F.lit(None).cast("string").alias("evidence"))
-    if "subject" in nodes.columns:
-        relations = relations.unionByName(relation_records(nodes.where("label = 'Relationship'"), entities))
-    return entities, with_evidence(relations, entities, docs)
+    return out.select("doc_id", "entity_id", "pos", F.col("name").alias("canonical_name"), F.col("ontology_type").alias("entity_type"), "aliases", "citations")
 
 
 def relation_records(records: DataFrame, entities: DataFrame) -> DataFrame:

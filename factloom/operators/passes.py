@@ -100,19 +100,20 @@ def check_relations(proposed: DataFrame, rules: DataFrame, require_evidence: boo
 def check_missed(proposed: DataFrame, known: DataFrame) -> DataFrame:
     """Recall proposals with ``reject``: not_in_text, duplicate, no_evidence, or null.
 
-    ``proposed`` has (doc_id, pos, name, chunk, start_char); ``known`` the alias keys of the document's entities.  A name that
+    ``proposed`` has (doc_id, pos, name, chunk, start_char), in place of the chunk's text its key as chunk_key; ``known`` the alias keys of the document's entities.  A name that
     an earlier kept proposal has is a duplicate.
     """
     rows = proposed.withColumn("name", T.strip(F.col("name"))).withColumn("k", T.alias_key(F.col("name")))
     nk = T.norm_key(F.col("name"))
-    absent = (F.char_length(nk) < 2) | ~F.contains(T.norm_key(F.col("chunk")), nk)
+    # what needs the chunk comes first, so that no chunk is exchanged with each of its names
+    rows = rows.withColumn("_absent", (F.char_length(nk) < 2) | ~F.contains(F.col("chunk_key") if "chunk_key" in rows.columns else T.norm_key(F.col("chunk")), nk)).drop("chunk", "chunk_key")
     rows = rows.join(known.withColumn("_known", F.lit(True)), ["doc_id", "k"], "left")
-    early = F.when(absent, "not_in_text").when(F.col("_known"), "duplicate")
+    early = F.when(F.col("_absent"), "not_in_text").when(F.col("_known"), "duplicate")
     rows = rows.withColumn("_early", early).withColumn("_ok", F.col("_early").isNull() & F.col("start_char").isNotNull())
     before = Window.partitionBy("doc_id", "k").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     kept_before = F.coalesce(F.max(F.col("_ok").cast("int")).over(before), F.lit(0)) > 0
     late = F.when(kept_before, "duplicate").when(F.col("start_char").isNull(), "no_evidence")
-    return rows.withColumn("reject", F.coalesce("_early", late)).drop("_early", "_ok", "_known")
+    return rows.withColumn("reject", F.coalesce("_early", late)).drop("_absent", "_early", "_ok", "_known")
 
 
 def missed_citations(kept: DataFrame, docs: DataFrame, limit: int = 3) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from .. import schema as S
 from ..functions import text as T
-from ..sources.shared import store
+from ..sources.shared import laid_out, store
 from . import aliasfold, convert, passes, resolve
 
 _EDGE = ["doc_id", "pos", "source", "target", "relation", "start_char", "end_char", "quote", "match"]
@@ -20,17 +20,28 @@ _MARK = "\x1f"
 
 
 def settle(entities: DataFrame, relations: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Aliases that documents define, then entities of equal names merged and relationships moved to them; loops and repeats go."""
-    local = store(convert.alias_pass(entities, docs))
+    """Aliases that documents define, then entities of equal names merged and relationships moved to them; loops and repeats go.
+
+    Entities lie by document, and only those that share a name with another (or an id) are labelled and merged; the others stay where they are.
+    """
+    local = laid_out(convert.alias_pass(entities, docs), "doc_id")
     key = lambda c: F.concat_ws(_MARK, F.col("doc_id").cast("string"), F.col(c))
     keyed = local.withColumn("entity_id", key("entity_id"))
-    comps = resolve.label_components(resolve.same_name_edges(keyed), keyed.select(F.col("entity_id").alias("id")))
+    same = store(resolve.same_name_edges(keyed, keep=("doc_id",)))
+    twice = keyed.groupBy("doc_id", "entity_id").count().where("count > 1").select("doc_id", "entity_id")
+    met = same.select("doc_id", F.explode(F.array("a", "b")).alias("entity_id")).unionByName(twice).groupBy("doc_id").agg(F.collect_set("entity_id").alias("_met"))
+    rows = keyed.join(met, "doc_id", "left").withColumn("_meets", F.coalesce(F.array_contains("_met", F.col("entity_id")), F.lit(False))).drop("_met")
+    alone, keyed = rows.where("not _meets"), store(rows.where("_meets").drop("_meets"))
+    comps = resolve.label_components(same.select("a", "b"), keyed.select(F.col("entity_id").alias("id")))
     merged = resolve.merge(keyed, comps)
     rows = keyed.join(comps.withColumnRenamed("id", "entity_id"), "entity_id").groupBy("comp").agg(
         F.first("doc_id").alias("doc_id"), F.min("pos").alias("pos"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entity_id", "citations"))), lambda x: x["citations"]))).alias("citations")
     )
     own = lambda c: F.element_at(F.split(c, _MARK), -1)
-    entities = store(merged.join(rows, "comp").select("doc_id", own("comp").alias("entity_id"), "pos", "canonical_name", "entity_type", "aliases", "citations"))
+    names = F.array_distinct(F.concat(F.array("canonical_name"), "aliases"))
+    kind = F.when(resolve.type_rank(F.col("entity_type")).isNotNull(), F.col("entity_type")).alias("entity_type")
+    alone = alone.select("doc_id", own("entity_id").alias("entity_id"), "pos", "canonical_name", kind, F.filter(names, lambda n: n != F.col("canonical_name")).alias("aliases"), F.array_distinct("citations").alias("citations"))
+    entities = laid_out(merged.join(rows, "comp").select("doc_id", own("comp").alias("entity_id"), "pos", "canonical_name", "entity_type", "aliases", "citations").unionByName(alone), "doc_id")
     end = lambda c: comps.select(F.col("id").alias(c), own("comp").alias(f"{c}_to"))
     moved = relations.withColumn("source", key("source")).withColumn("target", key("target")).join(end("source"), "source", "left").join(end("target"), "target", "left")
     moved = moved.withColumn("source", F.coalesce("source_to", own("source"))).withColumn("target", F.coalesce("target_to", own("target"))).where("source <> target")
@@ -55,9 +66,9 @@ def recall_pass(entities: DataFrame, docs: DataFrame, chunks: DataFrame, proposa
 
     ``proposals`` has (doc_id, chunk_id, pos, name, type, quote).  A name must be in its chunk and new, its quote in the text.
     """
-    rows = proposals.join(chunks.select("doc_id", "chunk_id", F.col("text").alias("chunk")), ["doc_id", "chunk_id"]).join(docs, "doc_id")
-    rows = passes.locate_evidence(rows, "text", "quote").drop("text")
-    checked = store(passes.check_missed(rows, resolve.known_keys(entities)).drop("chunk", "k"))
+    rows = passes.locate_evidence(proposals.join(docs.select("doc_id", "text"), "doc_id"), "text", "quote").drop("text")
+    rows = rows.join(chunks.select("doc_id", "chunk_id", T.norm_key(F.col("text")).alias("chunk_key")), ["doc_id", "chunk_id"])
+    checked = laid_out(passes.check_missed(rows, resolve.known_keys(entities)).drop("k"), "doc_id")
     new = checked.where("reject is null")
     cites = passes.missed_citations(new.select("doc_id", "name", "start_char", "end_char"), docs).join(docs, "doc_id")
     cites = cites.withColumn("quote", F.expr("substring(text, start_char + 1, end_char - start_char)"))
@@ -89,7 +100,10 @@ def relation_pass(entities: DataFrame, relations: DataFrame, docs: DataFrame, pr
 
 
 def run(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, chunks: DataFrame, docs: DataFrame, missed: DataFrame | None, related: DataFrame | None) -> dict[str, DataFrame]:
-    """Conversion, alias pass, recall pass with aliases again, relation pass; a pass without proposals is left out."""
+    """Conversion, alias pass, recall pass with aliases again, relation pass; a pass without proposals is left out.
+
+    All passes look into the texts by document: documents and chunks laid out by doc_id aren't moved again.
+    """
     entities, relations = convert.convert_documents(nodes, edges, anchors, chunks, docs)
     entities, relations = settle(entities, relations, docs)
     out = {}

@@ -26,6 +26,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
 
 
+def laid_out(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows in the shared folder, bucketed and sorted by ``keys``: joins and groups by these keys, or by more, don't move them again."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # else joins by more keys than these would move both sides
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"factloom_{uuid.uuid4().hex}"
+    rows = df.repartition(n, *keys).write.bucketBy(n, keys[0], *keys[1:]).sortBy(keys[0], *keys[1:])
+    rows.option("compression", "zstd").option("path", shared_path(spark, "laid")).saveAsTable(name)
+    return spark.table(name)
+
+
 def store(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: computed once, survives lost executors."""
     shared_dir(df.sparkSession)
