@@ -80,7 +80,7 @@ def read_ops(spark: SparkSession, path: str) -> DataFrame:
 def write_ops(runs: DataFrame, path: str) -> None:
     """A ledger file a run, of finished and failed runs alike; writing a run again replaces it alone.
 
-    ``runs`` has run_id and any of the ledger's other fields.
+    ``runs`` has run_id and any of the ledger's other fields.  For very many runs use ``upsert`` with run_id as key: the same, in some files.
     """
     runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(path)
 

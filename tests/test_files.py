@@ -169,3 +169,10 @@ def test_stream_ingest(spark, tmp_path):
 def test_content_lock(spark, tmp_path):
     (tmp_path / "f").write_bytes(b"abc")
     assert files.content_lock(spark, url(tmp_path)).first().sha256.startswith("ba7816bf")
+
+
+def test_a_ledger_query_does_not_make_a_file_a_run(spark, monkeypatch):
+    from factloom.plans import file_queries
+
+    monkeypatch.setattr(file_queries.files, "write_ops", lambda *a: 1 / 0)
+    assert file_queries.k07(spark, "/root/testdata/sf0.001").columns == ["run_id", "status", "cost_usd", "error"]
