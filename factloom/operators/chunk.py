@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,10 +81,35 @@ def token_offsets(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", "sent", "pos", "token", start.alias("start"), (start + F.char_length("token")).alias("end"))
 
 
+def sentences_text(sentences: Column) -> Column:
+    """The same text of one document's sentences (arrays of tokens) as an array of one; of none, if no sentence has a token.
+
+    Exploded, a document without tokens has no row.  What is used twice is a lambda's argument: Spark makes it once.
+    """
+    lines = F.transform(F.array(sentences), lambda xs: F.transform(F.filter(xs, lambda ts: F.size(ts) > 0), lambda ts: F.array_join(ts, " ", "")))
+    return F.transform(F.filter(lines, lambda ls: F.size(ls) > 0), lambda ls: F.concat(F.array_join(ls, "\n"), F.lit("\n")))
+
+
+def joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, sent, pos, token) rows with each run of neighbours of a sentence, where they lie one after another, as one of them."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        doc, sent, pos, token = batch.columns
+        keys = [pc.equal(x[1:], x[:-1]).fill_null(False).to_numpy(zero_copy_only=False) for x in (doc, sent)]
+        steps = pc.equal(pc.subtract(pos[1:], pos[:-1]), 1).fill_null(False).to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.flatnonzero(~(keys[0] & keys[1] & steps)) + 1])
+        at = pa.array(starts)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(token)), pa.int32()), token)
+        yield pa.RecordBatch.from_arrays([*(x.take(at) for x in (doc, sent, pos)), pc.binary_join(lists, " ")], names=batch.schema.names)
+
+
 def joined_text(tokens: DataFrame) -> DataFrame:
     """(doc_id, text) of the same."""
-    # one exchange, of a row a document where its tokens lie together; three flat lists in one order are half as large as one of structs
-    whole = tokens.withColumn("token", F.coalesce("token", F.lit("")))
+    # one exchange, of a row a document where its tokens lie together; three flat lists in one order are half as large as one of structs.
+    # Runs come first: what an aggregation of tokens sorts when it has many documents grows past memory and spills
+    whole = tokens.select("doc_id", "sent", "pos", F.coalesce("token", F.lit("")).cast("string").alias("token"))
+    whole = whole.mapInArrow(joined_runs, whole.schema)
     lists = whole.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("sent", "pos", "token")))
     rows = lists.select("doc_id", F.array_sort(F.arrays_zip("sent", "pos", "token")).alias("xs"))
     between = lambda x, i: F.when(i == 0, "").when(F.get("xs", i - 1)["sent"] == x["sent"], " ").otherwise("\n")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from factloom.operators import chunk, metrics, similar
+from factloom.plans import structure_queries
 
 
 def plan(df) -> str:
@@ -22,3 +25,23 @@ def test_joined_text_moves_a_row_a_document_once(spark):
     df = chunk.joined_text(rows.repartition(3))
     assert plan(df).count("Exchange hashpartitioning(doc_id") == 1 and "sent" not in "".join(x for x in plan(df).splitlines() if "Exchange hashpartitioning" in x)
     assert dict(df.collect()) == {"d": "a b\nc\n", "e": "x\ny\n"}
+
+
+def test_joined_text_of_documents_moves_nothing(spark, tmp_path):
+    texts = [(1, "a b c d e f"), (2, ""), (3, None), (4, " a  b     "), (5, "     x"), (6, "     "), (7, "a b c d e      f")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = structure_queries.QUERIES["b04_joined_text"](spark, str(tmp_path))
+    assert "Exchange" not in plan(df)
+    expected = {1: "a b c d e\nf\n", 4: "a b\n", 5: "x\n", 7: "a b c d e\nf\n"}
+    assert dict(df.collect()) == expected
+    assert dict(chunk.joined_text(structure_queries._tokens(spark, str(tmp_path)).repartition(5)).collect()) == expected
+
+
+def test_neighbours_of_a_sentence_are_joined_before_they_are_grouped(spark):
+    rows = [("d", s, p, f"t{s}.{p}") for s in range(3) for p in range(4)] + [("e", 0, 3, None), ("e", 0, 0, "x"), ("e", 0, 1, "y")]
+    df = spark.createDataFrame(rows, "doc_id string, sent int, pos int, token string").coalesce(1)
+    assert "MapInArrow" in plan(chunk.joined_text(df))
+    runs = df.select("doc_id", "sent", "pos", F.coalesce("token", F.lit("")).alias("token")).mapInArrow(chunk.joined_runs, df.schema).collect()
+    assert [tuple(r) for r in runs] == [("d", s, 0, f"t{s}.0 t{s}.1 t{s}.2 t{s}.3") for s in range(3)] + [("e", 0, 3, ""), ("e", 0, 0, "x y")]
+    expected = {"d": "".join(f"t{s}.0 t{s}.1 t{s}.2 t{s}.3\n" for s in range(3)), "e": "x y \n"}
+    assert dict(chunk.joined_text(df).collect()) == expected and dict(chunk.joined_text(df.repartition(7)).collect()) == expected
