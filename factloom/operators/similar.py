@@ -18,19 +18,23 @@ def _budget(lengths: Column, least: float) -> Column:
     return F.floor(F.lit(1 - least) * lengths + 1e-9).cast("int")
 
 
+def _number() -> Column:
+    return F.xxhash64("scope", "s")
+
+
 def _segments(rows: DataFrame, least: float) -> DataFrame:
-    """(scope, seg, long, ls, m, at) of each segment of each string as the longer one."""
+    """(key, long, m, at) of each segment of each string as the longer one."""
     m = F.char_length("s")
-    rows = rows.select("scope", F.col("id").alias("long"), F.col("s").alias("ls"), m.alias("m"), (_budget(2 * m, least) + 1).alias("_n"))
+    rows = rows.select("scope", _number().alias("long"), F.col("s").alias("ls"), m.alias("m"), (_budget(2 * m, least) + 1).alias("_n"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
     at, end = F.expr("cast(_i * m div _n as int)"), F.expr("cast((_i + 1) * m div _n as int)")
-    return rows.select("scope", F.substring("ls", at + 1, end - at).alias("seg"), "long", "ls", "m", at.alias("at"))
+    return rows.select(F.xxhash64("scope", F.substring("ls", at + 1, end - at)).alias("key"), "long", "m", at.alias("at"))
 
 
 def _pieces(rows: DataFrame, least: float) -> DataFrame:
-    """(scope, seg, short, ss, n, piece_at): all pieces that have the length of a segment of some longer partner."""
+    """(key, short, n, piece_at): all pieces that have the length of a segment of some longer partner."""
     n = F.char_length("s")
-    rows = rows.select("scope", F.col("id").alias("short"), F.col("s").alias("ss"), n.alias("n"))
+    rows = rows.select("scope", _number().alias("short"), F.col("s").alias("ss"), n.alias("n"))
     partners = F.sequence(F.col("n"), F.floor(F.col("n") * ((2 - least) / least) + 1e-9).cast("int"))
 
     def sizes(m: Column) -> Column:
@@ -39,17 +43,23 @@ def _pieces(rows: DataFrame, least: float) -> DataFrame:
 
     rows = rows.select("*", F.explode(F.array_distinct(F.flatten(F.transform(partners, sizes)))).alias("_size")).where("_size <= n")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("_size"))).alias("piece_at"))
-    return rows.select("scope", F.substring("ss", F.col("piece_at") + 1, F.col("_size")).alias("seg"), "short", "ss", "n", "piece_at")
+    return rows.select(F.xxhash64("scope", F.substring("ss", F.col("piece_at") + 1, F.col("_size"))).alias("key"), "short", "n", "piece_at")
 
 
 def _matched(longer: DataFrame, shorter: DataFrame, least: float, more: Column) -> DataFrame:
     spare = _budget(F.col("m") + F.col("n"), least)
     shift = 2 * (F.col("piece_at") - F.col("at"))
     near = (shift >= -(spare + F.col("m") - F.col("n"))) & (shift <= spare - F.col("m") + F.col("n"))
-    fits = 2.0 * F.col("n") >= least * (F.col("m") + F.col("n")) - 1e-9
+    fits = (F.col("n") <= F.col("m")) & (2.0 * F.col("n") >= least * (F.col("m") + F.col("n")) - 1e-9)
+    # a string makes dozens of pieces, so these are numbers, and of a string once in its scope; texts and ids come to the pairs that are found.
     # sizes of tables say nothing of how many pieces they make, so neither side may be broadcast
-    found = _segments(longer, least).hint("merge").join(_pieces(shorter, least), ["scope", "seg"]).where(more & fits & near)
-    return found.select("scope", "long", "ls", "short", "ss")
+    strings = lambda rows: rows.select("scope", "s").distinct()
+    found = _segments(strings(longer), least).hint("merge").join(_pieces(strings(shorter), least), "key").where(fits & near).select("long", "short")
+    found = found.repartition("long").distinct()
+    one = longer.select(_number().alias("_l"), F.col("scope"), F.col("id").alias("long"), F.col("s").alias("ls"), F.char_length("s").alias("m"))
+    two = shorter.select(_number().alias("_s"), F.col("scope").alias("_scope"), F.col("id").alias("short"), F.col("s").alias("ss"), F.char_length("s").alias("n"))
+    pairs = found.toDF("_l", "_s").hint("merge").join(one, "_l").hint("merge").join(two, "_s")
+    return pairs.where((F.col("scope") == F.col("_scope")) & fits & more).select("scope", "long", "ls", "short", "ss")  # equal numbers of different strings add pairs at most
 
 
 def _checked(least: float) -> None:

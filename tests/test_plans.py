@@ -45,3 +45,14 @@ def test_neighbours_of_a_sentence_are_joined_before_they_are_grouped(spark):
     assert [tuple(r) for r in runs] == [("d", s, 0, f"t{s}.0 t{s}.1 t{s}.2 t{s}.3") for s in range(3)] + [("e", 0, 3, ""), ("e", 0, 0, "x y")]
     expected = {"d": "".join(f"t{s}.0 t{s}.1 t{s}.2 t{s}.3\n" for s in range(3)), "e": "x y \n"}
     assert dict(chunk.joined_text(df).collect()) == expected and dict(chunk.joined_text(df.repartition(7)).collect()) == expected
+
+
+def test_pieces_of_names_are_moved_as_numbers(spark):
+    rows = spark.createDataFrame([("d", i, f"aurora building {i:03}") for i in range(40)] + [(None, 1, "aurora building 001")], "scope string, id int, s string")
+    for df in (similar.candidates(rows, rows), similar.self_candidates(rows)):
+        assert "SortMergeJoin [key#" in plan(df) and "seg#" not in plan(df)
+    assert similar.candidates(rows, rows).where("scope IS NULL").count() == 0
+    pairs = {(r.a, r.b) for r in similar.self_candidates(rows).collect()}
+    assert pairs == {(i, j) for i in range(40) for j in range(i + 1, 40)}
+    same = spark.createDataFrame([("d", i, "aurora building") for i in range(9)], "scope string, id int, s string")
+    assert similar.self_candidates(same).count() == 36 and similar.candidates(same, same).count() == 81
