@@ -86,18 +86,35 @@ def alias_tokens(s: Column) -> Column:
     """Case-folded words without leading articles; "e. V." is one word."""
     joined = F.regexp_replace(F.coalesce(s, F.lit("")), "(?i)\\be\\.\\s?v\\b\\.?", "ev")
     tokens = F.filter(F.split(casefold(joined), "[^\\p{L}\\p{N}_]+"), lambda w: w != "")
-    articles = F.aggregate(tokens, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, w: F.struct((a["n"] + F.when(a["on"] & w.isin(S.ARTICLES), 1).otherwise(0)).alias("n"), (a["on"] & w.isin(S.ARTICLES)).alias("on")))["n"]
-    return F.slice(tokens, articles + 1, F.greatest(F.size(tokens) - articles, F.lit(0)))
+
+    def own(ts: Column) -> Column:  # the words are a lambda's argument, so that they are made once
+        articles = F.aggregate(ts, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, w: F.struct((a["n"] + F.when(a["on"] & w.isin(S.ARTICLES), 1).otherwise(0)).alias("n"), (a["on"] & w.isin(S.ARTICLES)).alias("on")))["n"]
+        return F.slice(ts, articles + 1, F.greatest(F.size(ts) - articles, F.lit(0)))
+
+    return F.element_at(F.transform(F.array(tokens), own), 1)
 
 
 def alias_key(s: Column) -> Column:
     """Words without trailing legal forms and connectives, but never without any word."""
+    return _key_of(alias_tokens(s))
+
+
+def _key_of(tokens: Column) -> Column:
     tail = "|".join([*S.LEGAL_FORMS, "und", "and"])
-    return F.regexp_replace(F.array_join(alias_tokens(s), " "), f"( (?:{tail}))+$", "")
+    return F.regexp_replace(F.array_join(tokens, " "), f"( (?:{tail}))+$", "")
+
+
+def _has_legal_word(tokens: Column) -> Column:
+    return F.arrays_overlap(tokens, _lit_array(S.LEGAL_FORMS))
 
 
 def has_legal_form(s: Column) -> Column:
-    return F.arrays_overlap(alias_tokens(s), _lit_array(S.LEGAL_FORMS))
+    return _has_legal_word(alias_tokens(s))
+
+
+def name_keys(s: Column) -> Column:
+    """A struct of a form's alias and norm keys and whether it has a legal form; its words are made once."""
+    return F.element_at(F.transform(F.array(alias_tokens(s)), lambda ts: F.struct(_key_of(ts).alias("alias"), norm_key(s).alias("norm"), _has_legal_word(ts).alias("legal"))), 1)
 
 
 def norm_type(label: Column, extra: dict[str, str] | None = None) -> Column:

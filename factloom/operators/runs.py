@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from .. import schema as S
 from ..functions import text as T
 from ..sources.shared import laid_out, store
-from . import aliasfold, convert, passes, resolve
+from . import aliasfold, convert, docrun, passes, resolve
 
 _EDGE = ["doc_id", "pos", "source", "target", "relation", "start_char", "end_char", "quote", "match"]
 _MARK = "\x1f"
@@ -102,17 +102,11 @@ def relation_pass(entities: DataFrame, relations: DataFrame, docs: DataFrame, pr
 def run(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, chunks: DataFrame, docs: DataFrame, missed: DataFrame | None, related: DataFrame | None) -> dict[str, DataFrame]:
     """Conversion, alias pass, recall pass with aliases again, relation pass; a pass without proposals is left out.
 
-    All passes look into the texts by document: documents and chunks laid out by doc_id aren't moved again.
+    After conversion a document is a row that goes through all passes (``docrun``), with the results of ``settle``, ``recall_pass`` and
+    ``relation_pass`` one after another; documents and chunks laid out by doc_id aren't moved again.
     """
     entities, relations = convert.convert_documents(nodes, edges, anchors, chunks, docs)
-    entities, relations = settle(entities, relations, docs)
-    out = {}
-    if missed is not None:
-        entities, out["missed"] = recall_pass(entities, docs, chunks, missed)
-        entities, relations = settle(entities, relations, docs)
-    if related is not None:
-        relations, out["related"] = relation_pass(entities, relations, docs, related)
-    return out | {"entities": entities, "relationships": relations}
+    return docrun.run(entities, laid_out(relations, "doc_id"), chunks, docs, missed, related)
 
 
 def replay_recall(stored: dict[str, DataFrame], docs: DataFrame, chunks: DataFrame, missed: DataFrame) -> dict[str, DataFrame]:

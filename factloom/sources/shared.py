@@ -37,6 +37,13 @@ def laid_out(df: DataFrame, *keys: str) -> DataFrame:
     return spark.table(name)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as files of columns in the shared folder, where they are: readers of some columns don't read the others."""
+    path = shared_path(df.sparkSession, "kept")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def store(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: computed once, survives lost executors."""
     shared_dir(df.sparkSession)
