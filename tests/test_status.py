@@ -52,3 +52,14 @@ def test_runs_that_never_end_fail_and_late_rows_are_left_out(replay):
     changes = replay(batches, limit_seconds=100, late="10 seconds")
     got = {r.run_id: (r.status, r.error) for r in status.latest_status(changes).collect()}
     assert got == {"a": ("failed", status.TIMED_OUT), "b": ("completed", None), "c": ("pending", None), "d": ("completed", None)}
+
+
+def test_runs_of_one_bucket_end_each_at_its_own_time(replay):
+    none, out, fail = (False, "running", None), (True, None, None), (False, "failed", "boom")
+    batches = [[("a", 0, *none), (None, 5, *none), ("e", 30, *none), ("f", 20, *fail)], [("a", 0, *none), ("g", 115, *out)], [("h", 120, *none)], [("e", 125, *out), ("i", 1_000, *none)], [("j", 1_001, *none)]]
+    changes = replay(batches, limit_seconds=100, late="10 seconds", buckets=1)
+    ended = {r.run_id: (r.at - START).total_seconds() for r in changes.where(F.col("error") == status.TIMED_OUT).collect()}
+    assert ended == {"a": 100, None: 105, "h": 220}
+    got = {r.run_id: (r.status, r.error) for r in status.latest_status(changes).collect()}
+    assert got == {"a": ("failed", status.TIMED_OUT), None: ("failed", status.TIMED_OUT), "e": ("completed", None), "f": ("failed", "boom"), "g": ("completed", None), "h": ("failed", status.TIMED_OUT), "i": ("pending", None), "j": ("pending", None)}
+    assert changes.where("run_id = 'a'").count() == 2
